@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thresher.llm import bpe
+from thresher.llm import bpe, langid, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": quality.op3_quality,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op6_language_id": langid.op6_language_id,
+        "op7_packing": packing.op7_packing,
         "op9_bpe": bpe.op9_bpe,
     }
 
