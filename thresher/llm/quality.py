@@ -27,7 +27,8 @@ from thresher.llm._common import held_out, table, text_batches
 TRAIN_DOCS = 6000
 WORD_BITS = 15
 FACTORS = 8
-EPOCHS = 6
+#: Passes over the sample, more where it is so small that there would be fewer steps than this.
+EPOCHS, LEAST_STEPS = 6, 400
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -136,7 +137,7 @@ class FactorisationMachine:
         gw = np.full_like(self.w, 1e-2)
         gv = np.full_like(self.v, 1e-2)
         gb = 1e-2
-        for _ in range(epochs):
+        for _ in range(max(epochs, min(80, LEAST_STEPS * batch // len(docs)))):
             order = rng.permutation(len(docs))
             for at in range(0, len(order), batch):
                 picked = order[at : at + batch]
