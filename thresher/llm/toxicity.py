@@ -29,7 +29,7 @@ TRAIN_DOCS = 10_000
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Shortest term, and least number of unlike toxic documents that hold it.
-LEAST_LENGTH, LEAST_SUPPORT = 4, 4
+LEAST_LENGTH, LEAST_SUPPORT = 4, 2
 LONGEST_STEM = 12
 MAX_TERMS = 5000
 #: Words before and after a hit that its score depends on.
@@ -119,12 +119,15 @@ class Lexicon:
 class _Matches(dict):
     """Word to match, found when first asked for; holds a bounded number of words."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, known: frozenset[str] = frozenset()):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.known = lexicon, known
 
     def __missing__(self, word: str):
-        found = self.lexicon.match(word.strip("*@$_"))
+        bare = word.strip("*@$_")
+        found = self.lexicon.match(bare)
+        if found and found[1] and bare in self.known:
+            found = None
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -132,8 +135,8 @@ class _Matches(dict):
         return found
 
 
-def hits(text: str | None, matches: _Matches) -> list[tuple[int, int, float]]:
-    """Each hit as (term, errors, context factor). Inside quotation marks or by a
+def hits(text: str | None, matches: _Matches) -> list[tuple[int, int, float, str]]:
+    """Each hit as (term, errors, context factor, word). Inside quotation marks or by a
     reporting word a hit counts less, by a word of direct address more."""
     tokens = tokens_of(text)
     found = [(at, m) for at, m in enumerate(map(matches.__getitem__, tokens)) if m is not None]
@@ -159,29 +162,55 @@ def hits(text: str | None, matches: _Matches) -> list[tuple[int, int, float]]:
             factor = 0.3
         elif not _ADDRESS.isdisjoint(near):
             factor = 1.3
-        out.append((term, errors, factor))
+        out.append((term, errors, factor, tokens[at].strip("*@$_")))
     return out
 
 
 class ToxicityModel:
-    """The lexicon and the logistic that turns evidence into a probability."""
+    """The lexicon, what hits count, and the logistic that turns evidence into a probability.
+
+    `shares`: for each term, what a hit with 0, 1 or 2 errors counts of its
+    weight. `known`: words of clean text that are near a term and no misspelling.
+    """
 
-    def __init__(self, lexicon: Lexicon, slope: float, offset: float):
-        self.lexicon, self.slope, self.offset = lexicon, slope, offset
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.slope, self.offset = lexicon, 1.0, -3.0
+        self.shares = [list(_ERRORS) for _ in lexicon.terms]
+        self.known: frozenset[str] = frozenset()
         self.uid = uuid.uuid4().hex
 
-    def evidence(self, text: str | None) -> float:
+    def hits(self, text: str | None) -> list[tuple[int, int, float, str]]:
         matches = _MEMORY.get(self.uid)
         if matches is None:
             _MEMORY.clear()
-            matches = _MEMORY[self.uid] = _Matches(self.lexicon)
-        terms = self.lexicon.terms
-        return math.log1p(sum(terms[k][2] * _ERRORS[e] * factor for k, e, factor in hits(text, matches)))
+            matches = _MEMORY[self.uid] = _Matches(self.lexicon, self.known)
+        return hits(text, matches)
+
+    def evidence(self, found: list[tuple[int, int, float, str]]) -> float:
+        return math.log1p(sum(self.lexicon.terms[k][2] * self.shares[k][e] * factor for k, e, factor, _ in found))
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.evidence(text) + self.offset
+        z = self.slope * self.evidence(self.hits(text)) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def calibrate(self, found: list[list[tuple[int, int, float, str]]], labels: np.ndarray) -> ToxicityModel:
+        """Set what misspelled hits count, and the logistic, from the hits in labelled documents."""
+        seen: dict[tuple[int, int], list[int]] = {}
+        known = set()
+        for doc, label in zip(found, labels):
+            for k, e in {(k, e) for k, e, _, _ in doc if e}:
+                seen.setdefault((k, e), [0, 0])[int(label)] += 1
+            if not label:
+                known.update(word for _, e, _, word in doc if e)
+        for (k, e), (clean, toxic) in seen.items():
+            if clean > 2 and clean > toxic:
+                self.shares[k][e] = 0.0  # near words are ordinary ones
+        self.known = frozenset(known)
+        self.uid = uuid.uuid4().hex
+        kept = [[h for h in doc if not (h[1] and h[3] in known)] for doc in found]
+        self.slope, self.offset = logistic(np.array([self.evidence(doc) for doc in kept]), np.asarray(labels))
+        return self
+
 
 _MEMORY: dict[str, _Matches] = {}
 
@@ -193,45 +222,50 @@ def _stems(token: str):
         yield token[:n]
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
+def choose_terms(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
     """Terms whose share of toxic documents no chance explains.
 
-    Counts are of unlike documents, by stem, or by word with a `$`. A stem
-    stands in for a longer one where it is in clearly more toxic documents.
+    For each stem, or word with a `$`: in how many unlike documents it is, and
+    how many different words it begins in each, summed. A stem stands in for a
+    longer one where it is in clearly more toxic documents.
     """
     if not n_toxic or not n_clean:
         return []
     rate = n_toxic / (n_toxic + n_clean)
-    bar = math.log(0.01 / max(1, len(toxic)))
+    bar = -math.log(max(1, sum(n >= 3 for n, _ in toxic.values())))  # one term by chance among all that are tried
 
     def good(stem: str) -> bool:
-        t, c = toxic.get(stem, 0), clean.get(stem, 0)
+        t, words = toxic.get(stem, (0, 0))
+        c = clean.get(stem, (0, 0))[0]
         if t < LEAST_SUPPORT or (t / n_toxic) < 20 * ((c + 0.5) / n_clean):
             return False
         n, share = t + c, t / (t + c)
-        # Chernoff's bound on so many of n being toxic by chance
+        # Chernoff's bound on so many of n being toxic by chance; several words of a stem in a document count double
         gain = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0)
-        return -n * gain < bar
+        return -n * gain * (2 if words >= 2 * t else 1) < bar
 
+    fits = {k for k in toxic if good(k)}
+    toxic, clean = {k: v[0] for k, v in toxic.items()}, {k: v[0] for k, v in clean.items()}
     chosen: dict[str, tuple[str, bool, float]] = {}
     for key in sorted(toxic):
-        if not good(key):
+        if key not in fits:
             continue
         best = key
         for n in range(min(LONGEST_STEM, len(key.rstrip("$"))), LEAST_LENGTH - 1, -1):
             stem = key[:n]
-            if stem != best and good(stem) and toxic[stem] >= 1.3 * toxic[best]:
+            if stem != best and stem in fits and toxic[stem] >= 1.3 * toxic[best]:
                 best = stem
         chosen[best] = (best.rstrip("$"), not best.endswith("$"), 0.0)
-    # a stem that only repeats a chosen word or stem adds nothing
+    # a stem in hardly more documents than one chosen word or stem that it begins adds nothing
+    ends: dict[str, int] = {}
+    for key in chosen:
+        for n in range(LEAST_LENGTH, len(key)):
+            ends[key[:n]] = max(ends.get(key[:n], 0), toxic[key])
+    chosen = {k: v for k, v in chosen.items() if k.endswith("$") or toxic[k] >= 1.3 * ends.get(k, 0)}
     kept = {}
     for key in chosen:
-        t = toxic[key]
-        whole = key.endswith("$")
-        covered = any(key[:n] in chosen for n in range(LEAST_LENGTH, len(key.rstrip("$")) + (1 if whole else 0)))
-        repeats = not whole and any(k.startswith(key) and k != key and t < 1.3 * toxic[k] for k in chosen)
-        if not covered and not repeats:
-            odds = ((t + 0.5) / (n_toxic + 1)) / ((clean.get(key, 0) + 0.5) / (n_clean + 1))
+        if not any(key[:n] in chosen for n in range(LEAST_LENGTH, len(key))):
+            odds = ((toxic[key] + 0.5) / (n_toxic + 1)) / ((clean.get(key, 0) + 0.5) / (n_clean + 1))
             kept[key] = (chosen[key][0], chosen[key][1], min(8.0, max(0.5, math.log(odds))))
     order = sorted(kept, key=lambda k: (-toxic[k], k))[:MAX_TERMS]
     return [kept[k] for k in order]
@@ -247,40 +281,46 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
     text_batches(spark)
     sample = docs.select(key, "text").join(F.broadcast(labelled(labels, column, key, rows)), key)
 
-    def stems(pdf: pd.DataFrame, wanted: frozenset[str] | None):
-        found: set[tuple[str, int]] = set()
-        for text in pdf["text"]:
-            distinct = {t.strip("*@$_") for t in tokens_of(text)}
-            like = min((zlib.crc32(t.encode()) for t in distinct), default=0)
-            for token in distinct:
-                for stem in _stems(token):
-                    if len(stem) >= LEAST_LENGTH and (wanted is None or stem in wanted):
-                        found.add((stem, like))
-        return pd.DataFrame(sorted(found), columns=["stem", "like"])
-
-    def support(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, int]:
+    def support(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, tuple[int, int]]:
         def run(batches):
             for pdf in batches:
-                yield stems(pdf, wanted)
-
-        counted = part.mapInPandas(run, "stem string, like long").groupBy("stem").agg(F.countDistinct("like").alias("n"))
+                found: dict[tuple[str, int], int] = {}
+                for text in pdf["text"]:
+                    like, begun = beginnings(text)
+                    for stem, words in begun.items():
+                        if wanted is None or stem in wanted:
+                            found[stem, like] = max(words, found.get((stem, like), 0))
+                yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["stem", "like", "words"])
+
+        each = part.mapInPandas(run, "stem string, like long, words long").groupBy("stem", "like").agg(F.max("words").alias("words"))
+        counted = each.groupBy("stem").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
         if wanted is None:
             counted = counted.where(F.col("n") >= LEAST_SUPPORT)
-        return {r["stem"]: r["n"] for r in counted.toLocalIterator()}
+        return {r["stem"]: (r["n"], r["words"]) for r in counted.toLocalIterator()}
 
     toxic = support(sample.where("label = 1"), None)
     clean = support(sample.where("label = 0"), frozenset(toxic)) if toxic else {}
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    lexicon = Lexicon(choose_terms(toxic, clean, sizes.get(1.0, 0), sizes.get(0.0, 0)))
-    model = ToxicityModel(lexicon, 1.0, 0.0)
+    model = ToxicityModel(Lexicon(choose_terms(toxic, clean, sizes.get(1.0, 0), sizes.get(0.0, 0))))
 
-    def weigh(batches):
+    def find(batches):
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf[key], "evidence": [model.evidence(t) for t in pdf["text"]], "label": pdf["label"]})
-
-    got = sample.mapInPandas(weigh, "key long, evidence double, label double").toPandas().sort_values(["key", "evidence"])
-    model.slope, model.offset = logistic(got["evidence"].to_numpy(), got["label"].to_numpy())
-    return model
+            found = [model.hits(t) for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf[key], "label": pdf["label"], "hits": [[{"term": k, "errors": e, "factor": f, "word": w} for k, e, f, w in doc] for doc in found]})
+
+    got = sample.mapInPandas(find, "key long, label double, hits array<struct<term:int,errors:int,factor:double,word:string>>").toPandas().sort_values("key", kind="stable")
+    return model.calibrate([[(h["term"], h["errors"], h["factor"], h["word"]) for h in doc] for doc in got["hits"]], got["label"].to_numpy())
+
+
+def beginnings(text: str | None) -> tuple[int, dict[str, int]]:
+    """A text's least word hash, which like texts share, and how many of its words each stem begins."""
+    distinct = {t.strip("*@$_") for t in tokens_of(text)}
+    found: dict[str, int] = {}
+    for token in distinct:
+        if len(token) >= LEAST_LENGTH:
+            for stem in _stems(token):
+                found[stem] = found.get(stem, 0) + 1
+    return min((zlib.crc32(t.encode()) for t in distinct), default=0), found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
