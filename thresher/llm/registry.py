@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thresher.llm import bpe, langid, packing, quality, toxicity
+from thresher.llm import bpe, chat, langid, media, packing, quality, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": media.op1_media,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_chat": chat.op5_chat,
         "op6_language_id": langid.op6_language_id,
         "op7_packing": packing.op7_packing,
+        "op8_sharding": sharding.op8_sharding,
         "op9_bpe": bpe.op9_bpe,
+        "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_chat": chat.OP5_SQL,
+        "op10_topk": topk.OP10_SQL,
+    }
