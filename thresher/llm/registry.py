@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thresher.llm import bpe, chat, langid, media, packing, quality, sharding, topk, toxicity
+from thresher.llm import bpe, chat, jaccard, langid, media, packing, quality, sharding, topk, toxicity
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": media.op1_media,
+        "op2_jaccard": jaccard.op2_jaccard,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat": chat.op5_chat,
@@ -20,11 +27,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_bpe": bpe.op9_bpe,
         "op10_topk": topk.op10_topk,
+        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard": jaccard.OP2_SQL,
         "op5_chat": chat.OP5_SQL,
         "op10_topk": topk.OP10_SQL,
     }
