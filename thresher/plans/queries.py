@@ -81,17 +81,23 @@ def unify_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- eligibility -----------------------------------------------------------
 
-_PATH = F.concat(F.lit("src/"), F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".test.js").when(F.col("doc_id") % 3 == 1, ".js").otherwise(".spec.js"))
+def _path() -> Column:
+    ending = F.when(F.col("doc_id") % 3 == 0, ".test.js").when(F.col("doc_id") % 3 == 1, ".js").otherwise(".spec.js")
+    return F.concat(F.lit("src/"), F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), ending)
+
+
 _SQL_PATH = "('src/' || source || '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.test.js' WHEN 1 THEN '.js' ELSE '.spec.js' END)"
 
 
-def _spiced(marker: str) -> tuple[Column, str]:
+def _spiced(marker: str) -> Column:
     """The text, with a marker inside, at its end, or not at all, by the id."""
     c, n = F.col("text"), F.col("doc_id") % 4
-    column = F.when(n == 0, F.concat(F.lit(marker), c)).when(n == 1, F.concat(F.substring(c, 1, 100), F.lit(marker))).when(n == 2, F.concat(F.substring(c, 1, 100), F.lit(marker + "\n"))).otherwise(c)
-    m = _sql_text(marker)
-    line = _sql_text(marker + "\n")
-    return column, f"(CASE doc_id % 4 WHEN 0 THEN {m} || text WHEN 1 THEN left(text, 100) || {m} WHEN 2 THEN left(text, 100) || {line} ELSE text END)"
+    return F.when(n == 0, F.concat(F.lit(marker), c)).when(n == 1, F.concat(F.substring(c, 1, 100), F.lit(marker))).when(n == 2, F.concat(F.substring(c, 1, 100), F.lit(marker + "\n"))).otherwise(c)
+
+
+def _sql_spiced(marker: str) -> str:
+    m, line = _sql_text(marker), _sql_text(marker + "\n")
+    return f"(CASE doc_id % 4 WHEN 0 THEN {m} || text WHEN 1 THEN left(text, 100) || {m} WHEN 2 THEN left(text, 100) || {line} ELSE text END)"
 
 
 _SAMPLE = "left({}, 5000)"
@@ -112,12 +118,10 @@ def _sql_hits(x: str) -> dict[str, str]:
 
 
 def _marked(marker: str, hit: Callable[[Column], Column], kind: str) -> tuple[Query, str]:
-    column, sql = _spiced(marker)
-
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", hit(el.sample_of(column)).alias("hit"))
+        return table(spark, sf_dir, "documents").select("doc_id", hit(el.sample_of(_spiced(marker))).alias("hit"))
 
-    return run, f"SELECT doc_id, {_sql_hits(_SAMPLE.format(sql))[kind]} AS hit FROM documents"
+    return run, f"SELECT doc_id, {_sql_hits(_SAMPLE.format(_sql_spiced(marker)))[kind]} AS hit FROM documents"
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,11 +138,11 @@ def max_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", _PATH.alias("path")).where(el.not_a_test(F.col("path")))
+    return table(spark, sf_dir, "documents").select("doc_id", _path().alias("path")).where(el.not_a_test(F.col("path")))
 
 
 def exclude_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", _PATH.alias("path")).where(el.outside_folders(F.col("path"), ["src0", "src7"]))
+    return table(spark, sf_dir, "documents").select("doc_id", _path().alias("path")).where(el.outside_folders(F.col("path"), ["src0", "src7"]))
 
 
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +151,7 @@ def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eligible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", _PATH.alias("path"), "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), "text")
     return rows.where(el.eligible(F.col("path"), F.col("text"), F.octet_length("text"))).select("doc_id", "path")
 
 

@@ -12,7 +12,7 @@ def scan(spark: SparkSession, path: str | list[str], pattern: str = "*.js", recu
     """path, length and content of each file below `path` whose name fits `pattern`.
 
     A size condition on `length` reaches the scan, and content is not read
-    where it isn't asked for.
+    where it isn't asked for. Spark's scan passes over files without a byte.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     return reader.load(path).select("path", "length", "content")
@@ -33,7 +33,10 @@ def read_listed(spark: SparkSession, paths: Iterable[str], root: str) -> DataFra
     import os
 
     there = [os.path.join(root, p) for p in paths if p and os.path.isfile(os.path.join(root, p))]
-    if not there:
-        return spark.createDataFrame([], "path string, length long, content binary")
-    escaped = ["".join(f"\\{c}" if c in "*?[]{}\\," else c for c in p) for p in there]
-    return relative(spark.read.format("binaryFile").load([f"file://{p}" for p in escaped]).select("path", "length", "content"), root)
+    filled = [p for p in there if os.path.getsize(p)]
+    empty = spark.createDataFrame([(p, 0, bytearray()) for p in there if p not in set(filled)], "path string, length long, content binary")
+    if not filled:
+        return relative(empty, root)
+    escaped = ["".join(f"\\{c}" if c in "*?[]{}\\," else c for c in p) for p in filled]
+    found = spark.read.format("binaryFile").load([f"file://{p}" for p in escaped]).select("path", "length", "content")
+    return relative(found.unionByName(empty), root)
