@@ -1,0 +1,40 @@
+import pytest
+
+pytest.importorskip("thresher.llm.registry")
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and no letter at all."""
+    long = " ".join(f"word{i % 977} tail{i}" for i in range(30_000))
+    rows = [
+        (1, "hello world this is a short text", "en", "a", 32),
+        (2, None, None, None, None),
+        (3, "", "en", "a", 0),
+        (4, long, "en", "b", len(long)),
+        (5, "12 34 ... !!! \n\n 99", None, "b", None),
+        (6, "hello world this is a short text", "en", "a", 32),
+        (6, "hello world this is a short text", "en", "a", 32),
+        (7, "<|endoftext|> straße ÉTÉ 日本語 \t x", "de", None, 5),
+        (None, "no id here", "en", "a", 10),
+        (8, "a" * 70_000, "xx", "c", 70_000),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def write_tables(tmp_path_factory):
+    def write(**tables):
+        folder = tmp_path_factory.mktemp("tables")
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}.parquet")
+        return str(folder)
+
+    return write

@@ -1,0 +1,60 @@
+import hashlib
+import random
+
+from tokenizers import Tokenizer
+
+from thresher.llm import bpe
+
+
+def plain_merge(symbols, pairs):
+    symbols = list(symbols)
+    while True:
+        found = [(pairs[a << 32 | b][0], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a << 32 | b in pairs]
+        if not found:
+            return symbols
+        _, i = min(found)
+        symbols[i : i + 2] = [pairs[symbols[i] << 32 | symbols[i + 1]][1]]
+
+
+def test_merges_match_repeated_scans():
+    rng = random.Random(2)
+    for _ in range(300):
+        pairs, rank, size = {}, 0, 4
+        for _ in range(rng.randint(0, 12)):
+            key = rng.randrange(size) << 32 | rng.randrange(size)
+            if key not in pairs:
+                pairs[key] = (rank, size)
+                rank, size = rank + 1, size + 1
+        word = [rng.randrange(4) for _ in range(rng.randint(0, 30))]
+        assert bpe.merge_word(word, pairs) == plain_merge(word, pairs)
+
+
+def test_matches_the_library():
+    library, ours = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+    rng = random.Random(4)
+    bits = list("abcdeth  'sßÉéΣσς\n\t\x1c\x85　İ1234½Ⅷ!?.,_-<|>日本語😀аб") + ["é", "<|endoftext|>", "<|startoftext|>", "'ll", "aaaa", "aab" * 400]
+    for _ in range(1500):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 40)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == ids, repr(text)
+        assert ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_query_on_odd_documents(spark, odd_docs, write_tables):
+    library = Tokenizer.from_file(bpe.default_path())
+    rows = bpe.op9_bpe(spark, write_tables(documents=odd_docs)).collect()
+    texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd_docs.collect())
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_clashing_columns_and_empty_table(spark, odd_docs, no_docs):
+    clash = odd_docs.withColumnsRenamed({"lang": "ids", "source": "decoded"})
+    out = bpe.encode_decode(clash, bpe.default_path())
+    assert sorted(out.columns) == sorted(clash.columns)
+    assert out.where("doc_id = 3").first().ids == []
+    assert bpe.encode_decode(no_docs, bpe.default_path()).collect() == []

@@ -1,0 +1,90 @@
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from thresher.llm import packing
+
+
+def plain_bins(items, capacity):
+    left = []
+    for length in sorted(items, reverse=True):
+        fits = [b for b in range(len(left)) if left[b] >= length]
+        if fits:
+            left[min(fits, key=lambda b: left[b])] -= length
+        else:
+            left.append(capacity - length)
+    return sorted(left)
+
+
+def placed(runs):
+    out = {}
+    for length, _, count, first, each, offset in runs:
+        for i in range(count):
+            out.setdefault(first + i // each, []).append((offset + i % each * length, length))
+    return out
+
+
+def test_runs_are_best_fit_decreasing():
+    rng = random.Random(3)
+    for _ in range(200):
+        capacity = rng.choice([10, 37, 64, 100])
+        items = [rng.randint(1, capacity if rng.random() < 0.5 else max(1, capacity // 4)) for _ in range(rng.randint(0, 120))]
+        counts = {x: items.count(x) for x in items}
+        left = []
+        for pieces in placed(packing.best_fit_decreasing(counts, capacity)).values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            left.append(capacity - at)
+        assert sorted(left) == plain_bins(items, capacity)
+
+
+def test_ids_match_the_library():
+    library, ours = Tokenizer.from_file(packing.default_path()), packing.load(packing.default_path())
+    rng = random.Random(9)
+    bits = list("abcdeth  'sÉé\n\t\x1c　 12!?.,<|>日😀ª²") + ["<|endoftext|>", "'ll", " the ", " of", "\n", " x", " y", "it's", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def check(rows, docs):
+    library = Tokenizer.from_file(packing.default_path())
+    ids = {}
+    for d in docs:
+        ids.setdefault(d.doc_id, []).append(library.encode(d.text or "", add_special_tokens=False).ids + [0])
+    assert sum(r.length for r in rows) == sum(len(x) for lists in ids.values() for x in lists)
+    sequences = {}
+    for r in rows:
+        whole = ids[r.doc_id][0]
+        assert r.ids_crc32 == zlib.crc32(np.array(whole[r.start : r.start + r.length], "<u4").tobytes())
+        assert len(whole) > packing.CAPACITY or (r.start, r.length) == (0, len(whole))
+        assert r.piece == 0 or r.length == packing.CAPACITY
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert len(sequences) == len(plain_bins([r.length for r in rows], packing.CAPACITY))
+
+
+def test_query_on_odd_documents(spark, odd_docs, write_tables):
+    check(packing.op7_packing(spark, write_tables(documents=odd_docs.repartition(3))).collect(), odd_docs.collect())
+
+
+def test_query_on_a_table(spark, sf_small):
+    check(packing.op7_packing(spark, sf_small).collect(), spark.read.parquet(f"{sf_small}/documents.parquet").collect())
+
+
+def test_lengths_that_do_not_fit(spark, no_docs):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 11), (5, 10), (6, 5)], "id long, length long").withColumn("offset", F.lit("mine"))
+    got = {r.id: (r.sequence_id, r.offset) for r in packing.pack(df, capacity=10).collect()}
+    assert got[2] == got[3] == got[4] == (None, None)
+    assert got[1][0] == got[6][0] != got[5][0] and {got[1][1], got[6][1]} == {0, 5}
+    assert packing.packed_documents(no_docs).collect() == []
