@@ -1,7 +1,5 @@
 import pytest
 
-pytest.importorskip("thresher.llm.registry")
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thresher.llm._common import held_out, table, text_batches, text_or_empty
@@ -244,21 +244,25 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
     return learn(path, counts.sort_values(["lang", "word"], ignore_index=True))
 
 
+def prediction(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
+    """struct<lang, score> of each text of `df`, as a column."""
+    text_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def predict(texts: pa.Array) -> pa.Array:
+        names, scores = shared.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+    return F.arrow_udf(predict, "struct<lang:string,score:double>")(text_or_empty(text))
+
+
 def detect(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """`df` with the language of each text and its posterior probability.
 
     Text that is null or has no letter: `und` and 0. Ties go to the language
     first in sorted order. Columns of the output names are replaced.
     """
-    spark = df.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def predict(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-
-    out = F.arrow_udf(predict, "struct<lang:string,score:double>")(text_or_empty(text))
+    out = prediction(df, model, text)
     return df.withColumns({lang_pred: out["lang"], score: out["score"]})
 
 
@@ -277,5 +281,5 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with the columns they came with."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), default_path())
-    found = detect(docs, model, lang_pred="_lang_pred", score="_lang_score")
-    return found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= MIN_SCORE)).select(*docs.columns)
+    found = prediction(docs, model)
+    return docs.where((found["lang"] != UNDETERMINED) & (found["score"] >= MIN_SCORE))

@@ -18,7 +18,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thresher.llm._common import held_out, table, text_batches
@@ -188,26 +188,30 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str =
     return FactorisationMachine().fit(pairs, got["label"].to_numpy(dtype=np.float32))
 
 
-def _length(docs: DataFrame):
+def _length(docs: DataFrame) -> Column:
     """The length as the table has it, or else none: then the text's own counts."""
     return (F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("_n_chars")
 
 
+def probability(df: DataFrame, model: FactorisationMachine) -> Column:
+    """The probability that each text of `df` is good, as a column."""
+    text_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def score(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+        found = [features(t, n) for t, n in zip(texts.to_pylist(), lengths.to_pylist())]
+        return pa.array(shared.value.score(found), pa.float64())
+
+    return F.arrow_udf(score, "double")(F.col("text"), _length(df))
+
+
 def classify(df: DataFrame, model: FactorisationMachine, score: str = "score") -> DataFrame:
     """`df` with the probability that each text is good.
 
     Null text counts as empty and is scored like any other. A null `n_chars`
     is taken from the text. A column named `score` is replaced, all others stay.
     """
-    spark = df.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def probability(texts: pa.Array, lengths: pa.Array) -> pa.Array:
-        found = [features(t, n) for t, n in zip(texts.to_pylist(), lengths.to_pylist())]
-        return pa.array(shared.value.score(found), pa.float64())
-
-    return df.withColumn(score, F.arrow_udf(probability, "double")(F.col("text"), _length(df)))
+    return df.withColumn(score, probability(df, model))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,4 +229,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good, with the columns they came with."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return classify(docs, model, "_quality").where(F.col("_quality") >= THRESHOLD).select(*docs.columns)
+    return docs.where(probability(docs, model) >= THRESHOLD)
