@@ -11,11 +11,11 @@ is gathered into one task.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,16 +26,39 @@ from thresher.llm._common import stored, table, text_batches, text_or_empty
 CAPACITY = 2048
 #: Id after the last token of each document.
 END_ID = 0
-#: Words a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's memory.
+CACHE_WORDS = 250_000
+
+#: How byte-level vocabularies split text before the merges; a fixed value.
+_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+class _Memory(dict):
+    """What words become, found when first asked for. Two generations keep what is in use, and the size bounded."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.find(word)
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 class ByteBPE:
     """Ids as the `tokenizers` library gives them for a byte-level BPE file.
 
     A single space or line end between other characters always starts a new
-    pre-token, so words can be encoded apart and remembered. Texts with other
-    white space, or with the string of an added token, go to the library whole.
+    pre-token, so words can be encoded apart and remembered; what is new goes
+    to the library's model. Texts with other white space or with the string of
+    an added token, and words of rarer scripts, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -44,48 +67,49 @@ class ByteBPE:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self._odd = re.compile("|".join([r"\s\s|^\s|\s\Z|[^\S \n]", *added]))
+        self.model = self.library.model
+        self._added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._line = self._ids("\n")
-        self._bare: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = iter(range(256, 512))
+        self._visible = {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
+        self._tokens = _Memory(self._token)
+        self._bare = _Memory(lambda w: self._word(w, w))
+        self._spaced = _Memory(lambda w: self._word(w, " " + w))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str], space: str, into: dict[str, bytes]) -> None:
-        if len(into) + len(words) > CACHE_WORDS:
-            into.clear()
-        line = int(np.frombuffer(self._line, dtype="<u4")[0])
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.frombuffer(self._ids("\n".join([space + w for w in part])), dtype="<u4")
-            raw, cuts = ids.tobytes(), np.flatnonzero(ids == line).tolist()
-            for w, a, b in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                into[w] = raw[4 * a + 4 : 4 * b]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        lines = [None if self._odd.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        plain = [line for doc in lines if doc is not None for line in doc]
-        bare = {line[0] for line in plain}
-        spaced = {w for line in plain for w in line[1:]}
-        bare.discard("")
-        for words, space, into in ((bare, "", self._bare), (spaced, " ", self._spaced)):
-            if new := [w for w in words if w not in into]:
-                if len(into) + len(new) > CACHE_WORDS:
-                    new = list(words)  # the cache starts afresh, with all that this batch needs
-                self._learn(new, space, into)
+    def _token(self, text: str) -> bytes:
+        """Ids of one pre-token, by the model itself."""
+        seen = text.encode("utf-8").decode("latin-1").translate(self._visible)
+        return np.array([t.id for t in self.model.tokenize(seen)], dtype="<u4").tobytes()
+
+    def _word(self, word: str, text: str) -> bytes:
+        """Ids of a stretch between spaces or line ends, `text` being it with its leading space if it has one."""
+        if not word:
+            return b""
+        if not word.isascii() and max(word) > "\u024f":
+            return self._ids(text)
+        if word.isalpha():
+            return self._tokens[text]
+        return b"".join(map(self._tokens.__getitem__, _PRETOKENS.findall(text)))
+
+    def _odd(self, text: str) -> bool:
+        plain = text.replace("\n", "")
+        if not plain.isprintable() or text[0] in " \n" or text[-1] in " \n":
+            return True
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(t in text for t in self._added)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if not text:
+            return b""
+        if self._odd(text):
+            return self._ids(text)
         first, rest = self._bare, self._spaced.__getitem__
-        out = []
-        for text, doc in zip(texts, lines):
-            if doc is None:
-                out.append(self._ids(text))
-            elif not text:
-                out.append(b"")
-            else:
-                out.append(self._line.join([b"".join([first[line[0]], *map(rest, line[1:])]) for line in doc]))
-        return out
+        lines = [line.split(" ") for line in text.split("\n")]
+        return self._line.join([b"".join([first[line[0]], *map(rest, line[1:])]) for line in lines])
 
 
 @lru_cache(maxsize=2)
@@ -106,10 +130,10 @@ def cut(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY)
     def pieces(texts: pa.Array) -> pa.Array:
         rows: list[dict] = []
         ends = [0]
-        coded = load(path).encode_many([t or "" for t in texts.to_pylist()])
+        bpe = load(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for raw in coded:
-            raw += end
+        for text in texts.to_pylist():
+            raw = bpe.encode(text or "") + end
             n = len(raw) // 4
             at = 0
             size = n % capacity or min(n, capacity)
