@@ -75,5 +75,10 @@ def small_enough(size: Column) -> Column:
 
 
 def eligible(path: Column, text: Column, size: Column, folders: Iterable[str] = ()) -> Column:
-    """All rules together. A null path, text or size is not eligible."""
-    return F.coalesce(not_a_test(path) & outside_folders(path, folders) & small_enough(size) & not_minified(sample_of(text)), F.lit(False))
+    """All rules together. A null path, text or size is not eligible.
+
+    The sample is bound to a variable, so that it is taken once for all rules
+    and not once for each.
+    """
+    fits = F.exists(F.array(sample_of(text)), not_minified)
+    return F.coalesce(not_a_test(path) & outside_folders(path, folders) & small_enough(size) & fits, F.lit(False))

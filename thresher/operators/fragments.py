@@ -52,8 +52,10 @@ def eligible_files(files: DataFrame, folders: Iterable[str] = ()) -> DataFrame:
     as a lenient reader would. Conditions on path and length alone come first,
     so they reach the scan.
     """
-    seen = F.replace(decoded(F.col("content")), F.lit("�"), F.lit(""))
-    strict = F.when(F.is_valid_utf8(F.col("content").cast("string")), decoded(F.col("content")))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = decoded(F.col("content"))
+    seen = F.when(valid, text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    strict = F.when(valid, text)
     rows = files.where((F.col("length") <= 1_000_000) & ~F.col("path").endswith(".test.js"))
     return rows.where(eligible(F.col("path"), seen, F.col("length"), folders)).withColumn("text", strict)
 
