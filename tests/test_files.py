@@ -106,3 +106,8 @@ def test_nulls_and_empty_tables(spark):
 def test_batches(spark):
     got = pl.batch_numbers(spark.range(0, 200_001, 2).select(F.col("id").alias("k")), "k").groupBy("batch").count().collect()
     assert sorted((r.batch, r["count"]) for r in got) == [(b, 50) for b in range(2000)] + [(2000, 1)]
+
+
+def test_files_are_parsed_once(spark, tree):
+    plan = pl.rows_of(pl.analyse_tree(spark, str(tree)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan

@@ -35,9 +35,10 @@ def functions_of(text: Column) -> Column:
     """Functions of a JavaScript text as array<struct<code, start, end>>.
 
     Null and empty text, and text that does not parse, give an empty array,
-    so one file never fails a job.
+    so one file never fails a job. Declared non-deterministic, since the
+    optimizer would otherwise parse once more for a filter that it infers.
     """
-    return F.arrow_udf(_parse, SPANS)(text)
+    return F.arrow_udf(_parse, SPANS).asNondeterministic()(text)
 
 
 def decoded(content: Column) -> Column:
@@ -72,5 +73,5 @@ def chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
 
 def fragments(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row for each function: code, start, end, processedCode, path. Nested functions overlap."""
-    found = files.select(F.col(path).alias("path"), F.explode(functions_of(F.col(text))).alias("_f"))
+    found = files.select(F.col(path).alias("path"), functions_of(F.col(text)).alias("_found")).select("path", F.explode("_found").alias("_f"))
     return found.select("_f.code", "_f.start", "_f.end", normalize_js(F.col("_f.code")).alias("processedCode"), "path")
