@@ -58,6 +58,29 @@ def release_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CACHES: dict[str, list] = {}
+_OWNER = [""]
+
+
+def worker_cache(owner: str, cache):
+    """Register a cache that a worker keeps between batches for one operator. Returns it."""
+    _CACHES.setdefault(owner, []).append(cache)
+    return cache
+
+
+def claim(owner: str) -> None:
+    """Called by an operator on its batches: empties what other operators left in this worker.
+
+    Workers live on from stage to stage, so their memories would add up.
+    """
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for other, caches in _CACHES.items():
+            if other != owner:
+                for cache in caches:
+                    cache.clear()
+
+
 def held_out(doc_id: Column) -> Column:
     """True on the fold that no label or language may be learned from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -13,7 +13,6 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import table, text_batches, text_or_empty
+from thresher.llm._common import claim, table, text_batches, text_or_empty, worker_cache
 
 #: Chunks a worker remembers before it starts afresh.
 CACHE_CHUNKS = 400_000
@@ -176,9 +175,15 @@ class WordBPE:
         return " ".join(self.tokens[np.asarray(ids, dtype=np.int64)].tolist())
 
 
-@lru_cache(maxsize=4)
+_LOADED: dict[str, WordBPE] = worker_cache("bpe", {})
+
+
 def load(path: str) -> WordBPE:
-    return WordBPE(path)
+    """The tokenizer of a file, kept by each worker."""
+    claim("bpe")
+    if path not in _LOADED:
+        _LOADED[path] = WordBPE(path)
+    return _LOADED[path]
 
 
 def _columns(path: str):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thresher.llm._common import held_out, table, text_batches, text_or_empty
+from thresher.llm._common import claim, held_out, table, text_batches, text_or_empty, worker_cache
 
 #: Training documents for each language: the bound of the sample that the model is fitted on.
 DOCS_PER_LANGUAGE = 500
@@ -30,8 +30,8 @@ MAX_LANGUAGES = 200
 ROUNDS = 3
 #: Pseudo-counts that each language gets from the pieces of all languages together.
 SMOOTHING = 2000.0
-#: Words whose log probabilities a worker remembers.
-CACHE_WORDS = 300_000
+#: Words in a generation of a worker's memory.
+CACHE_WORDS = 120_000
 #: Confidence under which the pipeline's stage rejects a document.
 MIN_SCORE = 0.5
 #: The prediction for text that is null or has no letter.
@@ -150,6 +150,9 @@ class LanguageModel:
         self.path, self.languages, self.probability = path, languages, probability
         self.uid = uuid.uuid4().hex
 
+    def _none(self) -> np.ndarray:
+        return np.zeros((0, len(self.languages)))
+
     def log_words(self, words: list[str]) -> np.ndarray:
         vocab = pieces(self.path)
         out = np.zeros((len(words), len(self.languages)))
@@ -159,21 +162,20 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and its posterior under a uniform prior. No letter, or nothing learned: `und`, 0."""
-        memory = _MEMORY.get(self.uid)
-        if memory is None:
+        if self.uid not in _MEMORY:
             _MEMORY.clear()
-            memory = _MEMORY[self.uid] = ({}, np.zeros((0, len(self.languages))))
-        rows, logs = memory
+            _MEMORY[self.uid] = [({}, self._none()), ({}, self._none())]
+        (rows, logs), (old_rows, old_logs) = _MEMORY[self.uid]
         docs = [words_of(t) for t in texts]
         if self.languages:
-            new = list({w for d in docs for w in d if w not in rows})
-            if len(rows) + len(new) > CACHE_WORDS:
-                rows, logs = {}, logs[:0]
-                new = list({w for d in docs for w in d})
-            if new:
-                rows.update(zip(new, range(len(logs), len(logs) + len(new))))
-                logs = np.concatenate([logs, self.log_words(new)])
-            _MEMORY[self.uid] = (rows, logs)
+            if len(rows) > CACHE_WORDS:
+                rows, logs, old_rows, old_logs = {}, self._none(), rows, logs
+            missing = set().union(*docs).difference(rows)
+            known = [w for w in missing if w in old_rows]
+            new = [w for w in missing if w not in old_rows]
+            rows.update(zip(known + new, range(len(logs), len(logs) + len(missing))))
+            logs = np.concatenate([logs, old_logs[np.array([old_rows[w] for w in known], dtype=np.int64)], self.log_words(new)])
+            _MEMORY[self.uid] = [(rows, logs), (old_rows, old_logs)]
         names, scores = [], []
         for d in docs:
             if not d or not self.languages:
@@ -188,7 +190,8 @@ class LanguageModel:
         return names, scores
 
 
-_MEMORY: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+#: By model, the words of two generations and their log probabilities.
+_MEMORY: dict[str, list[tuple[dict[str, int], np.ndarray]]] = worker_cache("language", {})
 
 
 def learn(path: str, counts: pd.DataFrame) -> LanguageModel:
@@ -250,6 +253,7 @@ def prediction(df: DataFrame, model: LanguageModel, text: str = "text") -> Colum
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:
+        claim("language")
         names, scores = shared.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 

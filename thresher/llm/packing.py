@@ -11,8 +11,6 @@ is gathered into one task.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thresher.llm._common import stored, table, text_batches, text_or_empty
+from thresher.llm._common import claim, stored, table, text_batches, text_or_empty, worker_cache
 
 CAPACITY = 2048
 #: Id after the last token of each document.
 END_ID = 0
 #: Words in a generation of a worker's memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 160_000
 
 #: How byte-level vocabularies split text before the merges; a fixed value.
 _PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -112,9 +110,15 @@ class ByteBPE:
         return self._line.join([b"".join([first[line[0]], *map(rest, line[1:])]) for line in lines])
 
 
-@lru_cache(maxsize=2)
+_LOADED: dict[str, ByteBPE] = worker_cache("packing", {})
+
+
 def load(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    """The tokenizer of a file, kept by each worker."""
+    claim("packing")
+    if path not in _LOADED:
+        _LOADED[path] = ByteBPE(path)
+    return _LOADED[path]
 
 
 def cut(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:

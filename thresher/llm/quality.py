@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import held_out, table, text_batches
+from thresher.llm._common import claim, held_out, table, text_batches
 
 #: Labelled documents the machine is fitted on: the bound of the sample.
 TRAIN_DOCS = 6000
@@ -59,20 +59,6 @@ _CLASS = np.zeros(256, dtype=np.uint8)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@[]^_`{}~\\", b"!?", b".", b"|", b"\n"), start=1):
     _CLASS[list(_chars)] = _k
 
-_ROWS: dict[str, int] = {}
-
-
-def _row(word: str) -> int:
-    found = _ROWS.get(word)
-    if found is None:
-        if len(_ROWS) > 500_000:
-            _ROWS.clear()
-        found = zlib.crc32(word.encode("utf-8")) & (WORD_FEATURES - 1)
-        if len(word) <= 64:
-            _ROWS[word] = found
-    return found
-
-
 def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and values of a text's features. `n_chars` defaults to the text's own length."""
     text = text or ""
@@ -93,7 +79,7 @@ def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray
         float(len(words)),
         float(len(text) if n_chars is None or n_chars != n_chars else n_chars),
     )
-    rows = [_row(w) for w in counts]
+    rows = [zlib.crc32(w.encode("utf-8")) & (WORD_FEATURES - 1) for w in counts]
     values = [1.0 / (1.0 + len(counts)) ** 0.5] * len(rows)
     for k, (edges, value) in enumerate(zip(_EDGES.values(), stats)):
         rows.append(WORD_FEATURES + k * _WIDEST + int(np.searchsorted(edges, value, side="right")))
@@ -199,6 +185,7 @@ def probability(df: DataFrame, model: FactorisationMachine) -> Column:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+        claim("quality")
         found = [features(t, n) for t, n in zip(texts.to_pylist(), lengths.to_pylist())]
         return pa.array(shared.value.score(found), pa.float64())
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import held_out, table, text_batches
+from thresher.llm._common import claim, held_out, table, text_batches, worker_cache
 from thresher.llm.quality import labelled
 
 #: Labelled documents the lexicon is learned from: the bound of the sample.
@@ -35,7 +35,7 @@ MAX_TERMS = 5000
 #: Words before and after a hit that its score depends on.
 WINDOW = 4
 #: Words whose matches a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 _QUOTING = frozenset("said says say quote quoted quotes called calls wrote writes word words term terms sagte sagt zitat wort dit disait mot citation dijo dice palabra cita".split())
 _ADDRESS = frozenset("you your youre u ur du dich dein ihr sie euch tu toi ton vous votre te tú usted ustedes vosotros".split())
@@ -212,7 +212,7 @@ class ToxicityModel:
         return self
 
 
-_MEMORY: dict[str, _Matches] = {}
+_MEMORY: dict[str, _Matches] = worker_cache("toxicity", {})
 
 
 def _stems(token: str):
@@ -351,6 +351,7 @@ def rate(df: DataFrame, model: ToxicityModel, score: str = "score") -> DataFrame
     shared = spark.sparkContext.broadcast(model)
 
     def probability(texts: pa.Array) -> pa.Array:
+        claim("toxicity")
         model = shared.value
         return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
 
