@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thresher.llm._common import stored, table, text_batches
+from thresher.llm._common import claim, stored, table, text_batches, worker_cache
 
 #: Words in a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -33,9 +34,11 @@ TARGET_RECALL = 0.99
 #: Shingles on the longest path.
 DEPTH = 3
 #: Sets that one task compares by brute force.
-BUCKET = 512
+BUCKET = 256
 #: Bins of a sketch.
 BINS = 128
+#: Words whose hashes a worker remembers.
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHE_WORDS:
             self.clear()
         found = xxhash.xxh64_intdigest(word.encode("utf-8"))
         if len(word) <= 64:
@@ -71,7 +74,7 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()
+_HASHES = worker_cache("jaccard", _Hashes())
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -104,9 +107,15 @@ def sketch(tokens: np.ndarray) -> bytes:
 def picks(parents: np.ndarray, tokens: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the buckets below `parents` that a set goes into, and how many there are below each."""
     bar = _U(min(2**64 - 1, int(share * 2**64)))
-    drawn = mix(mix(parents)[:, None] ^ tokens[None, :])
-    row, col = np.nonzero(drawn <= bar)
-    return mix(drawn[row, col] + _MIX), np.bincount(row, minlength=len(parents))
+    seeds = mix(parents)[:, None]
+    rows, keys = [], []
+    for at in range(0, len(tokens), 1 << 16):  # long texts part by part
+        drawn = mix(seeds ^ tokens[None, at : at + (1 << 16)])
+        row, col = np.nonzero(drawn <= bar)
+        rows.append(row)
+        keys.append(mix(drawn[row, col] + _MIX))
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    return (key if len(rows) == 1 else key[np.argsort(row, kind="stable")]), np.bincount(row, minlength=len(parents))
 
 
 def describe(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, runs: int | None = None) -> DataFrame:
@@ -115,6 +124,7 @@ def describe(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY
     runs = runs or runs_for()
 
     def run(texts: pa.Array) -> pa.Array:
+        claim("jaccard")
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * _MIX)
         hashes, sizes, sketches = [], [], []
         n1, k1, n2, k2, n3, k3 = [], [], [], [], [], []
@@ -313,6 +323,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     compared = compared.repartition("task").sortWithinPartitions("task", "set_hash")
 
     def may_link(batches):
+        claim("jaccard")
         for rows in _grouped(batches, "task"):
             rows = list({r["set_hash"]: r for r in rows}.values())
             if len(rows) < 2:
@@ -331,14 +342,21 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     texts = again.join(_blocks(grouped, F.col("root"), "node", "size"), "rep")
     texts = texts.select(F.concat_ws(":", F.hex("root"), "low", "high").alias("task"), "node", "weight", "block", "low", "high", "size", "text")
 
-    def tokens(column: pa.Array) -> pa.Array:
-        found = [shingles(t, words) for t in column.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary())], ["tokens", "hash"])
+    def tokens(batches):
+        """The shingles of each text, where they are those of the node it stands for."""
+        claim("jaccard")
+        for batch in batches:
+            found = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            mine = [xxhash.xxh3_128_digest(f) == node for f, node in zip(found, batch.column("node").to_pylist())]
+            out = pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(found, pa.binary())], names=[*(n for n in batch.schema.names if n != "text"), "tokens"])
+            yield out.filter(pa.array(mine, pa.bool_()))
 
-    read = texts.withColumn("_t", F.arrow_udf(tokens, "struct<tokens:binary,hash:binary>")("text")).where(F.col("_t.hash") == F.col("node"))
-    read = read.select("task", "node", "weight", "block", "low", "high", "size", "_t.tokens").repartition("task").sortWithinPartitions("task", "node")
+    # as a map over the joined rows, so that only texts of candidate groups are read for shingles
+    read = texts.mapInArrow(tokens, "task string, node binary, weight long, block int, low int, high int, size long, tokens binary")
+    read = read.repartition("task").sortWithinPartitions("task", "node")
 
     def verify(batches):
+        claim("jaccard")
         for rows in _grouped(batches, "task"):
             rows = list({r["node"]: r for r in rows}.values())
             linked = similar([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows], similarity)
@@ -394,7 +412,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if repeats.isEmpty():
         return kept
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    named = kept.where("doc_id is not null").withColumn("_nth", again).where("_nth = 1").select(*docs.columns)
+    nth = f"nth_{uuid.uuid4().hex}"
+    named = kept.where("doc_id is not null").withColumn(nth, again).where(F.col(nth) == 1).drop(nth)
     return named.unionByName(kept.where("doc_id is null"))
 
 
