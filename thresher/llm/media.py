@@ -126,7 +126,8 @@ def interleave(df: DataFrame, html: str = "html", segments: str = "segments") ->
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
         return pa.array([segments_of(p) for p in pages.to_pylist()], kind)
 
-    return df.withColumn(segments, F.arrow_udf(parse, SEGMENTS)(F.col(html)))
+    # non-deterministic, or the optimizer parses once more for a filter that it infers from an explode
+    return df.withColumn(segments, F.arrow_udf(parse, SEGMENTS).asNondeterministic()(F.col(html)))
 
 
 def resolve(df: DataFrame, store: DataFrame, key: str, segments: str = "segments", digest: str = "digest") -> DataFrame:
@@ -236,5 +237,6 @@ def read_back(store: DataFrame, digest: str = "digest", media: str = "media") ->
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = stored(store_documents(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
     pages = interleave(written.select("doc_id", "n_bytes", "html").withColumn("_key", F.struct("doc_id", "n_bytes")))
-    found = resolve(pages, read_back(written), "_key")
+    # stored, so that both sides of the digest join are plain exchanges and a hot digest can be split
+    found = resolve(pages, stored(read_back(written), "features"), "_key")
     return found.select("_key.doc_id", "_key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
