@@ -26,6 +26,8 @@ from thresher.llm._common import claim, held_out, table, text_batches, text_or_e
 DOCS_PER_LANGUAGE = 500
 #: Languages that may be learned, the most frequent first.
 MAX_LANGUAGES = 200
+#: Parts that a frequent language's documents are dealt to before its sample is chosen.
+PARTS = 64
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: Pseudo-counts that each language gets from the pieces of all languages together.
@@ -230,8 +232,12 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
     text_batches(spark)
     known = docs.where(F.col(lang).isNotNull())
     frequent = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).select(lang)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    sample = known.select(key, lang).join(F.broadcast(frequent), lang, "left_semi").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_language)
+    # first by parts of a language, so that no task gets more than a few times the sample
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    sample = known.select(key, lang).join(F.broadcast(frequent), lang, "left_semi")
+    for by in ([lang, part], [lang]):
+        order = Window.partitionBy(*by).orderBy(F.xxhash64(key), key)
+        sample = sample.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_language).drop("_nth")
     # at most per_language rows for each language, so the side that is broadcast is bounded
     chosen = known.select(key, lang, text).join(F.broadcast(sample.select(key).distinct()), key, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
