@@ -82,6 +82,26 @@ def test_context_tells_quotation_from_abuse():
     assert toxicity.hits(None, matches) == toxicity.hits("", matches) == []
 
 
+def calibrated(clean, toxic):
+    model = toxicity.ToxicityModel(toxicity.Lexicon([("moron", False, 6.0)]))
+    return model.calibrate([model.hits(t) for t in clean + toxic], np.array([0.0] * len(clean) + [1.0] * len(toxic)))
+
+
+def test_an_ordinary_near_word_leaves_other_misspellings():
+    model = calibrated(["an oron here"] * 30 + ["nothing"] * 100, ["what a moron"] * 12 + ["moron and oron"] * 3)
+    assert model.known == {"oron"} and model.score("an oron here") < toxicity.THRESHOLD
+    for word in ("mor0n", "moronn", "m*ron", "moron"):
+        assert model.score(f"what a {word}") >= toxicity.THRESHOLD, word
+
+
+def test_a_misspelling_in_few_clean_documents_still_counts():
+    toxic = ["what a mor0n"] * 8 + ["what a moron"] * 8
+    model = calibrated(["what a mor0n", *["nothing"] * 100], toxic)
+    assert not model.known and model.score("what a mor0n") >= toxicity.THRESHOLD
+    model = calibrated(['they call it "moronn"', *["nothing"] * 100], toxic)
+    assert not model.known and model.score("what a moronn") >= toxicity.THRESHOLD
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(2)
     vocab = ["a", "b", "ab", "ba", "aba", "bb"]

@@ -32,6 +32,8 @@ THRESHOLD = 0.3
 LEAST_LENGTH, LEAST_SUPPORT = 4, 2
 LONGEST_STEM = 12
 MAX_TERMS = 5000
+#: Chance under which a near word of clean text is in too many toxic documents to be ordinary.
+CHANCE = 0.01
 #: Words before and after a hit that its score depends on.
 WINDOW = 4
 #: Words whose matches a worker remembers.
@@ -169,13 +171,11 @@ def hits(text: str | None, matches: _Matches) -> list[tuple[int, int, float, str
 class ToxicityModel:
     """The lexicon, what hits count, and the logistic that turns evidence into a probability.
 
-    `shares`: for each term, what a hit with 0, 1 or 2 errors counts of its
-    weight. `known`: words of clean text that are near a term and no misspelling.
+    `known`: ordinary words of clean text that are near a term and no misspelling.
     """
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.slope, self.offset = lexicon, 1.0, -3.0
-        self.shares = [list(_ERRORS) for _ in lexicon.terms]
         self.known: frozenset[str] = frozenset()
         self.uid = uuid.uuid4().hex
 
@@ -187,24 +187,25 @@ class ToxicityModel:
         return hits(text, matches)
 
     def evidence(self, found: list[tuple[int, int, float, str]]) -> float:
-        return math.log1p(sum(self.lexicon.terms[k][2] * self.shares[k][e] * factor for k, e, factor, _ in found))
+        return math.log1p(sum(self.lexicon.terms[k][2] * _ERRORS[e] * factor for k, e, factor, _ in found))
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.evidence(self.hits(text)) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def calibrate(self, found: list[list[tuple[int, int, float, str]]], labels: np.ndarray) -> ToxicityModel:
-        """Set what misspelled hits count, and the logistic, from the hits in labelled documents."""
-        seen: dict[tuple[int, int], list[int]] = {}
-        known = set()
+        """Set which near words are ordinary, and the logistic, from the hits in labelled documents.
+
+        A near word is ordinary if clean documents hold it unquoted and chance
+        explains its share of toxic ones. Each word is judged alone: other
+        misspellings of the same term still count.
+        """
+        seen: dict[str, list[int]] = {}
         for doc, label in zip(found, labels):
-            for k, e in {(k, e) for k, e, _, _ in doc if e}:
-                seen.setdefault((k, e), [0, 0])[int(label)] += 1
-            if not label:
-                known.update(word for _, e, _, word in doc if e)
-        for (k, e), (clean, toxic) in seen.items():
-            if clean > 2 and clean > toxic:
-                self.shares[k][e] = 0.0  # near words are ordinary ones
+            for word in {word for _, e, factor, word in doc if e and (label or factor >= 1)}:
+                seen.setdefault(word, [0, 0])[int(label)] += 1
+        rate = float(np.mean(labels)) if len(labels) else 0.0
+        known = {word for word, (clean, toxic) in seen.items() if clean and (toxic <= rate * (clean + toxic) or log_chance(toxic, clean + toxic, rate) >= math.log(CHANCE))}
         self.known = frozenset(known)
         self.uid = uuid.uuid4().hex
         kept = [[h for h in doc if not (h[1] and h[3] in known)] for doc in found]
@@ -222,6 +223,12 @@ def _stems(token: str):
         yield token[:n]
 
 
+def log_chance(toxic: int, n: int, rate: float) -> float:
+    """Chernoff's bound on so many of `n` documents being toxic by chance, where that is more than `rate` of them."""
+    share = toxic / n
+    return -n * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0))
+
+
 def choose_terms(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
     """Terms whose share of toxic documents no chance explains.
 
@@ -239,10 +246,8 @@ def choose_terms(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int,
         c = clean.get(stem, (0, 0))[0]
         if t < LEAST_SUPPORT or (t / n_toxic) < 20 * ((c + 0.5) / n_clean):
             return False
-        n, share = t + c, t / (t + c)
-        # Chernoff's bound on so many of n being toxic by chance; several words of a stem in a document count double
-        gain = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0)
-        return -n * gain * (2 if words >= 2 * t else 1) < bar
+        # several words of a stem in a document count double
+        return log_chance(t, t + c, rate) * (2 if words >= 2 * t else 1) < bar
 
     fits = {k for k in toxic if good(k)}
     toxic, clean = {k: v[0] for k, v in toxic.items()}, {k: v[0] for k, v in clean.items()}
