@@ -47,6 +47,40 @@ def test_values_beyond_64_bits(spark):
     assert [(r[2], r[3]) for r in run(spark, rows)] == [(1, 2**63 - 1), (3, 4096), (2, -(2**63))]
 
 
+def clamped(rows, k, is_query):
+    scaled = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    out = []
+    for q, qv in scaled:
+        if is_query(q):
+            scores = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(qv, v)))), i) for i, v in scaled if i != q)[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [3e38, -3e38, 1e36, 1e19, 1e8])
+@pytest.mark.parametrize("at", [7, 8])
+def test_one_very_large_row_among_many(spark, size, at):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    rows[at] = (at, [size, *rows[at][1][1:]])
+    assert run(spark, rows) == clamped(rows, 5, lambda i: i % 4 == 0)
+
+
+def test_ties_at_the_low_end_go_to_the_smaller_id(spark):
+    rows = [(0, [1e30])] + [(i, [-1e30 * (13 - i)]) for i in range(1, 13)]
+    assert run(spark, rows) == clamped(rows, 5, lambda i: i % 4 == 0)
+
+
+def test_distances_beyond_any_float_prune_nothing():
+    x = np.floor(np.random.default_rng(4).normal(0, 64, (300, 4)))
+    x[9] = 1e200
+    pivots = topk.choose_pivots(x)
+    far, norms = topk.distances(x, pivots), (x * x).sum(axis=1)
+    ids, scores, _ = topk.search(x[17], 17, -np.inf, far[17], np.arange(len(x)), x, norms, far, 10)
+    exact = sorted((-min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(v, x[17])))), i) for i, v in enumerate(x) if i != 17)[:10]
+    assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == exact
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

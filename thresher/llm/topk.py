@@ -86,16 +86,27 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
+def bounds(norm: float, q_far: np.ndarray, norms: np.ndarray, far: np.ndarray, dim: int) -> np.ndarray:
+    """What the inner product of a query with each candidate can't be over, whatever was rounded.
+
+    Every gap is lowered by the error of its own two distances, so a pivot far
+    from both says nothing instead of too much. A bound that is not finite is
+    infinite. None is below the least score, which clamped products share.
+    """
+    slack = (dim + 8) * np.finfo(np.float64).eps
+    rounded = slack + np.finfo(far.dtype).eps
+    far, q_far = far.astype(np.float64, copy=False), q_far.astype(np.float64, copy=False)
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = norms + norm
+        gap = (np.abs(far - q_far) - rounded * (far + q_far)).max(axis=1, initial=0.0)
+        bound = 0.5 * (total - gap * gap) + 0.5 + slack * total
+    bound[~np.isfinite(bound)] = np.inf
+    return np.maximum(bound, -(2.0**63))
+
+
 def search(query: np.ndarray, own: int, floor: float, q_far: np.ndarray, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, far: np.ndarray, k: int, step: int = 256):
     """The k best of a block by score, then id, among candidates that can reach `floor`; and how many were evaluated."""
-    norm = float(query @ query)
-    total = norms + norm
-    if far.shape[1]:
-        gap = np.abs(far - q_far).max(axis=1)
-        bound = 0.5 * (total - gap * gap)
-    else:
-        bound = 0.5 * total
-    bound = bound + 0.5 + 1e-6 * total  # the table holds rounded distances
+    bound = bounds(float(query @ query), q_far, norms, far, x.shape[1])
     able = np.flatnonzero((bound >= floor) & (ids != own))
     able = able[np.argsort(-bound[able], kind="stable")]
     top_ids, top = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -125,7 +136,7 @@ def blocks(df: DataFrame, key: str, vector: str, pivots: np.ndarray, rows: int)
             dim = max(v.shape[1] for v in vectors)
             x = np.concatenate([_wide(v, dim) for v in vectors])
             return pa.RecordBatch.from_pylist(
-                [{"task": task, "part": part, "n": len(x), "dim": dim, "ids": np.concatenate(ids).tobytes(), "vectors": x.tobytes(), "norms": (x * x).sum(axis=1).tobytes(), "pivots": distances(x, shared.value).astype(np.float32).tobytes()}],
+                [{"task": task, "part": part, "n": len(x), "dim": dim, "ids": np.concatenate(ids).tobytes(), "vectors": x.tobytes(), "norms": (x * x).sum(axis=1).tobytes(), "pivots": distances(x, shared.value).tobytes()}],
                 schema=pa.schema([("task", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("norms", pa.binary()), ("pivots", pa.binary())]),
             )
 
@@ -175,7 +186,7 @@ def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
             np.frombuffer(r[f"{side}ids"], dtype=np.int64),
             np.frombuffer(r[f"{side}vectors"]).reshape(n, dim),
             np.frombuffer(r[f"{side}norms"]),
-            np.frombuffer(r[f"{side}pivots"], dtype=np.float32).reshape(n, width),
+            np.frombuffer(r[f"{side}pivots"]).reshape(n, width),
         )
 
     def first_floor(batches):
