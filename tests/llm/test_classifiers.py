@@ -193,6 +193,13 @@ def test_held_out_accuracy(spark):
     assert (m.lang_pred == m.lang).mean() > 0.98
 
 
+def test_every_language_is_learned(spark):
+    docs = [(i, "hello world", f"l{i % 205:03d}") for i in range(410)] + [(1000, "straße über", "rare")]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), langid.default_path())
+    assert len(model.languages) == 206
+    assert model.predict(["straße über"])[0] == ["rare"]
+
+
 def test_counts_make_a_model():
     counts = pd.DataFrame([("de", "▁und", 5), ("de", "▁straße", 2), ("en", "▁and", 6), ("en", "▁street", 1)], columns=["lang", "word", "n"])
     model = langid.learn(langid.default_path(), counts)

@@ -24,8 +24,6 @@ from thresher.llm._common import claim, held_out, table, text_batches, text_or_e
 
 #: Training documents for each language: the bound of the sample that the model is fitted on.
 DOCS_PER_LANGUAGE = 500
-#: Languages that may be learned, the most frequent first.
-MAX_LANGUAGES = 200
 #: Parts that a frequent language's documents are dealt to before its sample is chosen.
 PARTS = 64
 #: Rounds of expectation maximisation.
@@ -221,7 +219,7 @@ def learn(path: str, counts: pd.DataFrame) -> LanguageModel:
 
 
 def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on `per_language` documents of each of the `MAX_LANGUAGES` most frequent languages.
+    """Fit on `per_language` documents of each language that has one.
 
     Takes rows with a language; the sample is the rows of least key hash, so
     it is the same whatever the partitioning. Only word counts of the sample
@@ -231,10 +229,9 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
     spark = docs.sparkSession
     text_batches(spark)
     known = docs.where(F.col(lang).isNotNull())
-    frequent = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).select(lang)
     # first by parts of a language, so that no task gets more than a few times the sample
     part = F.pmod(F.xxhash64(key), F.lit(PARTS))
-    sample = known.select(key, lang).join(F.broadcast(frequent), lang, "left_semi")
+    sample = known.select(key, lang)
     for by in ([lang, part], [lang]):
         order = Window.partitionBy(*by).orderBy(F.xxhash64(key), key)
         sample = sample.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_language).drop("_nth")
