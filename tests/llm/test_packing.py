@@ -49,7 +49,22 @@ def test_ids_match_the_library():
     bits = list("abcdeth  'sÉé\n\t\x1c　 12!?.,<|>日😀ª²") + ["<|endoftext|>", "'ll", " the ", " of", "\n", " x", " y", "it's", "é"]
     for _ in range(4000):
         text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
-        assert np.frombuffer(ours.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_ids_match_the_library_on_every_code_point():
+    library, ours = Tokenizer.from_file(packing.default_path()), packing.load(packing.default_path())
+    texts = [f"x{chr(c)}y 1{chr(c)}2 {chr(c)}  {chr(c)}." for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, ids in zip(part, want) if ours.encode(t).tolist() != ids] == []
+
+
+def test_ids_of_long_runs_match_the_library():
+    library, ours = Tokenizer.from_file(packing.default_path()), packing.load(packing.default_path())
+    for text in ("a" * 100_000, " " * 100_000 + "x", "\n" * 50_000, "^" * 100_000, "ab1" * 30_000, "日" * 50_000):
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def check(rows, docs):
