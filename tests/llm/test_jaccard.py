@@ -62,19 +62,68 @@ def test_matches_all_pairs(spark):
     assert run(spark, docs) == plain(docs)
 
 
-def test_large_buckets_are_split_and_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BUCKET", 8)
-    rng = random.Random(8)
-    base = [f"b{i}" for i in range(200)]
+def copies(rng, n, most, start=0, length=200):
+    """Copies of one text that differ from it in up to `most` words each."""
+    base = [f"b{i}" for i in range(length)]
     docs = []
-    for i in range(60):  # a large group of near copies
+    for i in range(n):
         words = list(base)
-        words[rng.randrange(200)] = f"x{i}"
-        docs.append((i, " ".join(words)))
-    docs += [(100 + i, " ".join(rng.choices([f"c{k}" for k in range(99)], k=80)) + " " + " ".join(base[:60])) for i in range(40)]
+        for _ in range(rng.randint(0, most)):
+            words[rng.randrange(length)] = f"x{rng.randrange(50)}"
+        docs.append((start + i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+@pytest.mark.parametrize("most", [1, 12])
+def test_large_groups(spark, monkeypatch, block, most):
+    """Near copies all alike or partly so, and texts that only share a long passage with them."""
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LEADERS", 3)
+    monkeypatch.setattr(jaccard, "CENTRE", 5)
+    rng = random.Random(8)
+    docs = copies(rng, 70, most)
+    passage = " ".join(docs[0][1].split()[:60])
+    docs += [(100 + i, " ".join(rng.choices([f"c{k}" for k in range(99)], k=80)) + " " + passage) for i in range(40)]
+    docs += [(200 + i, t) for i, t in docs[:5]] + docs[:2]
     assert run(spark, docs) == plain(docs)
 
 
+def test_work_of_a_hot_group_is_in_proportion(spark, monkeypatch):
+    """Rows that meet in the rings and buckets of a group of alike copies grow with it and not with its square."""
+    monkeypatch.setattr(jaccard, "BUCKET", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    nodes, rows = {}, {}
+    for n in (100, 400):
+        docs = spark.createDataFrame(copies(random.Random(n), n, 2), DOCS)
+        sets = jaccard.describe(docs, "text").select(F.col("doc_id").alias("rep"), "set_hash", "n", "sketch", "paths").dropDuplicates(["set_hash"])
+        nodes[n] = jaccard.stored(sets.withColumn("weight", F.lit(1)), "nodes")
+        groups = jaccard._candidates(nodes[n], 0.8)
+        assert groups.select("root").distinct().count() == 1
+        read = docs.join(nodes[n], F.col("doc_id") == F.col("rep")).select(F.lit(b"r").alias("root"), F.col("set_hash").alias("node"), F.lit(1).cast("long").alias("weight"), F.lit(n).cast("long").alias("size"), "text")
+        tokens = F.udf(lambda t: bytes(jaccard.shingles(t).tobytes()), "binary")
+        certain, blocks = jaccard._checked_large(read.withColumn("tokens", tokens("text")).drop("text"), 0.8)
+        rows[n] = blocks.count()
+        assert certain.where("links > 0").count() > 0.9 * nodes[n].count()
+    assert rows[400] <= 5 * max(rows[100], 100)
+
+
+def test_rings_decide_only_what_is_certain():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) < rng.uniform(0.75, 1)], rng.integers(0, 2**63, rng.integers(1, 30)).astype(np.uint64)])) for _ in range(120)]
+    centre = jaccard.centre_of(sets[:20])
+    rings = [jaccard.ring_of(s, centre, 0.8) for s in sets]
+    linked = jaccard.similar(sets)
+    for i in range(120):
+        for j in range(i):
+            if rings[i] + rings[j] <= jaccard.RINGS - 2:
+                assert linked[i, j]
+            if abs(rings[i] - rings[j]) > jaccard.RINGS:
+                assert not linked[i, j]
+
+
 def test_runs_follow_from_the_recall():
     assert jaccard.runs_for(0.99, 1) == 5
     assert jaccard.runs_for() == 10
@@ -95,6 +144,24 @@ def test_recall_of_pairs_at_the_threshold():
     assert found / 300 > 0.96
 
 
+def test_recall_end_to_end(spark):
+    """Isolated pairs at and little above the threshold, all of which hold a passage that many others hold too."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    docs, pairs = [], 0
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(160)] + passage
+        copy = list(words)
+        for at in rng.sample(range(0, 160, 8), 3):
+            copy[at] = f"y{rng.randrange(10**6)}"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        sets = [set(jaccard.shingles(t).tolist()) for _, t in docs[-2:]]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.95
+    found = {i: c for i, c, _, _ in run(spark, docs)}
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(150)) >= 0.97 * 150
+    assert len(set(found.values())) >= 150
+
+
 def test_overlaps_match_set_sizes():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]

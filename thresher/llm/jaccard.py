@@ -4,17 +4,26 @@ A document is its set of word shingles. In each run a set picks each of its
 shingles with a probability of about one in its size, by a hash that all sets
 share, and goes into the bucket of each shingle it picked. Buckets that are
 small are compared by brute force; larger ones are split again by further
-picks, along paths of up to three shingles, and what is large even then is
-compared block by block. Independent runs are repeated until a pair at the
-threshold is found with the target recall.
+picks, along paths of up to three shingles. Independent runs are repeated
+until a pair at the threshold is found with the target recall.
+
+What shares the longest paths and is large even then is a group of near
+copies. Its sets are compared with a few leaders each, not with one another:
+a set near a leader is done with, and whatever may be linked to it hangs on
+the same leader by the triangle inequality. Leaders are drawn anew among the
+sets that have none until the bucket is small.
 
 Comparing in buckets uses small sketches with a generous margin and only asks
-which sets hang together; every pair inside what hangs together is then
-checked exactly, once. Equal sets are one node with a weight throughout.
+which sets hang together; what hangs together is then checked exactly, once.
+In a large group each set's exact distance to the group's centre decides most
+pairs: sets near it are linked and counted without comparing them, sets at
+too unlike distances can't be, and only the rings between meet block by block.
+Equal sets are one node with a weight throughout.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
@@ -22,7 +31,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thresher.llm._common import claim, stored, table, text_batches, worker_cache
@@ -33,8 +42,14 @@ WORDS, SIMILARITY = 5, 0.8
 TARGET_RECALL = 0.99
 #: Shingles on the longest path.
 DEPTH = 3
-#: Sets that one task compares by brute force.
+#: Sets of a bucket or group that are compared by brute force.
 BUCKET = 256
+#: Sets in a block of a larger one.
+BLOCK = 1024
+#: Leaders drawn at a time in a large bucket, and the similarity to one that a set is done with.
+LEADERS, LED = 16, 0.7
+#: Sets that a large group's centre is made of, and rings around it within the distance of a link.
+CENTRE, RINGS = 64, 4
 #: Bins of a sketch.
 BINS = 128
 #: Words whose hashes a worker remembers.
@@ -246,40 +261,97 @@ def _labels(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def _blocks(members: DataFrame, key: Column, node: str, size: str) -> DataFrame:
-    """Deals the members of large groups to pairs of blocks, so that any two meet in one task.
+def _blocks(members: DataFrame, node: str, size: str) -> DataFrame:
+    """Deals the members of large buckets to pairs of blocks, so that any two meet in one task.
 
-    Adds `low` and `high` (both 0 for a small group) and `block`, the member's own.
+    Adds `low` and `high`, both 0 where one block holds all.
     """
-    count = F.ceil(F.col(size) / F.lit(BUCKET)).cast("int")
-    block = F.pmod(F.xxhash64(node), count).cast("int")
-    dealt = members.withColumn("blocks", count).withColumn("block", F.when(F.col("blocks") > 1, block).otherwise(F.lit(0)))
+    count = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64(node), count).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return dealt.withColumn("_o", other).withColumn("low", F.least("block", "_o")).withColumn("high", F.greatest("block", "_o")).drop("_o", "blocks")
+    return dealt.withColumn("_o", other).withColumn("low", F.least("block", "_o")).withColumn("high", F.greatest("block", "_o")).drop("_o", "block", "blocks")
 
 
-def _levels(nodes: DataFrame) -> DataFrame:
-    """Members of all buckets that are to be compared: bucket, node, size (of the bucket)."""
-    found = None
+def _levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Members (bucket, node, size of the bucket) of small buckets on any level, and of large ones on the last."""
+    found, large = None, None
     here = nodes.select("set_hash", F.explode("paths").alias("_p")).select("set_hash", F.col("_p.k").alias("bucket"), F.col("_p.below").alias("below"))
     for level in range(1, DEPTH + 1):
         sizes = here.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        if level < DEPTH:
-            small = here.select("bucket", "set_hash").join(sizes.where(F.col("size") <= BUCKET), "bucket")
-        else:
-            small = here.select("bucket", "set_hash").join(sizes, "bucket")  # the rest is compared block by block
+        small = here.select("bucket", "set_hash").join(sizes.where(F.col("size") <= BUCKET), "bucket")
         found = small if found is None else found.unionByName(small)
-        if level < DEPTH:
-            large = stored(sizes.where(F.col("size") > BUCKET), f"large{level}")
-            if large.isEmpty():
-                break
-            deeper = here.join(large.select("bucket"), "bucket", "left_semi").select("set_hash", F.explode("below").alias("_p"))
-            if level + 1 < DEPTH:
-                deeper = deeper.select("set_hash", F.col("_p.k").alias("bucket"), F.col("_p.below").alias("below"))
-            else:
-                deeper = deeper.select("set_hash", F.col("_p").alias("bucket"))
-            here = stored(deeper, f"paths{level + 1}")
-    return found
+        crowded = stored(sizes.where(F.col("size") > BUCKET), f"large{level}")
+        if crowded.isEmpty():
+            return found, None
+        if level == DEPTH:
+            large = stored(here.select("bucket", "set_hash").join(crowded, "bucket"), "crowded")
+            break
+        deeper = here.join(crowded.select("bucket"), "bucket", "left_semi").select("set_hash", F.explode("below").alias("_p"))
+        if level + 1 < DEPTH:
+            deeper = deeper.select("set_hash", F.col("_p.k").alias("bucket"), F.col("_p.below").alias("below"))
+        else:
+            deeper = deeper.select("set_hash", F.col("_p").alias("bucket"))
+        here = stored(deeper, f"paths{level + 1}")
+    return found, large
+
+
+def follow(sketches: np.ndarray, lead: np.ndarray, similarity: float = SIMILARITY) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that join to each leader whatever may be linked to a set near it, as a spanning forest; and which sets are near one."""
+    label = np.arange(len(sketches))
+    led = lead.copy()
+    edges = []
+    filled = sketches != 0
+    ring = similarity + LED - 1  # the least similarity to a leader that a link to one of its sets leaves
+    for i in np.flatnonzero(lead):
+        either = np.maximum((filled | filled[i]).sum(axis=1), 1)
+        share = ((sketches == sketches[i]) & filled[i]).sum(axis=1) / either
+        led |= share >= LED
+        for j in np.flatnonzero(share >= ring - 4 * np.sqrt(ring * (1 - ring) / either)):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                edges.append((int(i), int(j)))
+    return edges, led
+
+
+def _led(large: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges of large buckets, and the members (bucket, node, size) that no leader is near to.
+
+    Each round costs as much as the buckets hold: leaders go to all blocks of
+    their bucket, other members to one. What has no leader goes on while that
+    takes a fifth off the bucket; it is compared by blocks where it does not.
+    """
+    edges, rest, turn = None, None, 0
+    while True:
+        turn += 1
+        count = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+        lead = F.pmod(F.xxhash64("bucket", "set_hash", F.lit(turn)), F.col("size")) < LEADERS
+        own = F.pmod(F.xxhash64("set_hash", F.lit(turn)), count).cast("int")
+        dealt = large.withColumn("lead", lead).withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), count - 1)).otherwise(F.array(own))))
+        dealt = dealt.join(nodes.select("set_hash", "sketch"), "set_hash").select(F.concat_ws(":", "bucket", "block").alias("task"), "bucket", "size", "set_hash", "lead", "sketch")
+        dealt = dealt.repartition("task").sortWithinPartitions("task", "set_hash")
+
+        def gather(batches):
+            claim("jaccard")
+            for rows in _grouped(batches, "task"):
+                sketches = np.frombuffer(b"".join([r["sketch"] for r in rows]), dtype=np.uint8).reshape(len(rows), BINS)
+                found, led = follow(sketches, np.array([r["lead"] for r in rows]), similarity)
+                pairs = [(rows[i], rows[j]["set_hash"]) for i, j in found] + [(rows[i], None) for i in np.flatnonzero(~led)]
+                columns = [[r["bucket"] for r, _ in pairs], [r["size"] for r, _ in pairs], [r["set_hash"] for r, _ in pairs], [b for _, b in pairs]]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "was", "a", "b"])
+
+        out = stored(dealt.mapInArrow(gather, "bucket long, was long, a binary, b binary"), f"led{turn}")
+        joined = out.where("b is not null").select("a", "b").distinct()
+        edges = joined if edges is None else edges.unionByName(joined)
+        left = out.where("b is null").select("bucket", "was", F.col("a").alias("set_hash"))
+        sizes = left.groupBy("bucket", "was").agg(F.count("*").alias("size")).where("size > 1")
+        left = stored(left.drop("was").join(sizes, "bucket"), f"unled{turn}")
+        again = (F.col("size") > BUCKET) & (F.col("size") <= 0.8 * F.col("was"))
+        done = left.where(~again).drop("was")
+        rest = done if rest is None else rest.unionByName(done)
+        large = left.where(again).drop("was")
+        if large.isEmpty():
+            return edges, rest
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,6 +372,141 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stored(spread.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", "_far").alias("root")), "labels")
 
 
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Groups (node, root) of the sets that may be similar, directly or over others."""
+    members, large = _levels(nodes)
+    led = None
+    if large is not None:
+        led, rest = _led(large, nodes, similarity)
+        members = members.unionByName(rest)
+    compared = _blocks(members, "set_hash", "size").join(nodes.select("set_hash", "n", "sketch"), "set_hash")
+    compared = compared.select(F.concat_ws(":", "bucket", "low", "high").alias("task"), "set_hash", "n", "sketch")
+    compared = compared.repartition("task").sortWithinPartitions("task", "set_hash")
+
+    def may_link(batches):
+        claim("jaccard")
+        for rows in _grouped(batches, "task"):
+            rows = list({r["set_hash"]: r for r in rows}.values())
+            if len(rows) < 2:
+                continue
+            sketches = np.frombuffer(b"".join([r["sketch"] for r in rows]), dtype=np.uint8).reshape(len(rows), BINS)
+            edges = link(sketches, np.array([r["n"] for r in rows]), similarity)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["set_hash"] for i, _ in edges], pa.binary()), pa.array([rows[j]["set_hash"] for _, j in edges], pa.binary())], names=["a", "b"])
+
+    edges = compared.mapInArrow(may_link, "a binary, b binary")
+    return components(edges if led is None else edges.unionByName(led))
+
+
+_CHECKED = "node binary, root binary, links long, texts long, parted boolean"
+
+
+def _checked(rows: list[dict], similarity: float) -> pa.RecordBatch:
+    """Links of the sets of one task; of those in two blocks, only links between the blocks."""
+    rows = list({r["node"]: r for r in rows}.values())
+    linked = similar([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows], similarity)
+    parted = "block" in rows[0]
+    label = _labels(linked)
+    if parted and rows[0]["low"] != rows[0]["high"]:
+        block = np.array([r["block"] for r in rows])
+        linked &= block[:, None] != block[None, :]  # pairs inside a block are counted elsewhere
+    weights = np.array([r["weight"] for r in rows], dtype=np.int64)
+    columns = [
+        pa.array([r["node"] for r in rows], pa.binary()),
+        pa.array([rows[k]["node"] for k in label], pa.binary()),
+        pa.array(linked.astype(np.int64) @ weights),
+        pa.array(linked.sum(axis=1).astype(np.int64)),
+        pa.array([parted] * len(rows)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "root", "links", "texts", "parted"])
+
+
+def _checked_small(read: DataFrame, similarity: float) -> DataFrame:
+    """Roots and links of groups that one task compares."""
+
+    def check(batches):
+        claim("jaccard")
+        for rows in _grouped(batches, "root"):
+            yield _checked(rows, similarity)
+
+    rows = read.select("root", "node", "weight", "tokens").repartition("root").sortWithinPartitions("root", "node")
+    return rows.mapInArrow(check, _CHECKED)
+
+
+def centre_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles that at least half of the sets hold."""
+    if not sets:
+        return np.zeros(0, dtype=np.uint64)
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    return found[2 * n >= len(sets)]
+
+
+def ring_of(tokens: np.ndarray, centre: np.ndarray, similarity: float) -> int:
+    """Number of the ring around the centre that a set lies in, by its Jaccard distance."""
+    both = len(np.intersect1d(tokens, centre, assume_unique=True))
+    distance = 1 - both / max(1, len(tokens) + len(centre) - both)
+    return int(distance / max(1e-9, 1 - similarity) * RINGS + 1e-9)
+
+
+def _checked_large(large: DataFrame, similarity: float) -> list[DataFrame]:
+    """Edges and links of groups that are too large for one task.
+
+    With rings of a quarter of the distance of a link, sets in rings whose
+    numbers add up to at most two are linked for certain, and sets four whole
+    rings apart are not; both by the triangle inequality, both without meeting.
+    """
+    count = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    drawn = large.where(F.pmod(F.xxhash64("node"), F.col("size")) < CENTRE).groupBy("root", "size").agg(F.collect_list("tokens").alias("drawn"))
+
+    def centres(column: pa.Array) -> pa.Array:
+        return pa.array([centre_of([np.frombuffer(t, dtype=np.uint64) for t in sets]).tobytes() for sets in column.to_pylist()], pa.binary())
+
+    made = drawn.select("root", F.arrow_udf(centres, "binary")("drawn").alias("centre"), F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"))
+
+    def rings(tokens: pa.Array, centre: pa.Array) -> pa.Array:
+        claim("jaccard")
+        pairs = zip(tokens.to_pylist(), centre.to_pylist())
+        return pa.array([ring_of(np.frombuffer(t, dtype=np.uint64), np.frombuffer(c or b"", dtype=np.uint64), similarity) for t, c in pairs], pa.int32())
+
+    # salted, since a group may be a large part of all rows
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), count).cast("int"))
+    placed = salted.join(stored(made, "centres"), ["root", "salt"], "left")
+    placed = stored(placed.select("root", "node", "weight", "size", "tokens", F.arrow_udf(rings, "int")("tokens", "centre").alias("ring")), "rings")
+
+    # a row for each group, with at most RINGS / (1 - similarity) rings
+    each = placed.groupBy("root", "size", "ring").agg(F.count("*").alias("sets"), F.sum("weight").alias("weights"), F.min("node").alias("head"))
+    each = each.groupBy("root", "size").agg(F.collect_list(F.struct("ring", "sets", "weights", "head")).alias("all"))
+    each = stored(each.select("root", F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"), "all"), "ringsizes")
+    known = placed.withColumn("salt", F.pmod(F.xxhash64("node"), count).cast("int")).join(each, ["root", "salt"])
+
+    sure = F.filter("all", lambda r: r["ring"] + F.col("ring") <= RINGS - 2)
+    own = F.when(2 * F.col("ring") <= RINGS - 2, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    total = lambda field: F.aggregate(sure, F.lit(0).cast("long"), lambda n, r: n + r[field])
+    certain = known.select(
+        "node",
+        # the least set of those it is linked to: they all are linked to the innermost ring that is not empty
+        F.coalesce(F.array_min(F.transform(sure, lambda r: F.struct(r["ring"].alias("ring"), r["head"].alias("head"))))["head"], F.col("node")).alias("root"),
+        (total("weights") - own * F.col("weight")).alias("links"),
+        (total("sets") - own).alias("texts"),
+        F.lit(True).alias("parted"),
+    )
+
+    near = F.filter("all", lambda r: (r["ring"] + F.col("ring") > RINGS - 2) & (F.abs(r["ring"] - F.col("ring")) <= RINGS))
+    number = lambda ring, block: ring.cast("long") * F.lit(1 << 32) + block
+    blocks = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0), F.ceil(r["sets"] / F.lit(BLOCK)).cast("int") - 1), lambda b: number(r["ring"], b))))
+    mine = F.filter("all", lambda r: r["ring"] == F.col("ring"))[0]["sets"]
+    block = number(F.col("ring"), F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(mine / F.lit(BLOCK))))
+    dealt = known.select("root", "node", "weight", "tokens", block.alias("block"), F.explode(blocks).alias("_o"))
+    dealt = dealt.select(F.concat_ws(":", F.hex("root"), F.least("block", "_o"), F.greatest("block", "_o")).alias("task"), F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "node", "weight", "tokens")
+
+    def check(batches):
+        claim("jaccard")
+        for rows in _grouped(batches, "task"):
+            yield _checked(rows, similarity)
+
+    return [certain, dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(check, _CHECKED)]
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, runs: int | None = None) -> DataFrame:
     """For each document its class and how many others it is linked to.
 
@@ -309,7 +516,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     from its own). Documents with equal shingle sets are copies. A document
     without a word is linked to none. A null key gives a null class and no
     link, since no link could name it; rows that repeat a key each count. An
-    empty table gives no row.
+    empty table gives no row. Other columns of `docs`, whatever their names,
+    take no part.
     """
     sets = stored(describe(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")), "text", similarity, words, runs), "sets")
     nodes = sets.where("n > 0").groupBy("set_hash").agg(
@@ -317,30 +525,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     )
     nodes = stored(nodes, "nodes")
 
-    # sets that may be similar, joined to candidate groups
-    members = _blocks(_levels(nodes), F.col("bucket"), "set_hash", "size")
-    compared = members.join(nodes.select("set_hash", "n", "sketch"), "set_hash").select(F.concat_ws(":", "bucket", "low", "high").alias("task"), "set_hash", "n", "sketch")
-    compared = compared.repartition("task").sortWithinPartitions("task", "set_hash")
-
-    def may_link(batches):
-        claim("jaccard")
-        for rows in _grouped(batches, "task"):
-            rows = list({r["set_hash"]: r for r in rows}.values())
-            if len(rows) < 2:
-                continue
-            sketches = np.frombuffer(b"".join([r["sketch"] for r in rows]), dtype=np.uint8).reshape(len(rows), BINS)
-            edges = link(sketches, np.array([r["n"] for r in rows]), similarity)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["set_hash"] for i, _ in edges], pa.binary()), pa.array([rows[j]["set_hash"] for _, j in edges], pa.binary())], names=["a", "b"])
-
-    groups = components(compared.mapInArrow(may_link, "a binary, b binary").distinct())
-
-    # every pair inside a candidate group, exactly
+    groups = _candidates(nodes, similarity)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     grouped = groups.join(sizes, "root").join(nodes.select(F.col("set_hash").alias("node"), "rep", "weight"), "node")
     again = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
-    texts = again.join(_blocks(grouped, F.col("root"), "node", "size"), "rep")
-    texts = texts.select(F.concat_ws(":", F.hex("root"), "low", "high").alias("task"), "node", "weight", "block", "low", "high", "size", "text")
 
     def tokens(batches):
         """The shingles of each text, where they are those of the node it stands for."""
@@ -351,32 +539,14 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
             out = pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(found, pa.binary())], names=[*(n for n in batch.schema.names if n != "text"), "tokens"])
             yield out.filter(pa.array(mine, pa.bool_()))
 
-    # as a map over the joined rows, so that only texts of candidate groups are read for shingles
-    read = texts.mapInArrow(tokens, "task string, node binary, weight long, block int, low int, high int, size long, tokens binary")
-    read = read.repartition("task").sortWithinPartitions("task", "node")
-
-    def verify(batches):
-        claim("jaccard")
-        for rows in _grouped(batches, "task"):
-            rows = list({r["node"]: r for r in rows}.values())
-            linked = similar([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows], similarity)
-            label = _labels(linked)
-            if rows[0]["low"] != rows[0]["high"]:
-                block = np.array([r["block"] for r in rows])
-                linked &= block[:, None] != block[None, :]  # pairs inside a block are counted elsewhere
-            weights = np.array([r["weight"] for r in rows], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["node"] for r in rows], pa.binary()),
-                    pa.array([rows[k]["node"] for k in label], pa.binary()),
-                    pa.array(linked.astype(np.int64) @ weights),
-                    pa.array(linked.sum(axis=1).astype(np.int64)),
-                    pa.array([r["size"] > BUCKET for r in rows]),
-                ],
-                names=["node", "root", "links", "texts", "parted"],
-            )
-
-    checked = stored(read.mapInArrow(verify, "node binary, root binary, links long, texts long, parted boolean"), "checked")
+    # as a map over the joined rows, so that only texts of candidate groups are read for shingles, once each
+    read = again.join(grouped, "rep").select("root", "node", "weight", "size", "text").mapInArrow(tokens, "root binary, node binary, weight long, size long, tokens binary")
+    read = stored(read, "tokens")
+    checked = [_checked_small(read.where(F.col("size") <= BUCKET), similarity)]
+    large = read.where(F.col("size") > BUCKET)
+    if not large.isEmpty():
+        checked += _checked_large(large.dropDuplicates(["node"]), similarity)
+    checked = stored(functools.reduce(DataFrame.unionByName, checked), "checked")
     parted = checked.where("parted").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = checked.where("not parted").select("node", "root")
     if not parted.isEmpty():
