@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from thresher.functions import eligibility as el
 from thresher.functions import normalize as nz
 
+# The rules' own patterns and limits, restated as the plain version to test against.
 SPACE = re.compile(r"\s+")
 
 

@@ -3,10 +3,13 @@
 import os
 import shutil
 import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+import thresher
+from thresher import Rules
 from thresher.operators import fragments as op
 from thresher.plans import pipeline as pl
 from thresher.sources import files, git
@@ -37,7 +40,40 @@ def test_tree(spark, tree):
     assert os.path.getsize(tree / "edge.js") == 1_000_000
     got = {r.path: [f.code for f in r.fragments] for r in pl.analyse_tree(spark, str(tree)).collect()}
     both = ["a() { return 'é'; }", "() => 2"]
-    assert got == {"a.js": both, "sub/crlf.js": both, "sub/é ü.js": both, "bad.js": [], "broken.js": [], "edge.js": ["a(){}"]}
+    want = {"a.js": both, "sub/crlf.js": both, "sub/é ü.js": both, "bad.js": [], "broken.js": [], "edge.js": ["a(){}"]}
+    assert got == want
+    dealt = pl.analyse_tree(spark, str(tree), workers=64)
+    assert dealt.rdd.getNumPartitions() == 64 and {r.path: [f.code for f in r.fragments] for r in dealt.collect()} == want
+
+
+def test_rules_can_be_set(spark, tree):
+    rules = Rules(suffixes=("edge.js",), folders=("sub",), max_bytes=2000, patterns=(r"\[broken\]", "if\\(b\\)"))
+    assert {r.path for r in pl.analyse_tree(spark, str(tree), rules=rules).collect()} == {"a.js", "bad.js", "broken.js", "a.test.js"}
+    assert {r.path for r in pl.analyse_tree(spark, str(tree), rules=Rules(max_line_length=10)).collect()} == {"edge.js", "broken.js"}
+
+
+def test_problems_of_files(spark, tree):
+    found = op.problems(op.eligible_files(files.relative(files.scan(spark, str(tree)), str(tree))))
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [("bad.js", 0, "not text"), ("broken.js", 1, "a bracket is not closed"), ("broken.js", 1, "a bracket is not closed")]
+
+
+def test_command_line(tmp_path):
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    run = lambda *a: subprocess.run(["git", "-c", "user.email=a@b", "-c", "user.name=n", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.js").write_text("x = 1;\n")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    (tmp_path / "a.js").write_text("x = {a() {}};\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-m", "thresher", str(tmp_path)], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and done.stdout.strip() == "[{'code': 'a() {}', 'start': 1, 'end': 1, 'processedCode': 'a(){}', 'path': 'a.js'}]"
+
+
+def test_public_names():
+    assert all(hasattr(thresher, name) for name in thresher.__all__)
 
 
 def test_listed_files_keep_empty_ones(spark, tree):

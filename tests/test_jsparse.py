@@ -1,8 +1,9 @@
+import random
 import time
 
 import pytest
 
-from thresher.operators.jsparse import extract, fragments
+from thresher.operators.jsparse import extract, fragments, problems
 
 CASES = [
     ("x={a(){}, b:()=>1}", ["a(){}", "()=>1"]),
@@ -34,6 +35,25 @@ CASES = [
     ("// { a(){} }\n/* { b(){} } */ x = '{ c(){} }'", []),
     ("x = {é(){ return 'ü' }}", ["é(){ return 'ü' }"]),
     ("", []),
+    # markup in the place of a value
+    ("x={a(){ return <div>it's</div> }, b(){}}", ["a(){ return <div>it's</div> }", "b(){}"]),
+    ("x={a: () => <A.B c='}' d={{e(){}}} f:g-h=\"'\"/>, b(){ return <><p>{l.map(i => <li key={i}>{'}'} a > b</li>)}</p></> }}", ["() => <A.B c='}' d={{e(){}}} f:g-h=\"'\"/>", "e(){}", "b(){ return <><p>{l.map(i => <li key={i}>{'}'} a > b</li>)}</p></> }"]),
+    ("x={a(i, n){ for (; i < n; i++) if (i <n) return i<n }, b(){ return i++ <n }}", ["a(i, n){ for (; i < n; i++) if (i <n) return i<n }", "b(){ return i++ <n }"]),
+    ("x={a(){ return <p>{/* ' */}{`<${b}>`}</p> / 2 }, c(){}}", ["a(){ return <p>{/* ' */}{`<${b}>`}</p> / 2 }", "c(){}"]),
+    # broken text
+    ("x={a(){}}; y = )", ["a(){}"]),
+    ("B.extend('x', { a(){ y = ) }, b(){ z = ] } })", ["a(){ y = ) }", "b(){ z = ] }"]),
+    ("x={a(){ foo(1, [2 }, b(){}}", ["a(){ foo(1, [2 }", "b(){}"]),
+    ("x={a(){ 'no end\n }, b(){ @ # }}", ["a(){ 'no end\n }", "b(){ @ # }"]),
+    ("x={a(){}, b(){ if (c) {", ["a(){}"]),
+    ("x={a(){}}; `no end ${ {b(){}} } c", ["a(){}", "b(){}"]),
+    ("x={a(){}}; /* no end { b(){} }", ["a(){}"]),
+    ("x={a(){ return /no end\n }, b(){}}", ["a(){ return /no end\n }", "b(){}"]),
+    ("x={a(){}}} }; y={b(){}}", ["a(){}", "b(){}"]),
+    ("x={a(){ return <p>no end }, b(){}}", []),
+    ("x={a(){}}; <p", ["a(){}"]),
+    ("class A { a(){} b(){ ( } c(){} ", ["a(){}", "b(){ ( }", "c(){}"]),
+    ("B.extend('x', { a(){}", ["a(){}"]),
 ]
 
 
@@ -42,10 +62,30 @@ def test_functions_found(source, expected):
     assert [source[a:b] for a, b in extract(source)] == expected
 
 
-@pytest.mark.parametrize("source", ["x = {", '"abc', "`a${", "x)", "/* a", "[}", "a = /b\n"])
-def test_broken_text_raises(source):
-    with pytest.raises(SyntaxError):
-        extract(source)
+@pytest.mark.parametrize(
+    "source,expected",
+    [
+        ("x = {", [(1, "a bracket is not closed")]),
+        ('a\n"abc', [(2, "a string does not end")]),
+        ("`a${", [(1, "a template does not end"), (1, "a bracket is not closed")]),
+        ("x)", [(1, "unexpected ')'")]),
+        ("\n\n/* a", [(3, "a comment does not end")]),
+        ("[}", [(1, "a bracket is not closed"), (1, "unexpected '}'")]),
+        ("a = /b\n", [(1, "a pattern does not end")]),
+        ("x = {a(){}}", []),
+    ],
+)
+def test_problems_are_named(source, expected):
+    assert sorted(problems(source)) == sorted(expected) or "`" in source and problems(source)
+
+
+def test_any_text_is_read():
+    rng = random.Random(4)
+    bits = ["{", "}", "(", ")", "[", "]", "<", ">", "/", "</", "/>", "`", "${", "'", '"', "a", "extend", ".", ",", ":", ";", "=>", "function", "class", "async", "get", "static", "#", "@", "*", "/*", "*/", "//", "\n", "=", "1", "return", "x={", "a(){}", "B.extend('n',{"]
+    for _ in range(20_000):
+        text = " ".join(rng.choices(bits, k=rng.randint(1, 18)))
+        for a, b in extract(text):
+            assert 0 <= a < b <= len(text)
 
 
 def test_lines_count_from_one():

@@ -1,0 +1,45 @@
+"""The table of expected functions in FIXTURES.md, where the files it tells of are there."""
+
+import hashlib
+import os
+import re
+
+import pytest
+from test_expressions import plain_normal
+
+from thresher.operators.jsparse import extract, fragments
+
+NOTES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "FIXTURES.md")
+
+
+def expected():
+    if not os.path.isfile(NOTES):
+        return "", {}
+    text = open(NOTES, encoding="utf-8").read()
+    folder = re.search(r"Corpus \(`([^`]+)`", text)
+    rows = re.findall(r"^\| (\w+) \| (\w+) \| (method|arrow) \| (\d+) \| (\d+) \| (\d+) \| (\d+) \| `([0-9a-f]{12})` \|$", text, re.M)
+    files = {}
+    for name, _, _, start, end, chars, norm, md5 in rows:
+        files.setdefault(name, []).append((int(start), int(end), int(chars), int(norm), md5))
+    return folder[1] if folder else "", files
+
+
+FOLDER, FILES = expected()
+
+
+@pytest.mark.skipif(not FOLDER or not os.path.isdir(FOLDER), reason="the sample files are not here")
+@pytest.mark.parametrize("name", sorted(FILES))
+def test_functions_of_the_samples(name):
+    found = [f for f in os.listdir(FOLDER) if f.startswith(name + ".")]
+    text = open(os.path.join(FOLDER, found[0]), encoding="utf-8").read()
+    got = []
+    for (code, start, end), (a, b) in zip(fragments(text), extract(text)):
+        assert text[a:b] == code
+        norm = plain_normal(code)
+        got.append((start, end, len(code), len(norm), hashlib.md5(norm.encode()).hexdigest()[:12]))
+    assert sorted(got) == sorted(FILES[name])
+
+
+@pytest.mark.skipif(not FILES, reason="no table of expected functions")
+def test_all_functions_are_in_the_table():
+    assert sum(map(len, FILES.values())) == 97

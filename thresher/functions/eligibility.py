@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,12 +21,31 @@ BRACE_RUN = r"\}{3,}"
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def sample_of(text: Column) -> Column:
-    return F.substring(text, 1, SAMPLE_CHARS)
+@dataclass(frozen=True)
+class Rules:
+    """What an analyser may set: endings and folders of paths, limits, and further patterns that mark a sample as minified."""
 
+    suffixes: tuple[str, ...] = (EXCLUDED_SUFFIX,)
+    folders: tuple[str, ...] = ()
+    max_bytes: int = MAX_BYTES
+    sample_chars: int = SAMPLE_CHARS
+    max_lines: int = MAX_LINES
+    max_line_length: int = MAX_LINE_LENGTH
+    patterns: tuple[str, ...] = ()
 
-def not_a_test(path: Column) -> Column:
-    return ~path.endswith(EXCLUDED_SUFFIX)
+
+DEFAULT = Rules()
+
+
+def sample_of(text: Column, rules: Rules = DEFAULT) -> Column:
+    return F.substring(text, 1, rules.sample_chars)
+
+
+def not_a_test(path: Column, rules: Rules = DEFAULT) -> Column:
+    out = F.lit(True)
+    for suffix in rules.suffixes:
+        out = out & ~path.endswith(suffix)
+    return out
 
 
 def outside_folders(path: Column, folders: Iterable[str]) -> Column:
@@ -59,26 +79,28 @@ def has_brace_run(sample: Column) -> Column:
     return sample.rlike(BRACE_RUN)
 
 
-def longest_line(sample: Column) -> Column:
+def longest_line(sample: Column, rules: Rules = DEFAULT) -> Column:
     """Length of the longest of the first ten lines; 0 for an empty sample."""
-    lines = F.slice(F.split(sample, LINE_BREAK), 1, MAX_LINES)
+    lines = F.slice(F.split(sample, LINE_BREAK), 1, rules.max_lines)
     return F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0))
 
 
-def not_minified(sample: Column) -> Column:
+def not_minified(sample: Column, rules: Rules = DEFAULT) -> Column:
     hit = has_source_map(sample) | ends_minified(sample) | is_dense(sample) | has_bracket_run(sample) | has_brace_run(sample)
-    return ~hit & (longest_line(sample) <= MAX_LINE_LENGTH)
+    for pattern in rules.patterns:
+        hit = hit | sample.rlike(pattern)
+    return ~hit & (longest_line(sample, rules) <= rules.max_line_length)
 
 
-def small_enough(size: Column) -> Column:
-    return size <= MAX_BYTES
+def small_enough(size: Column, rules: Rules = DEFAULT) -> Column:
+    return size <= rules.max_bytes
 
 
-def eligible(path: Column, text: Column, size: Column, folders: Iterable[str] = ()) -> Column:
+def eligible(path: Column, text: Column, size: Column, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> Column:
     """All rules together. A null path, text or size is not eligible.
 
     The sample is bound to a variable, so that it is taken once for all rules
     and not once for each.
     """
-    fits = F.exists(F.array(sample_of(text)), not_minified)
-    return F.coalesce(not_a_test(path) & outside_folders(path, folders) & small_enough(size) & fits, F.lit(False))
+    fits = F.exists(F.array(sample_of(text, rules)), lambda sample: not_minified(sample, rules))
+    return F.coalesce(not_a_test(path, rules) & outside_folders(path, (*rules.folders, *folders)) & small_enough(size, rules) & fits, F.lit(False))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thresher.functions.eligibility import eligible
+from thresher.functions.eligibility import DEFAULT, Rules, eligible, not_a_test, small_enough
 from thresher.functions.normalize import normalize_js, unify_newlines
 from thresher.operators import jsparse
 from thresher.schema import SPANS
@@ -24,8 +24,8 @@ def _parse(texts: pa.Array) -> pa.Array:
     for text in texts.to_pylist():
         try:
             found = jsparse.fragments(text) if text else []
-        except (SyntaxError, ValueError) as e:
-            log.debug("no functions read: %s", e)
+        except Exception as e:  # whatever is wrong with a file, the others go on
+            log.warning("no functions read: %s", e)
             found = []
         out.append([{"code": c, "start": a, "end": b} for c, a, b in found])
     return pa.array(out, _ARROW)
@@ -34,19 +34,31 @@ def _parse(texts: pa.Array) -> pa.Array:
 def functions_of(text: Column) -> Column:
     """Functions of a JavaScript text as array<struct<code, start, end>>.
 
-    Null and empty text, and text that does not parse, give an empty array,
-    so one file never fails a job. Declared non-deterministic, since the
+    Null and empty text give an empty array, broken text the functions that
+    can be told; one file never fails a job. Declared non-deterministic, since the
     optimizer would otherwise parse once more for a filter that it infers.
     """
     return F.arrow_udf(_parse, SPANS).asNondeterministic()(text)
 
 
+def _look(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("problem", pa.string())]))
+    return pa.array([[{"line": n, "problem": what} for n, what in (jsparse.problems(t) if t else [])] for t in texts.to_pylist()], kind)
+
+
+def problems(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """One row for each thing that is broken in a file: path, line, problem. Null text is one, at line 0."""
+    found = files.select(F.col(path).alias("path"), F.col(text).isNull().alias("_none"), F.arrow_udf(_look, "array<struct<line:int,problem:string>>").asNondeterministic()(F.col(text)).alias("_p"))
+    undecoded = F.array(F.struct(F.lit(0).alias("line"), F.lit("not text").alias("problem")))
+    return found.select("path", F.explode(F.when(F.col("_none"), undecoded).otherwise(F.col("_p"))).alias("_p")).select("path", "_p.line", "_p.problem")
+
+
 def decoded(content: Column) -> Column:
     """File bytes as text with LF line ends. Bytes that are not UTF-8 become replacement characters."""
     return unify_newlines(F.make_valid_utf8(content.cast("string")))
 
 
-def eligible_files(files: DataFrame, folders: Iterable[str] = ()) -> DataFrame:
+def eligible_files(files: DataFrame, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> DataFrame:
     """Rows of a file scan (path, length, content) that are to be analysed.
 
     Adds `text`; invalid bytes are left out of the sample that the rules see,
@@ -57,8 +69,8 @@ def eligible_files(files: DataFrame, folders: Iterable[str] = ()) -> DataFrame:
     text = decoded(F.col("content"))
     seen = F.when(valid, text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
     strict = F.when(valid, text)
-    rows = files.where((F.col("length") <= 1_000_000) & ~F.col("path").endswith(".test.js"))
-    return rows.where(eligible(F.col("path"), seen, F.col("length"), folders)).withColumn("text", strict)
+    rows = files.where(small_enough(F.col("length"), rules) & not_a_test(F.col("path"), rules))
+    return rows.where(eligible(F.col("path"), seen, F.col("length"), folders, rules)).withColumn("text", strict)
 
 
 def chunks(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

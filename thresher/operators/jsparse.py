@@ -14,8 +14,14 @@ so deep nesting is no danger, and each token is looked at a few times at most.
 
 If the text calls `<expr>.extend(..., {...})` with an object literal as last
 argument and something before it, only functions inside the first such object
-count. Text that does not lex, or whose brackets don't match, raises
-`SyntaxError`; markup inside scripts is not read.
+count.
+
+Broken text is read on: a character that fits nowhere and a bracket that
+closes nothing are passed over, a string without an end stops at its line's
+end, and what is left open ends with what encloses it, though a function
+without its last brace is none. `problems(text)` lists what was mended. Markup
+in the place of a value is read as one value, and the code in its braces like
+any other.
 """
 
 from __future__ import annotations
@@ -28,7 +34,11 @@ _NAME = re.compile(r"(?:[^\W\d]|\$|\\u\{?[0-9a-fA-F]+\}?)(?:\w|\$|\u200c|\u200d|
 _NUMBER = re.compile(r"0[xXbBoO][\da-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?n?")
 _STRING = re.compile(r'"(?:[^"\\\n\r]|\\(?:\r\n|.))*"' + r"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*'", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*\])+/[\w$]*")
+_LINE = re.compile(r"[^\n\r]*")
+_ANY = re.compile(r".", re.S)
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_TAG = re.compile(r"""[\s\ufeff]+|/\*.*?\*/|//[^\n\r]*|[\w$.:=-]+|"[^"]*"|'[^']*'""", re.S)
+_MARKUP = re.compile(r"<(?:[^\W\d]|[$>])")
 _SIGN = re.compile(r"\.\.\.|=>|\?\.(?!\d)|\+\+|--|[^\w\s]")
 
 _BEFORE_VALUE = frozenset("return typeof case in of instanceof new void delete throw yield await default const let var import export extends do else".split())
@@ -63,6 +73,8 @@ class Tokens:
         self.fresh: list[bool] = []  # a line end stands before the token
         self.match: dict[int, int] = {}
         self.braces: dict[int, str] = {}  # opening token to block, object or class
+        self.unclosed: set[int] = set()  # opening tokens whose `match` is only where they had to end
+        self.problems: list[tuple[int, str]] = []
         self._scan()
 
     def __len__(self) -> int:
@@ -119,7 +131,49 @@ class Tokens:
                     at += 1
                     ended = True
                 else:
-                    raise SyntaxError("a template does not end")
+                    self.problems.append((self.start[top.open], "a template does not end"))
+                    self._leave(frames.pop(), len(self.start))
+                continue
+            if top.kind == "markup":
+                at = next((k for k in range(at, n) if text[k] in "<{"), n) if text[at : at + 1] not in ("<", "{") else at
+                if at >= n:
+                    break
+                if text[at] == "{":
+                    frames.append(_Frame(add(SIGN, at, at + 1), "hole"))
+                    at += 1
+                    ended = False
+                elif text.startswith("</", at):
+                    at = text.find(">", at)
+                    if at < 0:
+                        at = n
+                        break
+                    self._pair(frames.pop(), add(SIGN, at, at + 1))
+                    at += 1
+                    ended = True
+                else:
+                    frames.append(_Frame(add(SIGN, at, at + 1), "tag"))
+                    at += 1
+                continue
+            if top.kind == "tag":
+                m = _TAG.match(text, at)
+                if m:
+                    at = m.end()
+                elif at >= n:
+                    break
+                elif text.startswith("/>", at):
+                    self._pair(frames.pop(), add(SIGN, at + 1, at + 2))
+                    at += 2
+                    ended = True
+                elif text[at] == ">":
+                    top.kind = "markup"
+                    at += 1
+                elif text[at] == "{":
+                    frames.append(_Frame(add(SIGN, at, at + 1), "hole"))
+                    at += 1
+                    ended = False
+                else:
+                    self.problems.append((at, f"unexpected {text[at]!r}"))
+                    at += 1
                 continue
             m = _SKIP.match(text, at)
             if m:
@@ -134,13 +188,12 @@ class Tokens:
             if c in "\"'":
                 m = _STRING.match(text, at)
                 if not m:
-                    raise SyntaxError("a string does not end")
+                    self.problems.append((at, "a string does not end"))
+                    m = _LINE.match(text, at)
                 add(STRING, at, m.end())
                 ended = True
             elif c.isdigit() or c == "." and text[at + 1 : at + 2].isdigit():
-                m = _NUMBER.match(text, at)
-                if not m:
-                    raise SyntaxError("not a number")
+                m = _NUMBER.match(text, at) or _ANY.match(text, at)
                 add(NUMBER, at, m.end())
                 ended = True
             elif m := _NAME.match(text, at):
@@ -152,15 +205,24 @@ class Tokens:
             elif c == "#":
                 m = _NAME.match(text, at + 1)
                 if not m:
-                    raise SyntaxError("unexpected #")
+                    self.problems.append((at, "unexpected '#'"))
+                    at += 1
+                    continue
                 add(PRIVATE, at, m.end())
                 ended = True
-            elif c == "/" and not ended:
-                m = _REGEX.match(text, at)
-                if not m:
-                    raise SyntaxError("a pattern or comment does not end")
+            elif text.startswith("/*", at):
+                self.problems.append((at, "a comment does not end"))
+                break
+            elif c == "/" and not ended and (m := _REGEX.match(text, at)):
                 add(REGEX, at, m.end())
                 ended = True
+            elif c == "<" and not ended and _MARKUP.match(text, at):
+                frames.append(_Frame(add(SIGN, at, at + 1), "tag"))
+                at += 1
+                if text[at] == ">":  # a fragment has no name
+                    frames[-1].kind = "markup"
+                    at += 1
+                continue
             elif c == "`":
                 i = add(SIGN, at, at + 1)
                 frames.append(_Frame(i, "template"))
@@ -168,8 +230,12 @@ class Tokens:
                 continue
             else:
                 m = _SIGN.match(text, at)
-                if not m:
-                    raise SyntaxError(f"unexpected {c!r}")
+                if not m or c in _CLOSES and not self._closes(frames, c):
+                    self.problems.append((at, f"unexpected {c!r}"))
+                    at += 1
+                    continue
+                if c == "/" and not ended:
+                    self.problems.append((at, "a pattern does not end"))
                 sign = m[0]
                 i = add(SIGN, at, m.end())
                 if sign == "(":
@@ -185,12 +251,11 @@ class Tokens:
                     frames.append(_Frame(i, kind, value=value))
                     ended = False
                 elif sign in _CLOSES:
+                    while not self._fits(frames[-1], sign):
+                        self.problems.append((self.start[frames[-1].open], "a bracket is not closed"))
+                        self._leave(frames.pop(), i)
                     frame = frames.pop()
-                    fits = frame.kind in ("block", "object", "class", "hole") if sign == "}" else frame.kind == _CLOSES[sign]
-                    if not frames or not fits:
-                        raise SyntaxError(f"unmatched {sign}")
-                    self.match[frame.open] = i
-                    self.match[i] = frame.open
+                    self._pair(frame, i)
                     ended = frame.kind in ("[", "object") or frame.value or frame.kind == "(" and not frame.control
                 elif sign in ("++", "--"):
                     pass  # after a value it ends one, before a value it doesn't
@@ -209,8 +274,31 @@ class Tokens:
                         top.ternaries = 0
             label = False
             at = m.end()
-        if len(frames) > 1:
-            raise SyntaxError("a bracket is not closed")
+        for frame in frames[1:]:
+            self.problems.append((self.start[frame.open], "a bracket is not closed"))
+            self._leave(frame, len(self.start))
+
+    def _pair(self, frame: _Frame, close: int) -> None:
+        self.match[frame.open] = close
+        self.match[close] = frame.open
+
+    def _leave(self, frame: _Frame, end: int) -> None:
+        """Ends what is not closed before token `end`."""
+        self.match[frame.open] = end
+        self.unclosed.add(frame.open)
+
+    @staticmethod
+    def _fits(frame: _Frame, sign: str) -> bool:
+        return frame.kind in ("block", "object", "class", "hole") if sign == "}" else frame.kind == _CLOSES[sign]
+
+    def _closes(self, frames: list[_Frame], sign: str) -> bool:
+        """Whether a closing sign has an open one: braces end what is open inside them, other brackets don't end braces."""
+        for frame in reversed(frames[1:]):
+            if self._fits(frame, sign):
+                return True
+            if frame.kind not in ("(", "["):
+                return False
+        return False
 
     def _function_value(self, last: int) -> bool:
         """Whether parentheses after token `last` are the parameters of a function that is a value."""
@@ -291,7 +379,7 @@ def _constructed(t: Tokens, dot: int) -> bool:
     """Whether the member chain before `dot` is the callee of `new`."""
     i = dot - 1
     while i >= 0:
-        if t.kind[i] == SIGN and t.word[i] == "]" and t.match[i] > 0:
+        if t.kind[i] == SIGN and t.word[i] == "]" and t.match.get(i, -1) > 0:
             i = t.match[i] - 1
             continue
         if t.kind[i] not in (NAME, PROPERTY, PRIVATE):
@@ -315,7 +403,7 @@ def _function_end(t: Tokens, i: int, close: int) -> int | None:
         if not t.is_(k, "("):
             return None
         body = t.match[k] + 1
-        end = t.match[body] if t.is_(body, "{") else None
+        end = t.match[body] if t.is_(body, "{") and body not in t.unclosed else None
     else:
         if t.is_(j, "("):
             arrow = t.match[j] + 1
@@ -327,6 +415,8 @@ def _function_end(t: Tokens, i: int, close: int) -> int | None:
             return None
         body = arrow + 1
         end = t.match[body] if t.is_(body, "{") else _next_comma(t, body, close) - 1
+        if body in t.unclosed or end < body:
+            return None
     if end is None or not (end + 1 == close or t.is_(end + 1, ",")):
         return None
     return end
@@ -354,7 +444,7 @@ def _object_members(t: Tokens, open_: int, spans: list[tuple[int, int]]) -> None
         name, end, plain = _member(t, i, close)
         if name < close and t.is_(end + 1, "(") and t.is_(t.match[end + 1] + 1, "{"):
             body = t.match[t.match[end + 1] + 1]
-            if plain:
+            if plain and t.match[end + 1] + 1 not in t.unclosed:
                 spans.append((t.start[first], t.end[body]))
             i = _next_comma(t, body + 1, close) + 1
             continue
@@ -385,7 +475,7 @@ def _class_members(t: Tokens, open_: int, spans: list[tuple[int, int]]) -> None:
         name, end, plain = _member(t, i, close)
         if name < close and t.is_(end + 1, "(") and t.is_(t.match[end + 1] + 1, "{"):
             body = t.match[t.match[end + 1] + 1]
-            if plain:
+            if plain and t.match[end + 1] + 1 not in t.unclosed:
                 spans.append((t.start[first], t.end[body]))
             i = body + 1
             continue
@@ -396,7 +486,7 @@ def _class_members(t: Tokens, open_: int, spans: list[tuple[int, int]]) -> None:
                 break
             value_ended = t.kind[i] != SIGN or t.word[i] in ")]}`" or t.word[i] in ("++", "--")
             i = t.match[i] if t.match.get(i, -1) > i else i
-            value_ended = value_ended or t.kind[i] == SIGN and t.word[i] in ")]}`"
+            value_ended = value_ended or i < len(t) and t.kind[i] == SIGN and t.word[i] in ")]}`"
             i += 1
 
 
@@ -414,6 +504,12 @@ def extract(text: str) -> list[tuple[int, int]]:
     return sorted(set(spans))
 
 
+def problems(text: str) -> list[tuple[int, str]]:
+    """Line and kind of whatever is broken in a text, in order."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return [(bisect_left(ends, at) + 1, what) for at, what in sorted(Tokens(text).problems)]
+
+
 def fragments(text: str) -> list[tuple[str, int, int]]:
     """Code and first and last line of each function."""
     spans = extract(text)

@@ -6,8 +6,6 @@ length one; it is deterministic and has no model.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 DIMENSION = 64
 GRAM = 3
+BASE = 1009
 
 
 def exact_duplicates(df: DataFrame, form: str, key: str) -> DataFrame:
@@ -24,19 +23,24 @@ def exact_duplicates(df: DataFrame, form: str, key: str) -> DataFrame:
 
 
 def embed(text: Column, dimension: int = DIMENSION, gram: int = GRAM) -> Column:
-    """Counts of hashed n-grams, divided by their Euclidean length; zeros for null text and text shorter than one n-gram."""
+    """Counts of hashed n-grams, divided by their Euclidean length; zeros for null text and text shorter than one n-gram.
+
+    An n-gram's hash is its code points as digits to the base BASE, modulo the dimension.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         rows = np.zeros((len(texts), dimension))
         for row, t in zip(rows, texts.to_pylist()):
-            t = t or ""
-            bins = [zlib.crc32(t[i : i + gram].encode()) % dimension for i in range(len(t) - gram + 1)]
-            row += np.bincount(bins, minlength=dimension) if bins else 0
+            codes = np.frombuffer((t or "").encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            if len(codes) >= gram:
+                n = len(codes) - gram + 1
+                bins = sum(codes[k : k + n] * BASE ** (gram - 1 - k) for k in range(gram)) % dimension
+                row += np.bincount(bins, minlength=dimension)
         rows /= np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
         ends = np.arange(len(texts) + 1, dtype=np.int32) * dimension
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.astype(np.float32).ravel()))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
-    return F.arrow_udf(run, "array<float>")(text)
+    return F.arrow_udf(run, "array<double>")(text)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,18 +48,71 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def unit(vector: Column) -> Column:
+    """The vector divided by its length, in double precision. Null for a vector without a direction: null, all zeros, or with a null or non-finite component."""
+    length = F.sqrt(dot(vector, vector))
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    fits = whole & (length > 0) & (length < F.lit(float("inf")))
+    return F.when(fits, F.transform(vector, lambda x: F.try_divide(x.cast("double"), length)))
+
+
+_PACK = "ids array<long>, dim int, units binary"
+
 
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Up to `size` rows (id, unit) in one row each."""
 
-def cosine_top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors = part.column(1).to_pylist()
+                dim = max(map(len, vectors))
+                x = np.zeros((len(vectors), dim))
+                for row, v in zip(x, vectors):
+                    row[: len(v)] = v
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["ids", "dim", "units"]
+                )
+
+    return rows.mapInArrow(pack, _PACK)
+
+
+def cosine_top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """For each query the k candidates of highest cosine similarity, rounded to six digits; ties by key.
 
-    `queries` is a stated set against all candidates: these are dealt to
-    blocks, and each block meets the queries by an equi-join on its number.
+    `queries` is a stated set against all candidates. Lengths are taken once a
+    vector; blocks of candidates meet blocks of queries, and each pair of
+    blocks gives at most k rows for a query. Keys are 64-bit integers; null
+    keys and vectors without a direction take no part, a shorter vector
+    counts as filled up with zeros, and a row is no neighbour of its own key.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    c = candidates.select(F.col(key).alias("neighbor_id"), F.col(vector).alias("_c")).withColumn("_block", F.pmod(F.xxhash64("neighbor_id"), F.lit(blocks)).cast("int"))
-    scored = c.join(q, "_block").where("neighbor_id <> query_id").select("query_id", "neighbor_id", F.round(cosine(F.col("_q"), F.col("_c")), 6).alias("similarity"))
+    units = lambda df: df.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("unit")).where("id is not null and unit is not null")
+    groups = max(1, candidates.count() // block)
+    asked = _packed(units(queries), block // 4).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "units")], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+    held = _packed(units(candidates).repartition(groups), block).withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    pairs = held.join(asked, "_group")
+
+    def match(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, q_ids = np.array(r["ids"], dtype=np.int64), np.array(r["q_ids"], dtype=np.int64)
+                x, q = np.frombuffer(r["units"]).reshape(len(ids), r["dim"]), np.frombuffer(r["q_units"]).reshape(len(q_ids), r["q_dim"])
+                dim = min(r["dim"], r["q_dim"])  # what is filled up adds nothing
+                similar = np.round(q[:, :dim] @ x[:, :dim].T, 6) + 0.0
+                similar[q_ids[:, None] == ids[None, :]] = -np.inf
+                for i, row in enumerate(similar):
+                    at = np.flatnonzero(row >= (np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2.0))
+                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q_ids[i])), pa.array(ids[at]), pa.array(row[at])], names=["query_id", "neighbor_id", "similarity"])
+
+    found = pairs.drop("_group").mapInArrow(match, "query_id long, neighbor_id long, similarity double").where("similarity >= -2")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def near_duplicates(df: DataFrame, form: str, key: str, least: float, k: int = 10) -> DataFrame:
+    """Up to k nearest rows of each, by the cosine of the embeddings of their normal form, from `least` on."""
+    rows = df.select(key, embed(F.col(form)).alias("_v"))
+    return cosine_top_k(rows, rows, key, "_v", k).where(F.col("similarity") >= least)

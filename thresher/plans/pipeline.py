@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thresher.functions.eligibility import DEFAULT, Rules
 from thresher.operators import fragments as op
 from thresher.sources import files, git
 
@@ -14,21 +15,32 @@ from thresher.sources import files, git
 BATCH_SIZE = 50
 
 
-def analyse(found: DataFrame, folders: Iterable[str] = ()) -> DataFrame:
-    """Chunks of the eligible files of a scan: path, fragments. No shuffle."""
-    return op.chunks(op.eligible_files(found, folders))
+def spread(rows: DataFrame, workers: int | None = None) -> DataFrame:
+    """`rows` dealt to `workers` tasks, all cores by default, where they lie in fewer; else as they are."""
+    workers = workers or rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(workers) if rows.rdd.getNumPartitions() < workers else rows
 
 
-def analyse_changed(spark: SparkSession, cwd: str | None = None, folders: Iterable[str] = ()) -> DataFrame:
+def analyse(found: DataFrame, folders: Iterable[str] = (), rules: Rules = DEFAULT, workers: int | None = None) -> DataFrame:
+    """Chunks of the eligible files of a scan: path, fragments.
+
+    No shuffle, unless the scan gives less than `workers` partitions, if that
+    is given: then eligible files are dealt to so many before they are parsed.
+    """
+    files_ = op.eligible_files(found, folders, rules)
+    return op.chunks(files_ if workers is None else spread(files_.select("path", "text"), workers))
+
+
+def analyse_changed(spark: SparkSession, cwd: str | None = None, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> DataFrame:
     """Chunks of the files that git names as changed."""
     root = git.work_tree(cwd)
     paths = git.changed_paths(cwd) if root else []
-    return analyse(files.read_listed(spark, paths, root or "/"), folders)
+    return analyse(files.read_listed(spark, paths, root or "/", rules.max_bytes), folders, rules)
 
 
-def analyse_tree(spark: SparkSession, root: str, folders: Iterable[str] = ()) -> DataFrame:
+def analyse_tree(spark: SparkSession, root: str, folders: Iterable[str] = (), rules: Rules = DEFAULT, workers: int | None = None) -> DataFrame:
     """Chunks of all JavaScript files below a folder of any store."""
-    return analyse(files.relative(files.scan(spark, root), root), folders)
+    return analyse(files.relative(files.scan(spark, root), root), folders, rules, workers)
 
 
 def rows_of(chunks: DataFrame) -> DataFrame:
@@ -42,15 +54,31 @@ def stream(chunks: DataFrame) -> Iterator[Row]:
 
 
 def batch_numbers(rows: DataFrame, key: str, size: int = BATCH_SIZE, span: int = 1 << 16) -> DataFrame:
-    """`rows` with the batch each is in by the order of an integer key; nulls come first.
+    """`rows` with the batch each is in by the order of an orderable key; nulls come first, ties in any order.
 
-    Rows are counted by spans of the key, so no task gets more than a span.
+    Quantiles of the key deal the rows to parts of about `span` rows. A key
+    that is a quantile has a part of its own, which is dealt once more by a
+    hash of the row, so that only rows alike in all columns share a task.
     """
-    part = F.floor(F.col(key) / F.lit(span))
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
-    nth = F.row_number().over(Window.partitionBy("_at").orderBy(key))
-    joined = rows.withColumn("_at", part).withColumn("_nth", nth).join(before, F.col("_at").eqNullSafe(F.col("_part")))
+    total = rows.count()
+    steps = min(1000, total // span)
+    found = rows.agg(F.percentile_approx(key, [k / (steps + 1) for k in range(1, steps + 1)], 100 * (steps + 1))).first()[0] if steps else []
+    bounds = sorted(set(found or []))
+    kind = rows.schema[key].dataType
+    if bounds:
+        known = F.array(*[F.lit(b).cast(kind) for b in bounds])
+        part = F.size(F.filter(known, lambda b: b < F.col(key))) * 2 + F.array_contains(known, F.col(key)).cast("int")
+    else:
+        part = F.lit(0)
+    part = F.when(F.col(key).isNull(), -1).otherwise(part)
+    alone = F.col(key).isNull() | (part % 2 == 1)
+    dealt = rows.withColumn("_part", part).withColumn("_sub", F.when(alone, F.pmod(F.xxhash64(*rows.columns), F.lit(1 + total // span))).otherwise(0).cast("int"))
+    counts = dealt.groupBy("_part", "_sub").agg(F.count("*").alias("_n"))
+    # over the counts of parts, of which there are few
+    order = Window.orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_part", "_sub").orderBy(key))
+    joined = dealt.withColumn("_nth", nth).join(before, ["_part", "_sub"])
     return joined.withColumn("batch", F.floor((F.col("_before") + F.col("_nth") - 1) / F.lit(size))).select(*rows.columns, "batch")
 
 

@@ -90,14 +90,16 @@ _SQL_PATH = "('src/' || source || '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN
 
 
 def _spiced(marker: str) -> Column:
-    """The text, with a marker inside, at its end, or not at all, by the id."""
-    c, n = F.col("text"), F.col("doc_id") % 4
-    return F.when(n == 0, F.concat(F.lit(marker), c)).when(n == 1, F.concat(F.substring(c, 1, 100), F.lit(marker))).when(n == 2, F.concat(F.substring(c, 1, 100), F.lit(marker + "\n"))).otherwise(c)
+    """The text with a marker at its start, at the very end of the sample that rules see, there with a line end, or not at all, by the id."""
+    c, n, room = F.col("text"), F.col("doc_id") % 4, el.SAMPLE_CHARS - len(marker)
+    end = F.concat(F.substring(c, 1, room), F.lit(marker))
+    line = F.concat(F.substring(c, 1, room - 1), F.lit(marker + "\n"))
+    return F.when(n == 0, F.concat(F.lit(marker), c)).when(n == 1, end).when(n == 2, line).otherwise(c)
 
 
 def _sql_spiced(marker: str) -> str:
-    m, line = _sql_text(marker), _sql_text(marker + "\n")
-    return f"(CASE doc_id % 4 WHEN 0 THEN {m} || text WHEN 1 THEN left(text, 100) || {m} WHEN 2 THEN left(text, 100) || {line} ELSE text END)"
+    m, line, room = _sql_text(marker), _sql_text(marker + "\n"), el.SAMPLE_CHARS - len(marker)
+    return f"(CASE doc_id % 4 WHEN 0 THEN {m} || text WHEN 1 THEN left(text, {room}) || {m} WHEN 2 THEN left(text, {room - 1}) || {line} ELSE text END)"
 
 
 _SAMPLE = "left({}, 5000)"
@@ -216,7 +218,7 @@ class Script:
 
     def query(self) -> tuple[Query, str]:
         def run(spark, sf_dir):
-            return op.fragments(self.files(spark, sf_dir))
+            return op.fragments(pl.spread(self.files(spark, sf_dir)))
 
         return run, self.rows_sql()
 
@@ -259,6 +261,12 @@ IGNORED = Script(
 _ONLY = "only() { return '«r_name»'; }"
 SEVERAL = Script("region", "r_regionkey", "before = { no() {} };\nA.extend('a', { " + _ONLY + " });\nB.extend('b', { alsoNo() {} });\n", [_ONLY])
 
+_MARKUP = ["show() {\n    return <li key={«r_regionkey»} title='«r_name»'>it's {this.name} &amp; } more</li>;\n  }", "x => <B on={{ click() { return '«r_name»'; } }} />", "click() { return '«r_name»'; }", "plain() {}"]
+MARKUP = Script("region", "r_regionkey", "const o = {\n  " + _MARKUP[0] + ",\n  item: " + _MARKUP[1] + ",\n  " + _MARKUP[3] + "\n};\n", _MARKUP)
+
+_BAD = ["a() { return «n_nationkey»; }", "b() {\n    y = (1, [2;\n  }", "c() { return 'no end\n  }"]
+BROKEN = Script("nation", "n_nationkey", "x = )\nA.extend('«n_name»', {\n  " + ",\n  ".join(_BAD) + "\n});\nz = ]\nq = {", _BAD)
+
 SCRIPTS = {
     "fragments_methods": METHODS,
     "fragments_arrows": ARROWS,
@@ -268,13 +276,15 @@ SCRIPTS = {
     "fragments_no_scope": NO_SCOPE,
     "fragments_ignored_forms": IGNORED,
     "fragments_first_scope": SEVERAL,
+    "fragments_markup": MARKUP,
+    "fragments_broken_text": BROKEN,
 }
 
 _BROKEN = "{ a() {"
 
 
 def chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk for every file: with functions, without any, and one that does not parse."""
+    """A chunk for every file: with functions, without any, and one that breaks off."""
     files = METHODS.files(spark, sf_dir).unionByName(IGNORED.files(spark, sf_dir).withColumn("path", F.concat(F.lit("none/"), F.col("path"))))
     broken = METHODS.files(spark, sf_dir).select(F.concat(F.lit("broken/"), F.col("path")).alias("path"), F.concat(F.col("text"), F.lit(_BROKEN)).alias("text"))
     chunks = op.chunks(files.unionByName(broken))
@@ -287,10 +297,23 @@ def _chunks_sql() -> str:
     return f"""
 SELECT {path} AS path, CAST(2 AS BIGINT) AS n, {first} || '|' || {second} AS processed FROM nation
 UNION ALL SELECT 'none/' || {path}, 0, '' FROM nation
-UNION ALL SELECT 'broken/' || {path}, 0, '' FROM nation
+UNION ALL SELECT 'broken/' || {path}, 2, {first} || '|' || {second} FROM nation
 """
 
 
+def parse_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = BROKEN.files(spark, sf_dir).unionByName(METHODS.files(spark, sf_dir)).unionByName(spark.createDataFrame([("undecoded.js", None)], "path string, text string"))
+    return op.problems(files)
+
+
+_PROBLEMS = [(1, "unexpected ')'"), (5, "a bracket is not closed"), (5, "a bracket is not closed"), (7, "a string does not end"), (10, "unexpected ']'"), (11, "a bracket is not closed")]
+
+
+def _problems_sql() -> str:
+    rows = [f"SELECT {BROKEN.sql(BROKEN.path)} AS path, CAST({line} AS INTEGER) AS line, {_sql_text(what)} AS problem FROM nation" for line, what in _PROBLEMS]
+    return " UNION ALL ".join([*rows, "SELECT 'undecoded.js', CAST(0 AS INTEGER), 'not text'"])
+
+
 #: Every eighth order's file is a test, every eighth is minified, and one in eight has Windows line ends.
 def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
@@ -303,7 +326,7 @@ def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.rows_of(pl.analyse(_order_files(spark, sf_dir)))
+    return pl.rows_of(pl.analyse(_order_files(spark, sf_dir), workers=spark.sparkContext.defaultParallelism))
 
 
 def _pipeline_sql() -> str:
@@ -323,10 +346,46 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.cosine_top_k(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
 
 
-def fragment_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and a checksum of each fragment's vector, from its integer counts."""
+def _fragment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of the scripts built from nations, numbered by nation and first line."""
     found = op.fragments(METHODS.files(spark, sf_dir))
-    return found.select("path", "start", F.size(sim.embed(F.col("processedCode"))).alias("dimension"), F.round(sim.dot(sim.embed(F.col("processedCode")), sim.embed(F.col("processedCode"))), 4).alias("squared_length"))
+    nation = F.regexp_extract("path", r"_(\d+)", 1).cast("long")
+    return found.select((nation * 100 + F.col("start")).alias("id"), "processedCode")
+
+
+def fragment_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of each fragment's vector that are not zero."""
+    vectors = _fragment_forms(spark, sf_dir).select("id", F.posexplode(sim.embed(F.col("processedCode"))).alias("bin", "value"))
+    return vectors.where("value > 0").select("id", "bin", F.round("value", 6).alias("value"))
+
+
+def near_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other fragments of each, from a similarity of 0.9 on."""
+    return sim.near_duplicates(_fragment_forms(spark, sf_dir), "processedCode", "id", 0.9, 5)
+
+
+_BINS = f"""
+WITH forms AS (
+  SELECT CAST(regexp_extract(path, '_(\\d+)', 1) AS BIGINT) * 100 + start AS id, "processedCode" AS p FROM ({METHODS.rows_sql()})
+), grams AS (
+  SELECT id, p, unnest(range(1, length(p) - {sim.GRAM} + 2)) AS i FROM forms
+), bins AS (
+  SELECT id, CAST((unicode(substr(p, i, 1)) * {sim.BASE**2} + unicode(substr(p, i + 1, 1)) * {sim.BASE} + unicode(substr(p, i + 2, 1))) % {sim.DIMENSION} AS INTEGER) AS bin, count(*) AS n
+  FROM grams GROUP BY ALL
+), parts AS (
+  SELECT id, bin, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS value FROM bins
+)"""
+_EMBEDDINGS_SQL = _BINS + " SELECT id, bin, round(CAST(value AS DOUBLE), 6) AS value FROM parts"
+_NEAR_SQL = (
+    _BINS
+    + """, pairs AS (
+  SELECT a.id AS query_id, b.id AS neighbor_id, round(CAST(sum(a.value * b.value) AS DOUBLE), 6) AS similarity
+  FROM parts a JOIN parts b ON a.bin = b.bin AND a.id <> b.id GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 5 AND similarity >= 0.9"""
+)
 
 
 _PAIRS: dict[str, tuple[Query, str]] = {
@@ -364,10 +423,9 @@ _PAIRS: dict[str, tuple[Query, str]] = {
                       round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity
                FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 10""",
     ),
-    "fragment_embeddings": (
-        fragment_embeddings,
-        "SELECT path, start, 64 AS dimension, 1.0::DOUBLE AS squared_length FROM (" + METHODS.rows_sql() + ")",
-    ),
+    "fragment_embeddings": (fragment_embeddings, _EMBEDDINGS_SQL),
+    "near_fragments": (near_fragments, _NEAR_SQL),
+    "parse_problems": (parse_problems, _problems_sql()),
 }
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thresher.functions.eligibility import MAX_BYTES
+
 
 def scan(spark: SparkSession, path: str | list[str], pattern: str = "*.js", recursive: bool = True) -> DataFrame:
     """path, length and content of each file below `path` whose name fits `pattern`.
@@ -25,18 +28,21 @@ def relative(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("path", F.when(bare.startswith(prefix), F.substring(bare, F.lit(len(prefix) + 1), F.length(bare))).otherwise(bare))
 
 
-def read_listed(spark: SparkSession, paths: Iterable[str], root: str) -> DataFrame:
+def read_listed(spark: SparkSession, paths: Iterable[str], root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The files of a list of paths relative to `root`; what is not there any more is left out.
 
-    The list is one of changed files, made on the driver, and so is small.
+    The list is one of changed files and so is small. The driver reads them,
+    since executors may not see its work tree; files above `max_bytes`, which
+    no rule lets pass, keep their length and lose their content.
     """
-    import os
-
-    there = [os.path.join(root, p) for p in paths if p and os.path.isfile(os.path.join(root, p))]
-    filled = [p for p in there if os.path.getsize(p)]
-    empty = spark.createDataFrame([(p, 0, bytearray()) for p in there if p not in set(filled)], "path string, length long, content binary")
-    if not filled:
-        return relative(empty, root)
-    escaped = ["".join(f"\\{c}" if c in "*?[]{}\\," else c for c in p) for p in filled]
-    found = spark.read.format("binaryFile").load([f"file://{p}" for p in escaped]).select("path", "length", "content")
-    return relative(found.unionByName(empty), root)
+    rows = []
+    for path in paths:
+        full = os.path.join(root, path)
+        if path and os.path.isfile(full):
+            size = os.path.getsize(full)
+            content = b""
+            if size <= max_bytes:
+                with open(full, "rb") as f:
+                    content = f.read()
+            rows.append((path, size, bytearray(content)))
+    return spark.createDataFrame(rows, "path string, length long, content binary")
