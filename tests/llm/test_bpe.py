@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from thresher.llm import bpe
@@ -29,6 +30,40 @@ def test_merges_match_repeated_scans():
         assert bpe.merge_word(word, pairs) == plain_merge(word, pairs)
 
 
+def test_merges_of_many_words_match_those_of_one():
+    rng = random.Random(5)
+    pairs, rank, size = {}, 0, 4
+    while rank < 40:
+        key = rng.randrange(size) << 32 | rng.randrange(size)
+        if key not in pairs:
+            pairs[key] = (rank, size)
+            rank, size = rank + 1, size + 1
+    words = [[rng.randrange(4) for _ in range(rng.randint(2, bpe.LONG))] for _ in range(3000)]
+    for got, word in zip(bpe.merge_words(words, bpe.Pairs(pairs)), words):
+        assert got.tolist() == bpe.merge_word(word, pairs)
+    assert [x.tolist() for x in bpe.merge_words(words[:2], bpe.Pairs({}))] == words[:2]
+
+
+def test_every_code_point_matches_the_library():
+    library, ours = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+    texts = [f"x{chr(c)}Y 1{chr(c)}2 {chr(c)}  {chr(c)}." for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        got = [np.frombuffer(x, dtype=np.int32).tolist() for x in ours.encode_bytes(part)]
+        assert [t for t, w, g in zip(part, want, got) if w != g] == []
+
+
+def test_memory_of_chunks_is_bounded(monkeypatch):
+    ours = bpe.WordBPE(bpe.default_path())
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 10)
+    monkeypatch.setattr(bpe, "LETTERS", 60)
+    texts = [" ".join(f"word{(7 * i + k) % 40}" for k in range(6)) for i in range(60)]
+    apart = [bpe.WordBPE(bpe.default_path()).encode(t) for t in texts[:3]]
+    got = [np.frombuffer(x, dtype=np.int32).tolist() for x in ours.encode_bytes(texts)]
+    assert got[:3] == apart and len(ours._new) <= 10 and len(ours._old) <= 10
+
+
 def test_matches_the_library():
     library, ours = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
     rng = random.Random(4)
