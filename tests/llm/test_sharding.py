@@ -60,3 +60,46 @@ def test_place_balances_all_sizes(seed):
         assert loads.max() < 1.2 * loads.min()
     first = np.bincount(where, weights=sizes[:, 0], minlength=16)
     assert first.max() - first.min() <= 0.005 * first.mean()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_units_go_where_the_dot_product_is_highest(seed):
+    """Every choice, replayed one unit and one shard at a time."""
+    rng = np.random.default_rng(seed)
+    sizes = (np.floor(rng.pareto(1.5, (300, 3)) * 64) + 1).tolist()
+    out = sharding.assign(np.array(sizes), 8).tolist()
+    totals = [sum(u[d] for u in sizes) / 8 for d in range(3)]
+    parts = [[u[d] / totals[d] for d in range(3)] for u in sizes]
+    left = [[1.0] * 3 for _ in range(8)]
+    none = 0
+    for u in sorted(range(300), key=lambda u: (-max(parts[u]), u)):
+        able = [s for s in range(8) if all(left[s][d] >= parts[u][d] - 1e-12 for d in range(3))]
+        none += not able
+        worth = {s: sum(a * b for a, b in zip(left[s], parts[u])) for s in able} or {s: left[s][0] for s in range(8)}
+        assert worth[out[u]] >= max(worth.values()) - 1e-9
+        for d in range(3):
+            left[out[u]][d] -= parts[u][d]
+    assert none < 300
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moves_only_narrow_the_first_size(seed):
+    sizes = np.floor(np.random.default_rng(seed).pareto(1.5, (300, 3)) * 64) + 1
+    spread = lambda out: np.ptp(np.bincount(out, weights=sizes[:, 0], minlength=8))
+    before, after = sharding.assign(sizes, 8), sharding.place(sizes, 8)
+    assert spread(after) <= spread(before) and (before == after).mean() > 0.3
+
+
+def test_place_of_nothing_and_of_zeros():
+    assert sharding.place(np.zeros((0, 3)), 16).tolist() == []
+    assert set(sharding.place(np.zeros((5, 3)), 4).tolist()) <= set(range(4))
+
+
+def test_clashing_columns(spark):
+    df = spark.range(200).select(F.xxhash64("id").alias("group"), F.lit(3).cast("long").alias("n"), *[F.col("id").alias(c) for c in ("shard", "slot", "_task", "_nth", "_before", "_shard", "_of", "count", "unit", "large")])
+    out = sharding.shard(df, "group", ["n"], 4)
+    assert sorted(out.columns) == sorted(df.columns)
+    rows = out.collect()
+    assert sorted(r["_task"] for r in rows) == list(range(200))
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))

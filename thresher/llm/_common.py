@@ -1,22 +1,24 @@
-"""What the operators of this subpackage share: scratch tables, batches, labels."""
+"""What the operators of this subpackage share: scratch tables, memories of workers, labels."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch. Texts are whole, so the batch and not the text is kept small.
-TEXT_ROWS = 128
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents that lie in fewer partitions than there are cores are dealt to all."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+def text_batches(spark: SparkSession, rows: int = 128) -> None:
     """Bound the rows, and so the memory, of a batch that goes to a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -24,38 +26,76 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a local one where it names none."""
+    """The shared folder the cluster names. In local mode alone a temporary one stands in for it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="thresher-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """`df` written as Parquet into the shared folder and read back: lineage ends here.
 
     A task that is lost later rereads the files, so an executor's loss never
-    re-runs what came before, and row order inside the files is fixed.
+    re-runs what came before, and row order inside the files is fixed. `rows`
+    bounds the Arrow batches of this write alone.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/thresher-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = spark.conf.get(key)
+    try:
+        if rows and not 0 < int(found) <= rows:
+            spark.conf.set(key, str(rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, found)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = weakref.ref(out)
+    return out
+
+
+#: Scratch tables of this process, in the order they were written.
+_WRITTEN: dict[str, weakref.ref] = {}
+
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
-_WRITTEN: list[str] = []
+
+def written() -> set[str]:
+    """The scratch tables there are, for `discard`."""
+    return set(_WRITTEN)
+
+
+def discard(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
+    """Delete the scratch tables that an operator has written since `before`, but for those its result reads."""
+    _delete(spark, [path for path, df in _WRITTEN.items() if path not in before and all(df() is not k for k in kept)])
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this process, once its results have been written."""
+    _delete(spark, list(_WRITTEN))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _WRITTEN[name]
 
 
 _CACHES: dict[str, list] = {}
@@ -79,6 +119,7 @@ def claim(owner: str) -> None:
             if other != owner:
                 for cache in caches:
                     cache.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def held_out(doc_id: Column) -> Column:

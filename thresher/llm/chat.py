@@ -120,6 +120,7 @@ def text_part(text: str = "text") -> Column:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the hostile one, formatted and read back; null texts count as empty, ties and repeated rows as `format_chat` says."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),

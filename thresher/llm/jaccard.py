@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thresher.llm._common import claim, stored, table, text_batches, worker_cache
+from thresher.llm._common import claim, discard, stored, table, worker_cache, written
 
 #: Words in a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -50,6 +50,8 @@ BLOCK = 1024
 LEADERS, LED = 16, 0.7
 #: Sets that a large group's centre is made of, and rings around it within the distance of a link.
 CENTRE, RINGS = 64, 4
+#: Rows in a batch of texts or sets.
+ROWS = 512
 #: Bins of a sketch.
 BINS = 128
 #: Words whose hashes a worker remembers.
@@ -135,7 +137,6 @@ def picks(parents: np.ndarray, tokens: np.ndarray, share: float) -> tuple[np.nda
 
 def describe(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, runs: int | None = None) -> DataFrame:
     """`docs` without the text, with set_hash, n (shingles), sketch and paths (the buckets of all levels)."""
-    text_batches(docs.sparkSession)
     runs = runs or runs_for()
 
     def run(texts: pa.Array) -> pa.Array:
@@ -340,7 +341,7 @@ def _led(large: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFra
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "was", "a", "b"])
 
-        out = stored(dealt.mapInArrow(gather, "bucket long, was long, a binary, b binary"), f"led{turn}")
+        out = stored(dealt.mapInArrow(gather, "bucket long, was long, a binary, b binary"), f"led{turn}", ROWS)
         joined = out.where("b is not null").select("a", "b").distinct()
         edges = joined if edges is None else edges.unionByName(joined)
         left = out.where("b is null").select("bucket", "was", F.col("a").alias("set_hash"))
@@ -360,7 +361,7 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread along edges and then jump to their label's label, so few
     rounds are needed; each is written to the shared folder.
     """
-    both = stored(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
+    both = stored(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges", ROWS)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_n")).agg(F.min("root").alias("_near"))
@@ -470,8 +471,8 @@ def _checked_large(large: DataFrame, similarity: float) -> list[DataFrame]:
 
     # salted, since a group may be a large part of all rows
     salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), count).cast("int"))
-    placed = salted.join(stored(made, "centres"), ["root", "salt"], "left")
-    placed = stored(placed.select("root", "node", "weight", "size", "tokens", F.arrow_udf(rings, "int")("tokens", "centre").alias("ring")), "rings")
+    placed = salted.join(stored(made, "centres", ROWS), ["root", "salt"], "left")
+    placed = stored(placed.select("root", "node", "weight", "size", "tokens", F.arrow_udf(rings, "int")("tokens", "centre").alias("ring")), "rings", ROWS)
 
     # a row for each group, with at most RINGS / (1 - similarity) rings
     each = placed.groupBy("root", "size", "ring").agg(F.count("*").alias("sets"), F.sum("weight").alias("weights"), F.min("node").alias("head"))
@@ -519,7 +520,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     empty table gives no row. Other columns of `docs`, whatever their names,
     take no part.
     """
-    sets = stored(describe(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")), "text", similarity, words, runs), "sets")
+    spark, before = docs.sparkSession, written()
+    sets = stored(describe(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")), "text", similarity, words, runs), "sets", ROWS)
     nodes = sets.where("n > 0").groupBy("set_hash").agg(
         F.min("_key").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
@@ -541,12 +543,12 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
 
     # as a map over the joined rows, so that only texts of candidate groups are read for shingles, once each
     read = again.join(grouped, "rep").select("root", "node", "weight", "size", "text").mapInArrow(tokens, "root binary, node binary, weight long, size long, tokens binary")
-    read = stored(read, "tokens")
+    read = stored(read, "tokens", ROWS)
     checked = [_checked_small(read.where(F.col("size") <= BUCKET), similarity)]
     large = read.where(F.col("size") > BUCKET)
     if not large.isEmpty():
         checked += _checked_large(large.dropDuplicates(["node"]), similarity)
-    checked = stored(functools.reduce(DataFrame.unionByName, checked), "checked")
+    checked = stored(functools.reduce(DataFrame.unionByName, checked), "checked", ROWS)
     parted = checked.where("parted").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = checked.where("not parted").select("node", "root")
     if not parted.isEmpty():
@@ -557,6 +559,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     placed = nodes.select(F.col("set_hash").alias("node"), "rep", "weight").join(roots, "node", "left").join(counts, "node", "left")
     placed = placed.select("node", F.coalesce("root", "node").alias("root"), "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     placed = stored(placed, "placed")
+    discard(spark, before, sets, placed)
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = placed.join(classes, "root").select("node", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("texts").alias("n_texts"))
     zero = F.lit(0).cast("long")
@@ -567,13 +570,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document, by the contract's five words and 0.8; odd rows as `jaccard_join` says."""
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one of least id, with the columns it came with.
 
-    Documents with a null id stay. Rows that repeat an id count as one document.
+    Documents with a null id stay, null and empty texts are alike to none, and
+    an empty table stays empty. Rows that repeat an id count as one document.
     """
     classes = jaccard_join(docs.select("doc_id", "text"))
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()

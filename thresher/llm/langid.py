@@ -28,6 +28,8 @@ DOCS_PER_LANGUAGE = 500
 ROUNDS = 3
 #: Pseudo-counts that each language gets from the pieces of all languages together.
 SMOOTHING = 2000.0
+#: Texts whose words are summed together.
+TEXTS = 4096
 #: Sums that are held at a time, in letters by languages.
 CELLS = 2_000_000
 #: Confidence under which the pipeline's stage rejects a document.
@@ -220,6 +222,9 @@ class LanguageModel:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        if len(texts) > TEXTS:
+            parts = [self.predict(texts.slice(at, TEXTS)) for at in range(0, len(texts), TEXTS)]
+            return [n for p in parts for n in p[0]], [s for p in parts for s in p[1]]
         words, at, bounds = split(texts)
         logs = self.log_words(words)
         names, scores = [], []
@@ -271,7 +276,8 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
     hashed = known.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("hash"))
     sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
-    likely = hashed.join(sizes, "lang").where(F.col("hash").cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * share).select("key", "lang", "hash").distinct()
+    # one number for each language, where the model has one for each of its pieces
+    likely = hashed.join(F.broadcast(sizes), "lang").where(F.col("hash").cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * share).select("key", "lang", "hash").distinct()
     order = Window.partitionBy("lang").orderBy("hash", "key")
     sample = likely.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("key", "lang")
     # at most per_language rows for each language, so the side that is broadcast is bounded
@@ -307,7 +313,8 @@ def detect(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred: s
     """`df` with the language of each text and its posterior probability.
 
     Text that is null or has no letter: `und` and 0. Ties go to the language
-    first in sorted order. Columns of the output names are replaced.
+    first in sorted order; repeated rows get equal results; an empty table
+    stays empty. Columns of the output names are replaced, all others stay.
     """
     out = prediction(df, model, text)
     return df.withColumns({lang_pred: out["lang"], score: out["score"]})
@@ -320,13 +327,19 @@ def default_path() -> str:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; `und` without a letter, rows that repeat an id are scored each, no documents give no row."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(F.col("doc_id"))), default_path())
     return detect(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, with the columns they came with."""
+    """Documents whose language is recognised, with the columns they came with.
+
+    Null and empty texts go, as those without a letter do; where nothing can
+    be learned, all go. Repeated rows share their fate; an empty table stays
+    empty.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))), default_path())
     found = prediction(docs, model)
     return docs.where((found["lang"] != UNDETERMINED) & (found["score"] >= MIN_SCORE))

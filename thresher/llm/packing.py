@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thresher.llm._common import claim, stored, table, text_batches, text_or_empty, worker_cache
+from thresher.llm._common import claim, fresh, stored, table, text_or_empty, worker_cache
 
 CAPACITY = 2048
 #: Id after the last token of each document.
@@ -77,9 +77,9 @@ def cut(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY)
     Adds piece (from 0), start, length and ids (little-endian 32-bit). A
     document is its token ids and then id 0; only one longer than `capacity`
     is cut, the first piece taking what whole pieces leave. Null text counts
-    as empty and gives one piece of one id.
+    as empty and gives one piece of one id. Repeated rows are cut each. An
+    empty table gives no row. Columns of the added names are replaced.
     """
-    text_batches(df.sparkSession)
 
     def pieces(texts: pa.Array) -> pa.Array:
         rows: list[dict] = []
@@ -181,9 +181,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
     return runs
 
 
-def numbered(df: DataFrame, length: str, capacity: int) -> DataFrame:
+def numbered(df: DataFrame, length: str, capacity: int, task_: str = "_task", nth_: str = "_nth") -> DataFrame:
     """`df` with its task, and how many rows of the same length the task had before: -1 if it can't be packed."""
-    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_nth", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(task_, T.IntegerType()), T.StructField(nth_, T.LongType())])
 
     def number(batches):
         task = TaskContext.get().partitionId()
@@ -199,7 +199,7 @@ def numbered(df: DataFrame, length: str, capacity: int) -> DataFrame:
             nth[order] = np.arange(len(at)) - np.repeat(starts, sizes) + seen[np.repeat(ranked[starts], sizes)]
             nth[at == 0] = -1
             seen[ranked[starts]] += sizes
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), task, dtype=np.int32)), pa.array(nth)], names=[*batch.schema.names, "_task", "_nth"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), task, dtype=np.int32)), pa.array(nth)], names=[*batch.schema.names, task_, nth_])
 
     return df.mapInArrow(number, schema)
 
@@ -207,17 +207,19 @@ def numbered(df: DataFrame, length: str, capacity: int) -> DataFrame:
 def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """`df` with sequence_id and offset for each row, packed by best-fit decreasing.
 
-    Lengths must lie between 1 and `capacity`; other rows and null lengths
-    belong to no sequence and get nulls. Which of several rows of one length
+    Equal rows are packed each, an empty table stays empty. Lengths must lie
+    between 1 and `capacity`; other rows and null lengths belong to no sequence and get nulls. Which of several rows of one length
     comes first is fixed by where they are stored. Columns named sequence_id
     or offset are replaced, all others stay.
     """
     spark = df.sparkSession
     df = df.select(*[c for c in df.columns if c not in ("sequence_id", "offset")])
-    rows = stored(numbered(df, length, capacity), "pieces")
-    fits = F.col("_nth") >= 0
-    per_task = rows.where(fits).groupBy(F.col(length).alias("_length"), F.col("_task").alias("_of")).count()
-    before = per_task.withColumn("_before", F.sum("count").over(Window.partitionBy("_length").orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).drop("count")
+    task_, nth_, before_, length_, of_, at_ = fresh(df, "_task", "_nth", "_before", "_length", "_of", "_at")
+    rows = stored(numbered(df, length, capacity, task_, nth_), "pieces")
+    fits = F.col(nth_) >= 0
+    per_task = rows.where(fits).groupBy(F.col(length).alias(length_), F.col(task_).alias(of_)).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(length_).orderBy(of_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = per_task.select(length_, of_, (F.sum("n").over(order) - F.col("n")).alias(before_))
     counts = {r[0]: r[1] for r in rows.where(fits).groupBy(length).count().collect()}  # one number for each length
     runs = best_fit_decreasing({int(k): int(n) for k, n in counts.items()}, capacity)
     runs.sort()
@@ -232,9 +234,9 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY) -> Dat
         at = n - run[:, 1]
         return pa.StructArray.from_arrays([pa.array(run[:, 3] + at // run[:, 4]), pa.array(run[:, 5] + at % run[:, 4] * size)], ["sequence_id", "offset"])
 
-    joined = rows.where(fits).join(before, (F.col(length) == F.col("_length")) & (F.col("_task") == F.col("_of")))
-    found = F.arrow_udf(place, "struct<sequence_id:bigint,offset:bigint>")(F.col(length).cast("long"), F.col("_nth") + F.col("_before"))
-    packed = joined.select(*df.columns, found.alias("_at")).select(*df.columns, "_at.sequence_id", "_at.offset")
+    joined = rows.where(fits).join(before, (F.col(length) == F.col(length_)) & (F.col(task_) == F.col(of_)))
+    found = F.arrow_udf(place, "struct<sequence_id:bigint,offset:bigint>")(F.col(length).cast("long"), F.col(nth_) + F.col(before_))
+    packed = joined.select(*df.columns, found.alias(at_)).select(*df.columns, f"{at_}.sequence_id", f"{at_}.offset")
     missed = rows.where(~fits).select(*df.columns, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     return packed.unionByName(missed)
 
@@ -253,9 +255,10 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048; null text counts as empty, rows that repeat an id are packed each, no documents give no row."""
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the pieces of the documents that are left go."""
+    """Where the pieces of the documents that are left go; null and empty texts are pieces of one id."""
     return packed_documents(docs)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import claim, held_out, table, text_batches
+from thresher.llm._common import claim, held_out, table
 
 #: Labelled documents the machine is fitted on: the bound of the sample.
 TRAIN_DOCS = 6000
@@ -29,6 +29,8 @@ WORD_BITS = 15
 FACTORS = 8
 #: Passes over the sample, more where it is so small that there would be fewer steps than this.
 EPOCHS, LEAST_STEPS = 6, 400
+#: Documents that are scored at a time.
+SCORED = 128
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -158,10 +160,12 @@ def labelled(labels: DataFrame, column: str, key: str = "doc_id", rows: int = TR
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str = "doc_id", rows: int = TRAIN_DOCS) -> FactorisationMachine:
-    """Fit on at most `rows` labelled documents; only their features come to the driver."""
-    spark = docs.sparkSession
-    text_batches(spark)
+    """Fit on at most `rows` labelled documents; only their features come to the driver.
+
+    Of rows that repeat a key one counts, so repeats don't add to the sample.
+    """
     sample = docs.select(key, "text", _length(docs)).join(F.broadcast(labelled(labels, column, key, rows)), key)
+    sample = sample.groupBy(key, "label").agg(F.min(F.struct("text", "_n_chars")).alias("_d")).select(key, "label", "_d.text", "_d._n_chars")
 
     def extract(batches):
         for pdf in batches:
@@ -181,13 +185,15 @@ def _length(docs: DataFrame) -> Column:
 
 def probability(df: DataFrame, model: FactorisationMachine) -> Column:
     """The probability that each text of `df` is good, as a column."""
-    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array, lengths: pa.Array) -> pa.Array:
         claim("quality")
-        found = [features(t, n) for t, n in zip(texts.to_pylist(), lengths.to_pylist())]
-        return pa.array(shared.value.score(found), pa.float64())
+        found = []
+        for at in range(0, len(texts), SCORED):
+            part = zip(texts.slice(at, SCORED).to_pylist(), lengths.slice(at, SCORED).to_pylist())
+            found.append(shared.value.score([features(t, n) for t, n in part]))
+        return pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
     return F.arrow_udf(score, "double")(F.col("text"), _length(df))
 
@@ -195,13 +201,16 @@ def probability(df: DataFrame, model: FactorisationMachine) -> Column:
 def classify(df: DataFrame, model: FactorisationMachine, score: str = "score") -> DataFrame:
     """`df` with the probability that each text is good.
 
-    Null text counts as empty and is scored like any other. A null `n_chars`
-    is taken from the text. A column named `score` is replaced, all others stay.
+    Null text counts as empty and is scored like any other, texts of any
+    length are read whole, and repeated rows get equal scores. A null
+    `n_chars` is taken from the text. An empty table stays empty. A column
+    named `score` is replaced, all others stay.
     """
     return df.withColumn(score, probability(df, model))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; null text counts as empty, rows that repeat an id are scored each, no documents give no row."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = classify(docs.select("doc_id", "text", "n_chars"), model)
@@ -214,6 +223,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good, with the columns they came with."""
+    """Documents that the classifier takes for good, with the columns they came with.
+
+    Null text is scored as an empty one; a null id is no label's, but scored
+    like any other; repeated rows share their fate; an empty table stays empty.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(probability(docs, model) >= THRESHOLD)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thresher.llm._common import stored, table, text_or_empty
+from thresher.llm._common import discard, fresh, stored, table, text_or_empty, written
 
 SHARDS = 16
 #: Buckets that small groups are dealt to.
@@ -25,14 +25,13 @@ BUCKETS = 1 << 14
 LARGE = 1 / 64
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each unit; `sizes` [unit, dimension], the first dimension the one to be near equal.
+def assign(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each unit by vector bin packing; `sizes` [unit, dimension].
 
     Sizes count as parts of an equal share. Units go in decreasing order of
     their largest part, each to the shard with the highest dot product among
     those that have room, or else to the one with most of the first dimension
-    left. Then units move from the fullest shard to the emptiest while that
-    narrows the first dimension.
+    left.
     """
     total = sizes.sum(axis=0).astype(float)
     parts = sizes / np.where(total > 0, total / shards, 1.0)
@@ -44,6 +43,15 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
         s = int(worth.argmax())
         out[u] = s
         left[s] -= parts[u]
+    return out
+
+
+def place(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each unit, as `assign` gives it, with the first dimension near equal.
+
+    Units move from the fullest shard to the emptiest while that narrows it.
+    """
+    out = assign(sizes, shards)
     first = sizes[:, 0].astype(np.int64)
     load = np.bincount(out, weights=first, minlength=shards).astype(np.int64)
     for _ in range(64 * shards):
@@ -72,7 +80,9 @@ def shard(df: DataFrame, group: str, sizes: list[str], shards: int = SHARDS) ->
     """
     spark = df.sparkSession
     df = df.select(*[c for c in df.columns if c not in ("shard", "slot")])
+    before = written()
     rows = stored(df, "sized")
+    task_, nth_, before_, shard_, of_ = fresh(df, "_task", "_nth", "_before", "_shard", "_of")
     totals = [max(1, t or 0) for t in rows.agg(*[F.sum(c) for c in sizes]).first()]
     groups = rows.groupBy(F.col(group).alias("group")).agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(sizes)])
     bar = [t / shards * LARGE for t in totals]
@@ -97,9 +107,9 @@ def shard(df: DataFrame, group: str, sizes: list[str], shards: int = SHARDS) ->
         else:
             bucket_of[unit] = s
     shared = spark.sparkContext.broadcast((bucket_of, split))
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_task", T.IntegerType()), T.StructField("_nth", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField(task_, T.IntegerType()), T.StructField(nth_, T.LongType())])
 
-    def assign(batches):
+    def deal(batches):
         task = TaskContext.get().partitionId()
         buckets, split = shared.value
         keys = np.array(sorted(split), dtype=np.int64)
@@ -118,17 +128,19 @@ def shard(df: DataFrame, group: str, sizes: list[str], shards: int = SHARDS) ->
                 nth[at] = seen[s] + np.arange(len(at))
                 seen[s] += len(at)
             added = [pa.array(to.astype(np.int32)), pa.array(np.full(len(g), task, dtype=np.int32)), pa.array(nth)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "shard", "_task", "_nth"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "shard", task_, nth_])
 
-    placed = stored(rows.mapInArrow(assign, schema), "sharded")
-    per_task = placed.groupBy(F.col("shard").alias("_shard"), F.col("_task").alias("_of")).count()
-    order = Window.partitionBy("_shard").orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = per_task.withColumn("_before", F.sum("count").over(order) - F.col("count")).drop("count")
-    joined = placed.join(before, (F.col("shard") == F.col("_shard")) & (F.col("_task") == F.col("_of")))
-    return joined.select(*df.columns, "shard", (F.col("_before") + F.col("_nth")).alias("slot"))
+    placed = stored(rows.mapInArrow(deal, schema), "sharded")
+    discard(spark, before, placed)
+    per_task = placed.groupBy(F.col("shard").alias(shard_), F.col(task_).alias(of_)).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(shard_).orderBy(of_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = per_task.select(shard_, of_, (F.sum("n").over(order) - F.col("n")).alias(before_))
+    joined = placed.join(earlier, (F.col("shard") == F.col(shard_)) & (F.col(task_) == F.col(of_)))
+    return joined.select(*df.columns, "shard", (F.col(before_) + F.col(nth_)).alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by law `bytes`; null text has size 1 and shares a group with empty text, rows that repeat an id each have a slot."""
     text = text_or_empty()
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
