@@ -20,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import stored, table, text_batches, text_or_empty
+from thresher.llm._common import stored, table, text_or_empty
 
 #: Samples in a row of a stored image, and the unit that payloads are filled up to.
 WIDTH = 64
+#: A digest is hot from this part of all references on, and from so many; tasks that it is dealt to.
+HOT_PART, HOT_ROWS, SALTS = 64, 2000, 64
 
 SEGMENTS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "object": "document", "embed": "document"}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HIDDEN = frozenset("script style template noscript head".split())
+_HIDDEN = frozenset("script style template noscript title".split())
+#: What may stand in a page's head; anything else ends it.
+_IN_HEAD = frozenset("html head base link meta title script style template noscript".split())
 _BLOCK = frozenset("address article aside blockquote body div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul br".split())
 
 
@@ -40,6 +44,7 @@ class _Sequence(HTMLParser):
         self.segments: list[dict] = []
         self._text: list[str] = []
         self._hidden = 0
+        self._head = False
         self._figures: list[tuple[list[dict], list[str]]] = []
         self._caption = 0
 
@@ -53,7 +58,12 @@ class _Sequence(HTMLParser):
         self.segments.append({"position": len(self.segments), "kind": kind, "text": text, "ref": ref, "caption": caption})
         return self.segments[-1]
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
+        if not self._hidden:
+            self._head = tag == "head" or (self._head and tag in _IN_HEAD)
         if tag in _HIDDEN:
             self._hidden += 1
             return
@@ -79,6 +89,8 @@ class _Sequence(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self._head = False
         if tag in _HIDDEN:
             self._hidden = max(0, self._hidden - 1)
             return
@@ -99,8 +111,9 @@ class _Sequence(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
-        if self._hidden:
+        if self._hidden or (self._head and data.isspace()):
             return
+        self._head = False
         if self._caption and self._figures:
             self._figures[-1][1].append(data)
         else:
@@ -108,7 +121,12 @@ class _Sequence(HTMLParser):
 
 
 def segments_of(html: str | None) -> list[dict]:
-    """Segments of one page in reading order. Null or empty: none. Broken markup is read as far as it goes."""
+    """Segments of one page in reading order. Null or empty: none.
+
+    Broken markup is read as far as it goes: an end tag that is left out ends
+    where an element that can't be inside begins, marked sections and unknown
+    declarations count as comments, and captions without media are text.
+    """
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
@@ -119,8 +137,10 @@ def segments_of(html: str | None) -> list[dict]:
 
 
 def interleave(df: DataFrame, html: str = "html", segments: str = "segments") -> DataFrame:
-    """`df` with the sequence of each page. A column named `segments` is replaced, all others stay."""
-    text_batches(df.sparkSession)
+    """`df` with the sequence of each page. A column named `segments` is replaced, all others stay.
+
+    Null and empty pages have an empty sequence; an empty table stays empty.
+    """
 
     def parse(pages: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
@@ -130,16 +150,28 @@ def interleave(df: DataFrame, html: str = "html", segments: str = "segments") ->
     return df.withColumn(segments, F.arrow_udf(parse, SEGMENTS).asNondeterministic()(F.col(html)))
 
 
-def resolve(df: DataFrame, store: DataFrame, key: str, segments: str = "segments", digest: str = "digest") -> DataFrame:
-    """One row for each media segment of each row, with the store's columns for its digest.
+def references(df: DataFrame, *kept: str, segments: str = "segments") -> DataFrame:
+    """One row for each media segment, with the columns `kept`, position, kind, caption and ref."""
+    media = df.select(*kept, F.explode(segments).alias("_s")).where("_s.kind <> 'text'")
+    return media.select(*kept, "_s.position", "_s.kind", "_s.caption", F.col("_s.ref").alias("ref"))
+
+
+def resolve(refs: DataFrame, store: DataFrame, digest: str = "digest", ref: str = "ref") -> DataFrame:
+    """`refs` with the store's columns for the digest that each refers to.
 
     `store` has one row for each digest. A reference without one there keeps
-    nulls, so positions stay aligned; the side of the references may be skewed
-    without bound, since it is only streamed past the store's rows.
+    nulls, so positions stay aligned. A digest with more than a few hundredths
+    of all references, of which there can be few, is dealt to many tasks;
+    `refs` should be stored, since it is read twice.
     """
-    media = df.select(key, F.explode(segments).alias("_s")).where("_s.kind <> 'text'")
-    refs = media.select(key, "_s.position", "_s.kind", "_s.caption", F.col("_s.ref").alias("ref"), F.regexp_extract("_s.ref", r"^sha256:([0-9a-f]{64})$", 1).alias("_digest"))
-    return refs.join(store.withColumnRenamed(digest, "_digest"), "_digest", "left").drop("_digest")
+    named = refs.withColumn("_digest", F.regexp_extract(ref, r"^sha256:([0-9a-f]{64})$", 1))
+    total = refs.count()
+    counts = named.where("_digest <> ''").groupBy("_digest").count()
+    hot = F.broadcast(counts.where(F.col("count") > max(HOT_ROWS, total // HOT_PART)).select("_digest", F.lit(True).alias("_hot")))  # at most HOT_PART rows
+    salted = named.join(hot, "_digest", "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * SALTS)).otherwise(0).cast("int")).drop("_hot")
+    many = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = store.withColumnRenamed(digest, "_digest").join(hot, "_digest", "left").withColumn("_salt", F.explode(many)).drop("_hot")
+    return salted.join(dealt, ["_digest", "_salt"], "left").drop("_digest", "_salt")
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -193,50 +225,80 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};{mean:.6f};{spread:.6f};{step:.6f};{bits:016x}"
 
 
+def page_of(text: str, digest: str) -> str:
+    """The text as a page: its lines as paragraphs, and the figure with its payload between the halves of them.
+
+    The caption tells how many lines come before the figure.
+    """
+    lines = [line for line in text.split("\n") if line.strip()]
+    half = (len(lines) + 1) // 2
+    parts = [f"<p>{escape(line, quote=False)}</p>" for line in lines]
+    figure = f'<figure><img src="sha256:{digest}"><figcaption>after {half} of {len(lines)} lines</figcaption></figure>'
+    return "".join(["<article>", *parts[:half], figure, *parts[half:], "</article>"])
+
+
 def store_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text as a page that refers to its payload by digest, with the stored form beside it.
 
-    Returns key, n_bytes, html, digest and media. Null text counts as empty.
+    Returns key, n_bytes, html, digest and media. Null text counts as empty,
+    and gives a page of a figure alone. Rows with equal texts get equal pages
+    and digests; the first of a batch alone has the media, the others null. An
+    empty table gives no row.
     """
-    text_batches(docs.sparkSession)
 
     def write(texts: pa.Array) -> pa.Array:
         n, html, digests, media = [], [], [], []
+        made: dict[bytes, str] = {}
         for t in texts.to_pylist():
             payload, size = payload_of(t)
-            image = to_png(payload)
-            digest = hashlib.sha256(image).hexdigest()
+            sha = hashlib.sha256(payload).digest()
+            image = None
+            if sha not in made:
+                image = to_png(payload)
+                made[sha] = hashlib.sha256(image).hexdigest()
             n.append(size)
-            digests.append(digest)
+            digests.append(made[sha])
             media.append(image)
-            html.append(f'<article><p>{size} bytes</p><figure><img src="sha256:{digest}"><figcaption>{escape(digest[:12])}</figcaption></figure></article>')
+            html.append(page_of(t or "", made[sha]))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(html, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["n_bytes", "html", "digest", "media"])
 
-    made = F.arrow_udf(write, "struct<n_bytes:bigint,html:string,digest:string,media:binary>")(text_or_empty(text))
+    # non-deterministic, so that it is computed once for all its fields
+    made = F.arrow_udf(write, "struct<n_bytes:bigint,html:string,digest:string,media:binary>").asNondeterministic()(text_or_empty(text))
     return docs.select(key, made.alias("_m")).select(key, "_m.n_bytes", "_m.html", "_m.digest", "_m.media")
 
 
 def read_back(store: DataFrame, digest: str = "digest", media: str = "media") -> DataFrame:
-    """What the stored bytes hold, one row for each digest: payload sizes, checksums and features."""
-    text_batches(store.sparkSession)
+    """What the stored bytes hold, one row for each digest: payload sizes, checksums and features.
+
+    Rows without bytes are passed over; copies of a digest are decoded once a
+    batch and give one row. Damaged bytes raise. An empty table gives no row.
+    """
 
     def read(batches):
         for pdf in batches:
             rows = []
-            for d, image in zip(pdf[digest], pdf[media]):
+            for d, image in dict(zip(pdf[digest], pdf[media])).items():
                 image = bytes(image)
                 samples = from_png(image)
                 payload = samples.tobytes()
                 rows.append((d, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), features(samples)))
             yield pd.DataFrame(rows, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    out = store.select(digest, media).mapInPandas(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = store.where(F.col(media).isNotNull()).select(digest, media).mapInPandas(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.dropDuplicates(["digest"])
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = stored(store_documents(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    pages = interleave(written.select("doc_id", "n_bytes", "html").withColumn("_key", F.struct("doc_id", "n_bytes")))
-    # stored, so that both sides of the digest join are plain exchanges and a hot digest can be split
-    found = resolve(pages, stored(read_back(written), "features"), "_key")
-    return found.select("_key.doc_id", "_key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """Documents as pages with their payloads as images: parsed, stored, resolved and read back.
+
+    Null text counts as empty; equal texts give equal values; rows that
+    repeat an id each give a row; no documents give no row.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = interleave(store_documents(docs))
+    texts = F.filter("segments", lambda s: s["kind"] == "text")
+    written = pages.select("doc_id", "n_bytes", "digest", "media", "segments", F.size(texts).alias("n_texts"), F.aggregate(texts, F.lit(0).cast("long"), lambda n, s: n + F.length(s["text"])).alias("text_chars"))
+    # one row for each media segment, of which each page has one; stored, so that texts are parsed and images made once
+    written = stored(references(written, "doc_id", "n_bytes", "digest", "media", "n_texts", "text_chars"), "media")
+    found = resolve(written.drop("digest", "media"), stored(read_back(written), "features"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_texts", "text_chars")
