@@ -3,10 +3,12 @@
 import itertools
 import math
 import os
+import pickle
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,38 @@ def test_a_misspelling_in_few_clean_documents_still_counts():
     assert not model.known and model.score("what a moronn") >= toxicity.THRESHOLD
 
 
+def test_very_long_terms_are_learned(spark):
+    docs = [(i, "plain words here " + ("z" * 2000 if i % 2 else "and there") + f" v{i} w{i} x{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in docs], LABELS)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(df, labels)
+    assert ("z" * 2000, False) in [(t, o) for t, o, _ in model.lexicon.terms] or any(o and t in "z" * 2000 for t, o, _ in model.lexicon.terms)
+    scores = {r.doc_id: r.score for r in toxicity.rate(df, model).collect()}
+    assert all((scores[i] >= toxicity.THRESHOLD) == (i % 2 == 1) for i, _ in docs)
+
+
+def test_no_term_is_left_out():
+    rng = np.random.default_rng(3)
+    words = {"".join(rng.choice(list("abcdefghijklmnop"), 9)) + "$" for _ in range(10_000)}
+    stems = {w: (30, 30, 0) for w in words}
+    assert len(toxicity.choose_terms(stems, 1000, 20_000, len(stems))) == len(words)
+
+
+def test_a_lexicon_is_rebuilt_from_its_terms():
+    lexicon = toxicity.Lexicon([("x" * 5000, False, 1.0), ("moron", False, 2.0)])
+    again = pickle.loads(pickle.dumps(lexicon))
+    assert again.terms == lexicon.terms and again.match("mor0n") == (1, 1) and again.match("x" * 5000) == (0, 0)
+
+
+def test_contexts_are_fitted():
+    """Where quoting says nothing about the label, a quoted hit comes to count more than by default."""
+    model = toxicity.ToxicityModel(toxicity.Lexicon([("moron", False, 1.0)]))
+    toxic = ['he is "a moron" they think'] * 60 + ["some moron somewhere"] * 60
+    clean = ["nothing"] * 600
+    model.calibrate([model.hits(t) for t in clean + toxic], np.array([0.0] * 600 + [1.0] * 120))
+    assert model.context[toxicity.QUOTED] > toxicity.QUOTED
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(2)
     vocab = ["a", "b", "ab", "ba", "aba", "bb"]
@@ -115,15 +149,16 @@ def test_forward_sums_all_segmentations():
         return sum(p[rows[word[:n]], lang] * plain(word[n:], lang) for n in range(1, len(word) + 1) if word[:n] in rows)
 
     pieces = langid.Pieces.__new__(langid.Pieces)
-    pieces.rows, pieces.unknown, pieces.longest = rows, len(vocab), 3
+    pieces.index(vocab)
     for word in ("a", "ab", "abba", "babab", "aabbaabbaabbaabbab" * 3):
-        got = langid.forward(pieces.lattice([word]), p)[0]
+        got = langid.forward(langid.Lattice(pieces, ["bb", word, "a"]), p)[1]
         if len(word) < 20:
             assert got == pytest.approx([math.log(plain(word, k)) for k in range(2)])
         assert np.isfinite(got).all()
-    lattice = pieces.lattice(["abab", "bbab"])
-    column = np.append(p[:-1, 0], 0.0)
-    used = langid._expected(lattice, column, np.array([1.0, 2.0]))
+    lattice = langid.Lattice(pieces, ["abab", "bbab"])
+    used = langid._expected(lattice, p[:, 0], np.array([1.0, 2.0]))
+    lattice = langid.Lattice(pieces, ["bbab", "a", "abab"])
+    assert used == pytest.approx(langid._expected(lattice, p[:, 0], np.array([2.0, 0.0, 1.0])))
 
     def uses(word):
         ways = {}
@@ -181,6 +216,34 @@ def test_clashing_columns_stay(spark, odd_docs):
     assert "extra" in out.columns and dict(out.dtypes)["score"] == "double"
 
 
+@pytest.mark.parametrize("module,apply", [(quality, quality.classify), (toxicity, toxicity.rate)])
+def test_clashing_columns_of_classifiers(spark, odd_docs, module, apply):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (5, 0, 1), (6, 1, 0)], LABELS)
+    clash = odd_docs
+    for name in ("score", "predicted", "label", "key", "rows", "values", "hits", "stem", "like", "words", "_d", "held_out"):
+        clash = clash.withColumn(name, F.lit("old"))
+    out = apply(clash, module.fit(clash, labels))
+    assert sorted(out.columns) == sorted(clash.columns) and dict(out.dtypes)["score"] == "double"
+    assert all(0 <= r.score <= 1 and r.label == "old" for r in out.collect())
+
+
+@pytest.mark.parametrize("module", [quality, toxicity, langid])
+def test_repeated_keys_do_not_add_to_the_sample(spark, module):
+    ids = [i for i in range(60) if not fold(i)]
+    docs = spark.createDataFrame([(i, f"text {i % 7} here", "en" if i % 2 else "de") for i in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], LABELS)
+    many = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("copy")
+    if module is langid:
+        one, two = (langid.fit(d, langid.default_path()) for d in (docs, many))
+        assert one.languages == two.languages and np.allclose(one.probability, two.probability)
+    elif module is toxicity:
+        one, two = (toxicity.fit(d, labels) for d in (docs, many))
+        assert one.lexicon.terms == two.lexicon.terms and (one.slope, one.offset) == (two.slope, two.offset)
+    else:
+        one, two = (quality.fit(d, labels) for d in (docs, many))
+        assert np.allclose(one.w, two.w) and one.bias == two.bias
+
+
 @pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").toPandas().set_index("doc_id")
@@ -200,6 +263,25 @@ def test_every_language_is_learned(spark):
     assert model.predict(["straße über"])[0] == ["rare"]
 
 
+def test_words_are_runs_of_letters_with_their_marks():
+    words, at, bounds = langid.split(pa.array(["Ab ab½² é1é", None, "", "½ ² ① 12", "नमस्ते क्या", "\u0301 x_y"], pa.string()))
+    found = [[words[k] for k in at[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert found == [["▁ab", "▁ab", "▁é", "▁é"], [], [], [], ["▁नमस्ते", "▁क्या"], ["▁x", "▁y"]]
+
+
+def test_text_without_a_letter_is_undetermined():
+    counts = pd.DataFrame([("de", "▁und", 5), ("en", "▁and", 6)], columns=["lang", "word", "n"])
+    model = langid.learn(langid.default_path(), counts)
+    texts = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert [n == "und" for n in model.predict(texts)[0]] == [not t.isalpha() for t in texts]
+
+
+def test_long_words_do_not_underflow():
+    counts = pd.DataFrame([("de", "▁und", 5), ("en", "▁and", 6)], columns=["lang", "word", "n"])
+    names, scores = langid.learn(langid.default_path(), counts).predict(["and " + "x" * 20_000, "und " + "and" * 5000, "q" * 9000])
+    assert set(names) <= {"de", "en"} and np.isfinite(scores).all()
+
+
 def test_counts_make_a_model():
     counts = pd.DataFrame([("de", "▁und", 5), ("de", "▁straße", 2), ("en", "▁and", 6), ("en", "▁street", 1)], columns=["lang", "word", "n"])
     model = langid.learn(langid.default_path(), counts)

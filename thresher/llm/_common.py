@@ -18,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
-def text_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Bound the rows, and so the memory, of a batch that goes to a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names. In local mode alone a temporary one stands in for it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -122,6 +115,13 @@ def claim(owner: str) -> None:
         pa.default_memory_pool().release_unused()
 
 
+def pieces_of(batches, rows: int = 128):
+    """The data frames of a batch iterator in pieces of so many rows, where what is made of a row is much larger than it."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def held_out(doc_id: Column) -> Column:
     """True on the fold that no label or language may be learned from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import claim, held_out, table
+from thresher.llm._common import claim, held_out, pieces_of, table
 
 #: Labelled documents the machine is fitted on: the bound of the sample.
 TRAIN_DOCS = 6000
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", key: str =
     sample = sample.groupBy(key, "label").agg(F.min(F.struct("text", "_n_chars")).alias("_d")).select(key, "label", "_d.text", "_d._n_chars")
 
     def extract(batches):
-        for pdf in batches:
+        for pdf in pieces_of(batches):
             found = [features(t, n) for t, n in zip(pdf["text"], pdf["_n_chars"])]
             yield pd.DataFrame({"key": pdf[key], "rows": [f[0] for f in found], "values": [f[1] for f in found], "label": pdf["label"]})
 

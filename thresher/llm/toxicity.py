@@ -10,6 +10,7 @@ direct address raises it.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import uuid
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm._common import claim, held_out, table, text_batches, worker_cache
+from thresher.llm._common import claim, discard, held_out, pieces_of, stored, table, worker_cache, written
 from thresher.llm.quality import labelled
 
 #: Labelled documents the lexicon is learned from: the bound of the sample.
@@ -31,11 +32,15 @@ THRESHOLD = 0.3
 #: Shortest term, and least number of unlike toxic documents that hold it.
 LEAST_LENGTH, LEAST_SUPPORT = 4, 2
 LONGEST_STEM = 12
-MAX_TERMS = 5000
+#: Least word hashes that like documents share.
+ALIKE = 3
 #: Chance under which a near word of clean text is in too many toxic documents to be ordinary.
 CHANCE = 0.01
 #: Words before and after a hit that its score depends on.
 WINDOW = 4
+#: Marks of a quoted and of an addressed hit, and what they may count as; the marks themselves unless labels say otherwise.
+QUOTED, ADDRESSED = 0.3, 1.3
+CONTEXTS = [(q, a) for q in (0.3, 0.1, 0.6, 1.0) for a in (1.3, 1.0, 2.0)]
 #: Words whose matches a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -82,6 +87,9 @@ class Lexicon:
             if node.term is None or open_end:
                 node.term = (k, allowed, open_end)
 
+    def __reduce__(self):
+        return Lexicon, (self.terms,)  # a worker builds its own trie, however deep
+
     def match(self, word: str) -> tuple[int, int] | None:
         """The term nearest to `word` and the number of errors; ties go to the longer term, then the first."""
         n = len(word)
@@ -161,9 +169,9 @@ def hits(text: str | None, matches: _Matches) -> list[tuple[int, int, float, str
         near = tokens[max(0, at - WINDOW) : at] + tokens[at + 1 : at + 1 + WINDOW]
         factor = 1.0
         if at in quoted or not _QUOTING.isdisjoint(near):
-            factor = 0.3
+            factor = QUOTED
         elif not _ADDRESS.isdisjoint(near):
-            factor = 1.3
+            factor = ADDRESSED
         out.append((term, errors, factor, tokens[at].strip("*@$_")))
     return out
 
@@ -176,6 +184,7 @@ class ToxicityModel:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.slope, self.offset = lexicon, 1.0, -3.0
+        self.context = {1.0: 1.0, QUOTED: QUOTED, ADDRESSED: ADDRESSED}
         self.known: frozenset[str] = frozenset()
         self.uid = uuid.uuid4().hex
 
@@ -187,14 +196,14 @@ class ToxicityModel:
         return hits(text, matches)
 
     def evidence(self, found: list[tuple[int, int, float, str]]) -> float:
-        return math.log1p(sum(self.lexicon.terms[k][2] * _ERRORS[e] * factor for k, e, factor, _ in found))
+        return math.log1p(sum(self.lexicon.terms[k][2] * _ERRORS[e] * self.context[factor] for k, e, factor, _ in found))
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.evidence(self.hits(text)) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def calibrate(self, found: list[list[tuple[int, int, float, str]]], labels: np.ndarray) -> ToxicityModel:
-        """Set which near words are ordinary, and the logistic, from the hits in labelled documents.
+        """Set which near words are ordinary, what contexts count, and the logistic, from the hits in labelled documents.
 
         A near word is ordinary if clean documents hold it unquoted and chance
         explains its share of toxic ones. Each word is judged alone: other
@@ -209,7 +218,16 @@ class ToxicityModel:
         self.known = frozenset(known)
         self.uid = uuid.uuid4().hex
         kept = [[h for h in doc if not (h[1] and h[3] in known)] for doc in found]
-        self.slope, self.offset = logistic(np.array([self.evidence(doc) for doc in kept]), np.asarray(labels))
+        y = np.asarray(labels, dtype=float)
+        least = math.inf
+        for quoted, addressed in CONTEXTS:
+            self.context = {1.0: 1.0, QUOTED: quoted, ADDRESSED: addressed}
+            x = np.array([self.evidence(doc) for doc in kept])
+            slope, offset = logistic(x, y)
+            loss = float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (slope * x + offset)).sum()) if len(x) else 0.0
+            if loss < 0.98 * least:
+                least, best = loss, (self.context, slope, offset)
+        self.context, self.slope, self.offset = best
         return self
 
 
@@ -229,28 +247,28 @@ def log_chance(toxic: int, n: int, rate: float) -> float:
     return -n * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0))
 
 
-def choose_terms(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
+def choose_terms(stems: dict[str, tuple[int, int, int]], n_toxic: int, n_clean: int, tried: int) -> list[tuple[str, bool, float]]:
     """Terms whose share of toxic documents no chance explains.
 
-    For each stem, or word with a `$`: in how many unlike documents it is, and
-    how many different words it begins in each, summed. A stem stands in for a
-    longer one where it is in clearly more toxic documents.
+    For each stem, or word with a `$`: in how many unlike toxic documents it
+    is, how many different words it begins in each, summed, and in how many
+    unlike clean ones it is; `tried`: how many stems there were to choose
+    from. A stem stands in for a longer one where it is in clearly more toxic
+    documents.
     """
-    if not n_toxic or not n_clean:
-        return []
     rate = n_toxic / (n_toxic + n_clean)
-    bar = -math.log(max(1, sum(n >= 3 for n, _ in toxic.values())))  # one term by chance among all that are tried
+    bar = -math.log(max(1, tried))  # one term by chance among all that are tried
+    toxic = {k: v[0] for k, v in stems.items()}
+    clean = {k: v[2] for k, v in stems.items()}
 
     def good(stem: str) -> bool:
-        t, words = toxic.get(stem, (0, 0))
-        c = clean.get(stem, (0, 0))[0]
+        t, words, c = stems[stem]
         if t < LEAST_SUPPORT or (t / n_toxic) < 20 * ((c + 0.5) / n_clean):
             return False
         # several words of a stem in a document count double
         return log_chance(t, t + c, rate) * (2 if words >= 2 * t else 1) < bar
 
     fits = {k for k in toxic if good(k)}
-    toxic, clean = {k: v[0] for k, v in toxic.items()}, {k: v[0] for k, v in clean.items()}
     chosen: dict[str, tuple[str, bool, float]] = {}
     for key in sorted(toxic):
         if key not in fits:
@@ -272,45 +290,55 @@ def choose_terms(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int,
         if not any(key[:n] in chosen for n in range(LEAST_LENGTH, len(key))):
             odds = ((toxic[key] + 0.5) / (n_toxic + 1)) / ((clean.get(key, 0) + 0.5) / (n_clean + 1))
             kept[key] = (chosen[key][0], chosen[key][1], min(8.0, max(0.5, math.log(odds))))
-    order = sorted(kept, key=lambda k: (-toxic[k], k))[:MAX_TERMS]
-    return [kept[k] for k in order]
+    return [kept[k] for k in sorted(kept, key=lambda k: (-toxic[k], k))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", rows: int = TRAIN_DOCS) -> ToxicityModel:
     """Learn the lexicon and the logistic from at most `rows` labelled documents.
 
-    Like documents, which share their least word hash, support a term once.
-    With no toxic or no clean document there is no lexicon and every score is low.
+    Like documents, which share their least word hashes, count and support a
+    term once. Stems are counted and tried in the cluster; only those that may
+    become terms come to the driver. With no toxic or no clean document there
+    is no lexicon and every score is low. Null text holds no word; of rows
+    that repeat a key one counts, so repeats don't add to the sample.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    sample = docs.select(key, "text").join(F.broadcast(labelled(labels, column, key, rows)), key)
-
-    def support(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, tuple[int, int]]:
-        def run(batches):
-            for pdf in batches:
-                found: dict[tuple[str, int], int] = {}
-                for text in pdf["text"]:
-                    like, begun = beginnings(text)
-                    for stem, words in begun.items():
-                        if wanted is None or stem in wanted:
-                            found[stem, like] = max(words, found.get((stem, like), 0))
-                yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["stem", "like", "words"])
-
-        each = part.mapInPandas(run, "stem string, like long, words long").groupBy("stem", "like").agg(F.max("words").alias("words"))
-        counted = each.groupBy("stem").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
-        if wanted is None:
-            counted = counted.where(F.col("n") >= LEAST_SUPPORT)
-        return {r["stem"]: (r["n"], r["words"]) for r in counted.toLocalIterator()}
-
-    toxic = support(sample.where("label = 1"), None)
-    clean = support(sample.where("label = 0"), frozenset(toxic)) if toxic else {}
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    model = ToxicityModel(Lexicon(choose_terms(toxic, clean, sizes.get(1.0, 0), sizes.get(0.0, 0))))
+    sample = docs.select(key, "text").join(F.broadcast(labelled(labels, column, key, rows)), key).groupBy(key, "label").agg(F.min("text").alias("text"))
+
+    def begin(batches):
+        for pdf in pieces_of(batches):
+            found: dict[tuple[float, str, int], int] = {}
+            for label, text in zip(pdf["label"], pdf["text"]):
+                like, begun = beginnings(text)
+                found[label, "", like] = 1  # the document itself
+                for stem, words in begun.items():
+                    found[label, stem, like] = max(words, found.get((label, stem, like), 0))
+            yield pd.DataFrame([(a, b, c, n) for (a, b, c), n in found.items()], columns=["label", "stem", "like", "words"])
+
+    each = sample.mapInPandas(begin, "label double, stem string, like long, words long")
+    each = each.groupBy("stem", "label", "like").agg(F.max("words").alias("words"))
+    toxic = F.col("label") == 1
+    counted = each.groupBy("stem").agg(
+        F.count(F.when(toxic, 1)).alias("toxic"), F.sum(F.when(toxic, F.col("words")).otherwise(0)).alias("words"), F.count(F.when(~toxic, 1)).alias("clean")
+    )
+    spark, before = docs.sparkSession, written()
+    counted = stored(counted.where(F.col("toxic") >= LEAST_SUPPORT), "stems")
+    n_toxic, n_clean = 0, 0
+    for r in each.where("stem = ''").groupBy("label").count().collect():
+        n_toxic, n_clean = (r["count"], n_clean) if r["label"] == 1 else (n_toxic, r["count"])
+    terms: list[tuple[str, bool, float]] = []
+    if n_toxic and n_clean:
+        words = counted.where("stem <> ''")
+        tried = words.where("toxic >= 3").count()
+        may = words.where(F.col("toxic") / n_toxic >= 20 * (F.col("clean") + 0.5) / n_clean)
+        terms = choose_terms({r["stem"]: (r["toxic"], r["words"], r["clean"]) for r in may.toLocalIterator()}, n_toxic, n_clean, tried)
+    discard(spark, before)
+    model = ToxicityModel(Lexicon(terms))
+    shared = spark.sparkContext.broadcast(model)
 
     def find(batches):
-        for pdf in batches:
-            found = [model.hits(t) for t in pdf["text"]]
+        claim("toxicity")
+        for pdf in pieces_of(batches):
+            found = [shared.value.hits(t) for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf[key], "label": pdf["label"], "hits": [[{"term": k, "errors": e, "factor": f, "word": w} for k, e, f, w in doc] for doc in found]})
 
     got = sample.mapInPandas(find, "key long, label double, hits array<struct<term:int,errors:int,factor:double,word:string>>").toPandas().sort_values("key", kind="stable")
@@ -318,14 +346,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
 
 
 def beginnings(text: str | None) -> tuple[int, dict[str, int]]:
-    """A text's least word hash, which like texts share, and how many of its words each stem begins."""
+    """A number made of a text's least word hashes, which like texts share, and how many of its words each stem begins."""
     distinct = {t.strip("*@$_") for t in tokens_of(text)}
     found: dict[str, int] = {}
     for token in distinct:
         if len(token) >= LEAST_LENGTH:
             for stem in _stems(token):
                 found[stem] = found.get(stem, 0) + 1
-    return min((zlib.crc32(t.encode()) for t in distinct), default=0), found
+    least = heapq.nsmallest(ALIKE, (zlib.crc32(t.encode()) for t in distinct))
+    return zlib.crc32(np.array(least, dtype="<u4").tobytes()), found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
@@ -348,12 +377,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 def rate(df: DataFrame, model: ToxicityModel, score: str = "score") -> DataFrame:
     """`df` with the probability that each text is toxic.
 
-    Null and empty text hold no term and get the score of no evidence. A
-    column named `score` is replaced, all others stay.
+    Null and empty text hold no term and get the score of no evidence, texts
+    of any length are read whole, and repeated rows get equal scores. An empty
+    table stays empty. A column named `score` is replaced, all others stay.
     """
-    spark = df.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def probability(texts: pa.Array) -> pa.Array:
         claim("toxicity")
@@ -364,6 +392,7 @@ def rate(df: DataFrame, model: ToxicityModel, score: str = "score") -> DataFrame
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; null text holds no term, rows that repeat an id are scored each, no documents give no row."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return rate(docs.select("doc_id", "text"), model).select(
