@@ -76,7 +76,7 @@ def test_distances_beyond_any_float_prune_nothing():
     x[9] = 1e200
     pivots = topk.choose_pivots(x)
     far, norms = topk.distances(x, pivots), (x * x).sum(axis=1)
-    ids, scores, _ = topk.search(x[17], 17, -np.inf, far[17], np.arange(len(x)), x, norms, far, 10)
+    ids, scores, _ = topk.search(x[17], 17, -np.inf, far[17], np.arange(len(x)), x, norms, topk.margins(far, 4), 10)
     exact = sorted((-min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(v, x[17])))), i) for i, v in enumerate(x) if i != 17)[:10]
     assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == exact
 
@@ -92,7 +92,7 @@ def test_bound_order_stops_early():
     pivots = topk.choose_pivots(x)
     far, norms = topk.distances(x, pivots).astype(np.float32), (x * x).sum(axis=1)
     q = x[17]
-    ids, scores, seen = topk.search(q, 17, -np.inf, far[17], np.arange(len(x)), x, norms, far, 10)
+    ids, scores, seen = topk.search(q, 17, -np.inf, far[17], np.arange(len(x)), x, norms, topk.margins(far, 16), 10)
     exact = sorted((-int(v), i) for i, v in enumerate(x @ q) if i != 17)[:10]
     assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == exact
     assert seen < len(x) / 2
@@ -111,3 +111,39 @@ def test_pivots_differ(n):
     x = np.random.default_rng(n).normal(size=(n, 4))
     p = topk.choose_pivots(x, 8)
     assert len(p) == min(8, n) and len(np.unique(p, axis=0)) == len(p)
+
+
+def test_clashing_columns(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("query_id", "rank", "score", "group", "task", "part", "ids", "floors", "asks"):
+        df = df.withColumn(name, F.lit("old"))
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 4 == 0, k=5).collect()) == brute(rows, 5, lambda i: i % 4 == 0)
+
+
+def test_many_blocks_of_clusters(spark, monkeypatch):
+    """Small blocks of clustered vectors: many pairs of blocks need not meet, and nothing is lost."""
+    monkeypatch.setattr(topk, "CANDIDATES", 32)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 3, (12, 6))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(0, 0.05, 6)]) for i in range(900)]
+    assert run(spark, rows) == brute(rows, 5, lambda i: i % 4 == 0)
+
+
+def test_block_bound_is_over_every_product():
+    rng = np.random.default_rng(9)
+    for scale in (1.0, 64.0, 1e9):
+        x, q = np.floor(rng.normal(0, scale, (40, 5))), np.floor(rng.normal(0, scale, (30, 5)) + 3 * scale)
+        pivots = topk.choose_pivots(x, 4)
+        far, q_far = topk.distances(x, pivots), topk.distances(q, pivots)
+        bound = topk.block_bound(float((x * x).sum(axis=1).max()), far.min(axis=0), far.max(axis=0), float((q * q).sum(axis=1).max()), q_far.min(axis=0), q_far.max(axis=0), 5)
+        assert bound >= (x @ q.T).max()
+
+
+def test_the_session_keeps_its_settings(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    run(spark, [(0, [1.0, 2.0]), (1, [0.5, -1.0])])
+    assert spark.conf.get(key) == before
