@@ -39,9 +39,11 @@ _BLOCK = frozenset("address article aside blockquote body div dl dd dt fieldset
 class _Sequence(HTMLParser):
     """Collects segments; a figure's caption belongs to the media inside the figure."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.segments: list[dict] = []
+        #: End tags still to come of each element that hides what it holds.
+        self._ends = {tag: len(re.findall(f"</{tag}\\b", html, re.I)) for tag in _HIDDEN} if "<" in html else {}
         self._text: list[str] = []
         self._hidden = 0
         self._head = False
@@ -65,7 +67,9 @@ class _Sequence(HTMLParser):
         if not self._hidden:
             self._head = tag == "head" or (self._head and tag in _IN_HEAD)
         if tag in _HIDDEN:
-            self._hidden += 1
+            # without an end to come an element holds nothing, but for code, which takes what is left
+            if self._ends.get(tag) or tag in self.CDATA_CONTENT_ELEMENTS:
+                self._hidden += 1
             return
         if self._hidden:
             return
@@ -84,6 +88,8 @@ class _Sequence(HTMLParser):
                     self._figures[-1][0].append(made)
 
     def handle_startendtag(self, tag, attrs):
+        if tag in _HIDDEN:
+            return
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
             self.handle_endtag(tag)
@@ -93,23 +99,35 @@ class _Sequence(HTMLParser):
             self._head = False
         if tag in _HIDDEN:
             self._hidden = max(0, self._hidden - 1)
+            self._ends[tag] = max(0, self._ends.get(tag, 0) - 1)
             return
         if self._hidden:
             return
         if tag == "figcaption":
             self._caption = max(0, self._caption - 1)
         if tag == "figure" and self._figures:
-            self.flush()
-            media, words = self._figures.pop()
-            caption = re.sub(r"\s+", " ", "".join(words)).strip()
-            if caption and media:
-                for m in media:
-                    m["caption"] = caption
-            elif caption:
-                self._add("text", text=caption)
+            self._end_figure()
         elif tag in _BLOCK:
             self.flush()
 
+    def _end_figure(self) -> None:
+        self.flush()
+        media, words = self._figures.pop()
+        caption = re.sub(r"\s+", " ", "".join(words)).strip()
+        if caption and media:
+            for m in media:
+                m["caption"] = caption
+        elif caption:
+            self._add("text", text=caption)
+
+    def finish(self) -> list[dict]:
+        """The segments, once the page is at its end: whatever is open ends here."""
+        self.close()
+        while self._figures:
+            self._end_figure()
+        self.flush()
+        return self.segments
+
     def handle_data(self, data):
         if self._hidden or (self._head and data.isspace()):
             return
@@ -125,15 +143,14 @@ def segments_of(html: str | None) -> list[dict]:
 
     Broken markup is read as far as it goes: an end tag that is left out ends
     where an element that can't be inside begins, marked sections and unknown
-    declarations count as comments, and captions without media are text.
+    declarations count as comments, and captions without media are text. A
+    title, template or noscript without an end tag to come holds nothing; a
+    script or style without one takes the rest of the page. All else that is
+    open ends with the page.
     """
-    parser = _Sequence()
+    parser = _Sequence(html or "")
     parser.feed(html or "")
-    parser.close()
-    while parser._figures:
-        parser.handle_endtag("figure")
-    parser.flush()
-    return parser.segments
+    return parser.finish()
 
 
 def interleave(df: DataFrame, html: str = "html", segments: str = "segments") -> DataFrame:
@@ -151,7 +168,11 @@ def interleave(df: DataFrame, html: str = "html", segments: str = "segments") ->
 
 
 def references(df: DataFrame, *kept: str, segments: str = "segments") -> DataFrame:
-    """One row for each media segment, with the columns `kept`, position, kind, caption and ref."""
+    """One row for each media segment, with the columns `kept`, position, kind, caption and ref.
+
+    Null and empty sequences, and those of text alone, give no row; nor does
+    an empty table. Repeated rows give theirs each.
+    """
     media = df.select(*kept, F.explode(segments).alias("_s")).where("_s.kind <> 'text'")
     return media.select(*kept, "_s.position", "_s.kind", "_s.caption", F.col("_s.ref").alias("ref"))
 
