@@ -67,6 +67,18 @@ def test_ids_of_long_runs_match_the_library():
         assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_very_long_white_space_match_the_library():
+    library, ours = Tokenizer.from_file(packing.default_path()), packing.load(packing.default_path())
+    n = 1_000_000
+    for text in (" " * n, "\n" * n, "a" + " " * n + "b", "\n \t\u3000" * (n // 4) + "x", "x" + "\u2003" * n + "\x1c" + " " * 5000 + "'s", " " * 4095 + "a" + " " * 4096, "a" * n):
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "x" + "\n" * 1_000_000 + "y"), (3, None)], "doc_id long, text string")
+    check(packing.packed_documents(docs).collect(), docs.collect())
+
+
 def check(rows, docs):
     library = Tokenizer.from_file(packing.default_path())
     ids = {}

@@ -11,6 +11,8 @@ is gathered into one task.
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thresher.llm._common import claim, fresh, stored, table, text_or_empty, worker_cache
+from thresher.llm.bpe import SPACE
 
 CAPACITY = 2048
 #: Id after the last token of each document.
@@ -30,12 +33,30 @@ END_ID = 0
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space as that pattern means it, in runs from which on they are cut out.
+_LONG_SPACE = re.compile(f"[{SPACE}]{{4096,}}")
+
+
+def _pattern_of(path: str) -> str | None:
+    """The pattern by which a byte-level file splits text; files that only say `ByteLevel` mean the usual one."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["pre_tokenizer"]
+    parts = spec.get("pretokenizers", [spec])
+    named = [p["pattern"]["Regex"] for p in parts if p["type"] == "Split"]
+    usual = any(p["type"] == "ByteLevel" and p.get("use_regex", True) and not p.get("add_prefix_space") for p in parts)
+    return named[0] if named else _PRETOKENS if usual else None
+
+
 class ByteBPE:
     """Ids as the `tokenizers` library gives them for a byte-level BPE file.
 
     `tiktoken` gives them, with the file's own vocabulary as ranks, in a sixth
     of the library's time; only texts with the string of an added token go to
     the library. Tests hold both against each other on every code point.
+
+    Long runs of white space are cut out first, since `tiktoken` looks for
+    their end by recursion. A run before another character is one word but for
+    its last character, which begins the next; a run at the end is one word.
     """
 
     def __init__(self, path: str):
@@ -51,13 +72,24 @@ class ByteBPE:
         byte = {chr(b) if b in shown else chr(next(spare)): b for b in range(256)}
         vocab = self.library.get_vocab(with_added_tokens=False)
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if t not in self._added}
-        self._encode = tiktoken.Encoding("file", pat_str=_PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        if _PRETOKENS != _pattern_of(path):
+            raise ValueError(f"{path} splits text in another way")
+        self._coder = tiktoken.Encoding("file", pat_str=_PRETOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as 32-bit integers."""
         if any(t in text for t in self._added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(array("I", self._encode(text)), dtype="<u4")
+        if not _LONG_SPACE.search(text):
+            return np.array(array("I", self._coder.encode_ordinary(text)), dtype="<u4")
+        out, at = array("I"), 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out.extend(self._coder.encode_ordinary(text[at : run.start()]))
+            out.extend(self._coder._encode_single_piece(text[run.start() : end]))
+            at = end
+        out.extend(self._coder.encode_ordinary(text[at:]))
+        return np.array(out, dtype="<u4")
 
 
 _LOADED: dict[str, ByteBPE] = worker_cache("packing", {})
@@ -248,7 +280,12 @@ def default_path() -> str:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents, a checksum in the place of their ids, and where each is packed."""
+    """Pieces of all documents, a checksum in the place of their ids, and where each is packed.
+
+    Null text counts as empty, which is a piece of one id; texts of any length
+    are cut whole; rows that repeat an id, null ids among them, are packed
+    each; an empty table gives no row; other columns of `docs` take no part.
+    """
     pieces = cut(docs.select("doc_id", "text"), default_path())
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(slim)
