@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thresher.llm import bpe, chat, jaccard, langid, media, packing, quality, sharding, topk, toxicity
+from thresher.llm import bpe, bytebpe, chat, jaccard, langid, media, packing, quality, sharding, topk, toxicity
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_bpe": bpe.op9_bpe,
         "op10_topk": topk.op10_topk,
+        "op12_byte_bpe": bytebpe.op12_byte_bpe,
         "pipeline": _pipeline,
     }
 
