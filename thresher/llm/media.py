@@ -27,6 +27,9 @@ WIDTH = 64
 #: A digest is hot from this part of all references on, and from so many; tasks that it is dealt to.
 HOT_PART, HOT_ROWS, SALTS = 64, 2000, 64
 
+#: Rows of a batch whose pages and images are Python objects at a time.
+ROWS = 256
+
 SEGMENTS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "object": "document", "embed": "document"}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -161,7 +164,8 @@ def interleave(df: DataFrame, html: str = "html", segments: str = "segments") ->
 
     def parse(pages: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
-        return pa.array([segments_of(p) for p in pages.to_pylist()], kind)
+        parts = [pa.array([segments_of(p) for p in pages.slice(at, ROWS).to_pylist()], kind) for at in range(0, len(pages), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     # non-deterministic, or the optimizer parses once more for a filter that it infers from an explode
     return df.withColumn(segments, F.arrow_udf(parse, SEGMENTS).asNondeterministic()(F.col(html)))
@@ -268,8 +272,12 @@ def store_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
 
     def write(texts: pa.Array) -> pa.Array:
-        n, html, digests, media = [], [], [], []
         made: dict[bytes, str] = {}
+        parts = [write_some(texts.slice(at, ROWS), made) for at in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts or [write_some(texts, made)])
+
+    def write_some(texts: pa.Array, made: dict[bytes, str]) -> pa.Array:
+        n, html, digests, media = [], [], [], []
         for t in texts.to_pylist():
             payload, size = payload_of(t)
             sha = hashlib.sha256(payload).digest()
