@@ -53,6 +53,23 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As `stored`, bucketed by a key, so that what is grouped by it later isn't moved again.
+
+    As many buckets as the session has shuffle partitions. The catalog knows
+    the table only while it is written; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/thresher-{name}-{uuid.uuid4().hex}"
+    known = f"thresher_{uuid.uuid4().hex}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(known)
+    out = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")
+    _WRITTEN[path] = weakref.ref(out)
+    return out
+
+
 #: Scratch tables of this process, in the order they were written.
 _WRITTEN: dict[str, weakref.ref] = {}
 

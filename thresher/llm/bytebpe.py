@@ -3,12 +3,12 @@
 Texts fall into words, the matches of a pattern. Documents are dealt to blocks
 of bounded size; in its block a document is the sequence of its words' slots,
 and the block lists its distinct words once, with their slots. The words of
-all blocks meet in one shuffle, where each distinct word is encoded once; its
-ids are joined back to the slots, and documents are put together by position
-from what their blocks were given. Decoding goes the other way round: the
-distinct ids of a block are joined to the table of token bytes. So what is
-shuffled by word is a dictionary for each block and not every occurrence, and
-a word that all documents hold is one row for each block.
+all blocks meet in one shuffle, sorted, where each distinct word is encoded
+once; its ids go back to the slots, and documents are put together by position
+from what their blocks were given, where they lie. So what is shuffled is a
+dictionary for each block and not every occurrence, and a word that all
+documents hold is one row for each block. Decoding joins the table of token
+bytes, which is as long as the vocabulary, to the ids.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thresher.llm._common import claim, discard, fresh, stored, table, worker_cache, written
+from thresher.llm._common import claim, fresh, stored_by, table, worker_cache
 from thresher.llm.bpe import SPACE
 
 #: Characters and different pieces of text in a block, about.
-LETTERS, PIECES = 16_000_000, 150_000
+LETTERS, PIECES = 32_000_000, 600_000
 
 #: A space between two other characters, where no match of the pattern goes on but the one that the space begins.
 _SINGLE = re.compile(f" (?<![{SPACE}] )(?![{SPACE}])")
@@ -70,13 +70,6 @@ def load(path: str, pattern: str) -> Coder:
     return _LOADED[path, pattern]
 
 
-def token_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """The table of token bytes: id, bytes. As long as the vocabulary, whatever the corpus."""
-    ranks = read_ranks(path)
-    rows = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
-    return spark.createDataFrame(rows)
-
-
 class _Slots(dict):
     """Slots of the words of a piece of text, as native 32-bit integers, for one block; `lead` stands before each piece."""
 
@@ -161,87 +154,49 @@ def _split(rows: DataFrame, text: str, path: str, pattern: str, names: _Names) -
     return rows.mapInArrow(split, schema)
 
 
-def _encoded(words: DataFrame, path: str, pattern: str, word: str) -> DataFrame:
-    """Each distinct word once, with its ids."""
+def _encoded(dictionary: DataFrame, path: str, pattern: str, names: _Names) -> DataFrame:
+    """Block, slot and ids of each word of each block; equal words lie together, and the first of them is encoded."""
+    schema = T.StructType([T.StructField(names.block, T.LongType()), T.StructField(names.slot, T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
-    def encode(found: pa.Array) -> pa.Array:
+    def encode(batches):
         coder = load(path, pattern)
-        return pa.array([coder.encode(w) for w in found.to_pylist()], pa.list_(pa.int32()))
-
-    return words.select(word).distinct().select(word, F.arrow_udf(encode, "array<int>")(word).alias("ids"))
-
-
-def _joined(values: list[bytes | None], at: np.ndarray) -> bytes | None:
-    """The values at some places, one after the other; null if one is."""
-    if not len(at):
-        return b""
-    try:
-        return b"".join(map(values.__getitem__, at.tolist()))
-    except (IndexError, TypeError):
-        return None
-
-
-def _listed(numbers: pa.ChunkedArray, values: list[bytes]) -> list[bytes | None]:
-    """The values in the order of their numbers, with nulls in gaps."""
-    at = numbers.to_numpy()
-    out: list[bytes | None] = [None] * (int(at.max(initial=-1)) + 1)
-    for n, v in zip(at.tolist(), values):
-        out[n] = v
-    return out
-
+        last, ids = None, b""
+        for batch in batches:
+            out = []
+            for word in batch.column(batch.schema.get_field_index(names.word)).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(coder.encode(word), dtype="<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(names.block)), batch.column(batch.schema.get_field_index(names.slot)), pa.array(out, pa.binary())], names=schema.names)
 
-def _ids_of(lists: pa.ChunkedArray) -> list[bytes]:
-    """Lists of ids as little-endian 32-bit integers."""
-    lists = lists.combine_chunks()
-    raw = lists.flatten().to_numpy().astype("<u4").tobytes()
-    ends = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()])) * 4
-    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return dictionary.repartition(names.word).sortWithinPartitions(names.word).mapInArrow(encode, schema)
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
-    """`df` with, in the place of each text, its ids, little-endian 32-bit, and, unless `decoded` is None, the bytes that they decode to.
+def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """`df` with, in the place of each text, its ids, little-endian 32-bit.
 
-    Null text counts as empty: no ids, no bytes. Texts of any length are
-    encoded whole; equal texts give equal values, rows that repeat stay rows;
-    an empty table stays empty. Columns already named `ids` or `decoded` are
-    replaced, all others stay.
+    Null text counts as empty and has no ids. Texts of any length are encoded
+    whole; equal texts give equal values, rows that repeat stay rows; an empty
+    table stays empty. A column already named `ids` is replaced, all others
+    but the text stay.
     """
-    spark, before = df.sparkSession, written()
     pattern = pattern or default_pattern()
-    order = [c for c in df.columns if c not in (text, ids, decoded)]
+    order = [c for c in df.columns if c not in (text, ids)]
     names = _Names(df)
-    block, text_ = names.block, names.text
-    rows = df.select(*order, F.col(text).alias(text_))
-    split = stored(_split(rows, text_, path, pattern, names), "words")
-    dictionary = split.where(F.col(names.word).isNotNull()).select(block, names.slot, names.word)
-    coded = stored(dictionary.join(_encoded(dictionary, path, pattern, names.word), names.word).select(block, names.slot, "ids"), "coded")
-    found = coded.select(block, F.col(names.slot).alias("number"), "ids", F.lit(None).cast("binary").alias("bytes"))
-    if decoded:
-        tokens = coded.select(block, F.explode("ids").alias("id")).distinct()
-        # the table of token bytes has the length of the vocabulary
-        read = tokens.join(F.broadcast(token_bytes(spark, path)), "id")
-        found = found.unionByName(read.select(block, F.col("id").alias("number"), F.lit(None).cast("array<int>").alias("ids"), "bytes"))
-    docs = split.where(F.col(names.word).isNull()).select(*order, block, names.slots)
-    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields[:-2]]
-    added = [T.StructField(c, T.BinaryType()) for c in (ids, decoded) if c]
+    split = stored_by(_split(df.select(*order, F.col(text).alias(names.text)), names.text, path, pattern, names), "words", names.block)
+    found = _encoded(split.where(F.col(names.word).isNotNull()).select(names.block, names.slot, names.word), path, pattern, names)
+    docs = split.where(F.col(names.word).isNull()).select(*order, names.block, names.slots)
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name in order), T.StructField(ids, T.BinaryType())])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         claim("bytebpe")
-        is_word = right.column("ids").is_valid()
-        words, tokens = right.filter(is_word), right.filter(right.column("bytes").is_valid())
-        ids_of = _listed(words.column("number"), _ids_of(words.column("ids")))
-        bytes_of = _listed(tokens.column("number"), tokens.column("bytes").to_pylist())
-        all_ids, all_bytes = [], []
-        for raw in left.column(names.slots).to_pylist():
-            all_ids.append(_joined(ids_of, _from_planes(raw)))
-            if decoded:
-                all_bytes.append(_joined(bytes_of, np.frombuffer(all_ids[-1], dtype="<u4")))
-        columns = [left.column(f.name) for f in fields] + [pa.array(v, pa.binary()) for v in ([all_ids, all_bytes] if decoded else [all_ids])]
-        return pa.Table.from_arrays(columns, names=[f.name for f in [*fields, *added]])
-
-    out = docs.groupBy(block).cogroup(found.groupBy(block)).applyInArrow(assemble, T.StructType([*fields, *added]))
-    discard(spark, before, split, coded)
-    return out
+        slot = right.column(names.slot).to_numpy()
+        of = np.empty(len(slot), dtype=object)
+        of[slot] = right.column("ids").to_pylist()
+        whole = [b"".join(of[_from_planes(raw)].tolist()) for raw in left.column(names.slots).to_pylist()]
+        return left.select(order).append_column(ids, pa.array(whole, pa.binary()))
+
+    return docs.groupBy(names.block).cogroup(found.groupBy(names.block)).applyInArrow(assemble, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -249,47 +204,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
     Null ids give null, as does an id that the vocabulary lacks; no ids give no
     bytes; rows that repeat stay rows; an empty table stays empty. A column
-    already named `decoded` is replaced, all others stay.
+    already named `decoded` is replaced, all others stay. The table of token
+    bytes is joined on the side of the rows: its length is the vocabulary's.
     """
-    spark = df.sparkSession
-    kept = df.select(*[c for c in df.columns if c != decoded])
-    block, id_ = fresh(kept, "_block", "_id")
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept.schema.fields), T.StructField(block, T.LongType()), T.StructField(id_, T.IntegerType())])
-
-    def deal(batches):
-        number, seen, size = TaskContext.get().partitionId() << 32, [], 0
-        kinds = []
-
-        def distinct():
-            found = np.unique(np.concatenate(seen)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), k) for k in kinds), pa.array(np.full(len(found), number)), pa.array(found)], names=schema.names)
+    ranks = read_ranks(path)
+    tokens = np.full(max(ranks.values(), default=-1) + 1, None, dtype=object)
+    tokens[list(ranks.values())] = list(ranks)
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
 
-        for batch in batches:
-            kinds = batch.schema.types
-            blocks = []
-            for raw in batch.column(batch.schema.get_field_index(ids)).to_pylist():
-                blocks.append(number)
-                if raw:
-                    seen.append(np.unique(np.frombuffer(raw, dtype="<u4")))
-                    size += len(raw)
-                if size >= LETTERS:
-                    yield distinct()
-                    number, seen, size = number + 1, [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.nulls(batch.num_rows, pa.int32())], names=schema.names)
-        if seen:
-            yield distinct()
-
-    dealt = stored(kept.mapInArrow(deal, schema), "ids")
-    found = dealt.where(F.col(id_).isNotNull()).select(F.col(block).alias("of"), F.col(id_).alias("id")).join(F.broadcast(token_bytes(spark, path)), "id")
+    def joined(raw: bytes | None) -> bytes | None:
+        at = np.frombuffer(raw or b"", dtype="<u4")
+        if raw is None or (len(at) and at.max() >= len(shared.value)):
+            return None
+        found = shared.value[at].tolist()
+        return None if None in found else b"".join(found)
 
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        bytes_of = _listed(right.column("id"), right.column("bytes").to_pylist())
-        out = [None if raw is None else _joined(bytes_of, np.frombuffer(raw, dtype="<u4")) for raw in left.column(ids).to_pylist()]
-        return left.select(columns).append_column(decoded, pa.array(out, pa.binary()))
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([joined(raw) for raw in column.to_pylist()], pa.binary())
 
-    docs, columns = dealt.where(F.col(id_).isNull()).drop(id_), kept.columns
-    result = T.StructType([*kept.schema.fields, T.StructField(decoded, T.BinaryType())])
-    return docs.groupBy(block).cogroup(found.groupBy("of")).applyInArrow(assemble, result).select(*df.columns, *([] if decoded in df.columns else [decoded]))
+    return df.withColumn(decoded, F.arrow_udf(run, "binary")(ids))
 
 
 def default_path() -> str:
@@ -306,5 +239,5 @@ def default_pattern() -> str:
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests; null text counts as empty, rows that repeat an id are encoded each."""
-    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path())
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path()), default_path())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
