@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thresher.llm import bpe, bytebpe, chat, jaccard, langid, media, packing, quality, sharding, topk, toxicity
+from thresher.llm import bpe, bytebpe, chat, jaccard, langid, media, packing, quality, sharding, topk, toxicity, veccodes
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": bpe.op9_bpe,
         "op10_topk": topk.op10_topk,
         "op12_byte_bpe": bytebpe.op12_byte_bpe,
+        "op13_vector_codes": veccodes.op13_vector_codes,
         "pipeline": _pipeline,
     }
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard": jaccard.OP2_SQL,
         "op5_chat": chat.OP5_SQL,
         "op10_topk": topk.OP10_SQL,
+        "op13_vector_codes": veccodes.OP13_SQL,
     }
