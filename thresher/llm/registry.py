@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thresher.llm import bpe, bytebpe, chat, jaccard, langid, media, packing, quality, sharding, topk, toxicity, veccodes
+from thresher.llm import bpe, bytebpe, chat, jaccard, langid, media, packing, quality, sharding, spelling, topk, toxicity, veccodes
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_bpe": bpe.op9_bpe,
         "op10_topk": topk.op10_topk,
+        "op11_spelling": spelling.op11_spelling,
         "op12_byte_bpe": bytebpe.op12_byte_bpe,
         "op13_vector_codes": veccodes.op13_vector_codes,
         "pipeline": _pipeline,
@@ -38,5 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard": jaccard.OP2_SQL,
         "op5_chat": chat.OP5_SQL,
         "op10_topk": topk.OP10_SQL,
+        "op11_spelling": spelling.OP11_SQL,
         "op13_vector_codes": veccodes.OP13_SQL,
     }
