@@ -17,7 +17,9 @@ from thresher.functions import eligibility as el
 from thresher.functions import normalize as nz
 from thresher.operators import fragments as op
 from thresher.operators import similarity as sim
+from thresher.operators.nearindex import NearIndex
 from thresher.plans import pipeline as pl
+from thresher.scratch import place
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -388,6 +390,32 @@ SELECT * FROM ranked WHERE rank <= 5 AND similarity >= 0.9"""
 )
 
 
+_NOTE = 'note() { return ship("«o_orderpriority»", «o_custkey», "«o_orderstatus»"); }'
+NOTES = Script("orders", "o_orderkey", "var notes = {\n  " + _NOTE + "\n};\n", [_NOTE])
+NEAR = 0.7
+
+
+def near_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments near every two-hundredth one, among those of all scripts built from orders, by an index."""
+    found = NOTES.query()[0](spark, sf_dir).select(F.regexp_extract("path", r"_(\d+)", 1).cast("long").alias("id"), "processedCode")
+    index = NearIndex.build(found, "processedCode", "id", place(spark, "near-index"), NEAR)
+    return index.lookup(found.where("id % 200 = 0"), "processedCode", "id")
+
+
+_LOOKUP_SQL = f"""
+WITH forms AS (
+  SELECT CAST(regexp_extract(path, '_(\\d+)', 1) AS BIGINT) AS id, "processedCode" AS p FROM ({NOTES.rows_sql()})
+), sets AS (
+  SELECT min(id) AS first_key, count(*) AS copies, list_distinct(list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5))) AS g FROM forms GROUP BY p
+), asked AS (
+  SELECT id AS query_id, list_distinct(list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5))) AS q FROM forms WHERE id % 200 = 0
+), pairs AS (
+  SELECT query_id, first_key, copies, len(list_intersect(g, q)) AS b, len(g) + len(q) - len(list_intersect(g, q)) AS u FROM asked JOIN sets ON len(g) BETWEEN {NEAR} * len(q) - 1e-6 AND len(q) / {NEAR} + 1e-6
+)
+SELECT query_id, first_key, copies, round(b / u, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(b / u, 6) DESC, first_key) AS INTEGER) AS rank
+FROM pairs WHERE b >= {NEAR} * u - 1e-9"""
+
+
 _PAIRS: dict[str, tuple[Query, str]] = {
     "normalize_documents": _normalize("documents", ["doc_id"], "text"),
     "normalize_pages": _normalize("pages", ["page_id"], "html"),
@@ -425,6 +453,7 @@ _PAIRS: dict[str, tuple[Query, str]] = {
     ),
     "fragment_embeddings": (fragment_embeddings, _EMBEDDINGS_SQL),
     "near_fragments": (near_fragments, _NEAR_SQL),
+    "near_lookup": (near_lookup, _LOOKUP_SQL),
     "parse_problems": (parse_problems, _problems_sql()),
 }
 
