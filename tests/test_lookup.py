@@ -13,7 +13,7 @@ from thresher.plans import pipeline as pl
 @pytest.mark.parametrize("keys", [[], [None, None], list(range(500)), [2**62 - k * 10**15 for k in range(400)], [7] * 300, [None] * 100 + [5] * 200 + list(range(60)) + [9] * 90])
 def test_batches_follow_the_key(spark, keys):
     rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "id long, other long").repartition(3)
-    got = pl.batch_numbers(rows, "id", size=7, span=40).collect()
+    got = pl.batch_numbers(rows, "id", size=7).collect()
     assert sorted(r.batch for r in got) == [n // 7 for n in range(len(keys))]
     assert sorted((str(r.id), r.other) for r in got) == sorted((str(k), n) for n, k in enumerate(keys))
     last = -math.inf
@@ -23,6 +23,26 @@ def test_batches_follow_the_key(spark, keys):
         last = max(mine, default=last)
 
 
+def test_batches_of_many_strings(spark):
+    """A string key, more rows than one part of the former method took, a key that a third of all rows share."""
+    rows = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, F.lit("app/same.js")).otherwise(F.concat(F.lit("app/"), F.sha2(F.col("id").cast("string"), 256))).alias("path"), (F.col("id") % 11).alias("length"), F.lit("x").alias("_part"))
+    got = pl.numbered(rows, "path", "length").toPandas().sort_values("number")
+    assert got["number"].tolist() == list(range(90_000)) and got["path"].is_monotonic_increasing
+    assert (got["before"].to_numpy() == np.cumsum(got["length"].to_numpy()) - got["length"].to_numpy()).all()
+    sizes = pl.numbered(rows, "path").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 60_000
+
+
+def test_tasks_of_equal_bytes(spark):
+    """One file as large as a tenth of all bytes beside thousands of small ones."""
+    rows = spark.range(5000).select(F.concat(F.lit("f"), "id").alias("path"), F.when(F.col("id") == 17, 100_000).when(F.col("id") == 18, None).otherwise(200).cast("long").alias("length"))
+    out = pl.by_bytes(rows, "path", "length", 16)
+    each = out.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).collect()
+    share = (4998 * 200 + 100_000) / 16
+    assert len(each) == 16 and sum(r.n for r in each) == 5000
+    assert all(r.bytes <= share + 100_000 for r in each) and sorted(r.bytes for r in each)[-2] <= share + 400
+
+
 def plain_top(queries, rows, k):
     def cosine(a, b):
         n = max(len(a), len(b))

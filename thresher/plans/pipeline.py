@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thresher.functions.eligibility import DEFAULT, Rules
 from thresher.operators import fragments as op
+from thresher.scratch import fresh, stored
 from thresher.sources import files, git
 
 #: Files of one batch, as far as batches matter at all.
@@ -31,6 +32,12 @@ def analyse(found: DataFrame, folders: Iterable[str] = (), rules: Rules = DEFAUL
     return op.chunks(files_ if workers is None else spread(files_.select("path", "text"), workers))
 
 
+def analyse_evenly(found: DataFrame, tasks: int, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> DataFrame:
+    """As `analyse`, with eligible files dealt to tasks of about equal bytes, so that large ones don't meet in one."""
+    files_ = op.eligible_files(found, folders, rules).select("path", "length", "text")
+    return op.chunks(by_bytes(files_, "path", "length", tasks))
+
+
 def analyse_changed(spark: SparkSession, cwd: str | None = None, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> DataFrame:
     """Chunks of the files that git names as changed."""
     root = git.work_tree(cwd)
@@ -53,33 +60,54 @@ def stream(chunks: DataFrame) -> Iterator[Row]:
     return chunks.toLocalIterator(prefetchPartitions=True)
 
 
-def batch_numbers(rows: DataFrame, key: str, size: int = BATCH_SIZE, span: int = 1 << 16) -> DataFrame:
-    """`rows` with the batch each is in by the order of an orderable key; nulls come first, ties in any order.
+def numbered(rows: DataFrame, key: str, weight: str | None = None, number: str = "number", before: str = "before") -> DataFrame:
+    """`rows` with how many rows come before each by the order of an orderable key, and the sum of `weight` over them.
 
-    Quantiles of the key deal the rows to parts of about `span` rows. A key
-    that is a quantile has a part of its own, which is dealt once more by a
-    hash of the row, so that only rows alike in all columns share a task.
+    Nulls of the key come first; rows with equal keys follow each other in any
+    order. A null weight counts as 0. Rows are dealt by ranges of sampled
+    bounds, where a key that many rows share spreads over as many parts as it
+    takes; numbers inside a part and sums over the parts before it make the
+    whole, so no task has more than its part, whatever the keys. An empty
+    table stays empty. Columns named `number` or `before` are replaced.
+    """
+    rows = rows.select(*[c for c in rows.columns if c not in (number, before)])
+    part, at, amount, first = fresh(rows, "_part", "_at", "_amount", "_first")
+    order = [F.col(key).asc_nulls_first(), F.col(at)]
+    dealt = rows.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # ids grow along the order, by one inside a part; written, so that they hold from here on
+    dealt = stored(dealt.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.spark_partition_id()), "numbered")
+    amount_of = F.coalesce(F.col(weight), F.lit(0)).cast("long") if weight else F.lit(0).cast("long")
+    sums = dealt.groupBy(part).agg(F.count("*").alias("n"), F.sum(amount_of).alias("w"))
+    # one row for each part, of which there are as many as tasks
+    parts = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sums.select(part, (F.sum("n").over(parts) - F.col("n")).alias(first), (F.sum("w").over(parts) - F.col("w")).alias(amount))
+    own = F.col(first) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    out = dealt.join(F.broadcast(starts), part)
+    if weight is None:
+        return out.select(*rows.columns, own.alias(number))
+    inside = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.select(*rows.columns, own.alias(number), (F.col(amount) + F.sum(amount_of).over(inside) - amount_of).alias(before))
+
+
+def batch_numbers(rows: DataFrame, key: str, size: int = BATCH_SIZE) -> DataFrame:
+    """`rows` with the batch each is in by the order of an orderable key; nulls come first, ties in any order."""
+    kept = rows.select(*[c for c in rows.columns if c != "batch"])
+    (nth,) = fresh(kept, "_nth")
+    return numbered(kept, key, number=nth).select(*kept.columns, F.floor(F.col(nth) / F.lit(size)).alias("batch"))
+
+
+def by_bytes(rows: DataFrame, key: str, length: str, tasks: int) -> DataFrame:
+    """`rows` dealt to `tasks` partitions of about equal bytes, neighbours by key together.
+
+    A row goes to the task in which the middle of its bytes falls, so a task
+    has at most its share and one row more. Null lengths weigh nothing.
     """
-    total = rows.count()
-    steps = min(1000, total // span)
-    found = rows.agg(F.percentile_approx(key, [k / (steps + 1) for k in range(1, steps + 1)], 100 * (steps + 1))).first()[0] if steps else []
-    bounds = sorted(set(found or []))
-    kind = rows.schema[key].dataType
-    if bounds:
-        known = F.array(*[F.lit(b).cast(kind) for b in bounds])
-        part = F.size(F.filter(known, lambda b: b < F.col(key))) * 2 + F.array_contains(known, F.col(key)).cast("int")
-    else:
-        part = F.lit(0)
-    part = F.when(F.col(key).isNull(), -1).otherwise(part)
-    alone = F.col(key).isNull() | (part % 2 == 1)
-    dealt = rows.withColumn("_part", part).withColumn("_sub", F.when(alone, F.pmod(F.xxhash64(*rows.columns), F.lit(1 + total // span))).otherwise(0).cast("int"))
-    counts = dealt.groupBy("_part", "_sub").agg(F.count("*").alias("_n"))
-    # over the counts of parts, of which there are few
-    order = Window.orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")
-    nth = F.row_number().over(Window.partitionBy("_part", "_sub").orderBy(key))
-    joined = dealt.withColumn("_nth", nth).join(before, ["_part", "_sub"])
-    return joined.withColumn("batch", F.floor((F.col("_before") + F.col("_nth") - 1) / F.lit(size))).select(*rows.columns, "batch")
+    total = rows.agg(F.sum(F.col(length).cast("long"))).first()[0] or 0
+    nth, start = fresh(rows, "_nth", "_start")
+    placed = numbered(rows, key, length, nth, start)
+    middle = F.col(start) + F.coalesce(F.col(length), F.lit(0)) / 2
+    task = F.least(F.floor(middle * tasks / F.lit(max(1, total))), F.lit(tasks - 1)).cast("int")
+    return placed.repartitionById(tasks, task).select(*rows.columns)
 
 
 def worker_count(cores: Column, files_: Column, size: int = BATCH_SIZE) -> Column:

@@ -186,6 +186,13 @@ def batches_of_50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.batch_numbers(rows, "doc_id").groupBy("batch").agg(F.count("*").alias("files"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
+def batches_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by the order of paths, with the bytes before each."""
+    rows = table(spark, sf_dir, "documents").select(_path().alias("path"), F.octet_length("text").cast("long").alias("length"))
+    placed = pl.numbered(rows, "path", "length").withColumn("batch", F.floor(F.col("number") / pl.BATCH_SIZE))
+    return placed.groupBy("batch").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.min("before").alias("bytes_before"))
+
+
 def worker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"))
     return rows.select("source", pl.worker_count(F.lit(64), F.col("files")).alias("workers"))
@@ -438,6 +445,12 @@ _PAIRS: dict[str, tuple[Query, str]] = {
     "changed_list": (changed_list, "SELECT n_nationkey, n_name || '.js' AS path FROM nation UNION ALL SELECT n_nationkey, 'lib/' || n_name || '.js' FROM nation"),
     "line_spans": (line_spans, "SELECT doc_id, CAST(length(left(text, length(text) // 2)) - length(replace(left(text, length(text) // 2), chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS last_line FROM documents"),
     "batches_of_50": (batches_of_50, "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS files, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents) GROUP BY batch"),
+    "batches_by_path": (
+        batches_by_path,
+        f"""SELECT CAST(batch AS BIGINT) AS batch, count(*) AS files, min(path) AS first_path, max(path) AS last_path, CAST(min(before) AS BIGINT) AS bytes_before FROM (
+              SELECT path, (row_number() OVER (ORDER BY path) - 1) // 50 AS batch, sum(length) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) - length AS before
+              FROM (SELECT {_SQL_PATH} AS path, strlen(text) AS length FROM documents)) GROUP BY batch""",
+    ),
     "worker_count": (worker_count, "SELECT source, least(64, 50, count(*)) AS workers FROM documents GROUP BY source"),
     **{name: script.query() for name, script in SCRIPTS.items()},
     "chunks_per_file": (chunks_per_file, _chunks_sql()),
