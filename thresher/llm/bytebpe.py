@@ -3,8 +3,8 @@
 Texts fall into words, the matches of a pattern. Documents are dealt to blocks
 of bounded size; in its block a document is the sequence of its words' slots,
 and the block lists its distinct words once, with their slots. The words of
-all blocks meet in one shuffle, sorted, where each distinct word is encoded
-once; its ids go back to the slots, and documents are put together by position
+all blocks meet in one shuffle by their hash, where each distinct word is
+encoded once; its ids go back to the slots, and documents are put together by position
 from what their blocks were given, where they lie. So what is shuffled is a
 dictionary for each block and not every occurrence, and a word that all
 documents hold is one row for each block. Decoding joins the table of token
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ class Coder:
         self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
         self.words = regex.compile(spelt(pattern)).findall
 
-    def encode(self, word: str) -> list[int]:
+    def encode(self, word: str | bytes) -> list[int]:
         return self.encoding._encode_single_piece(word)
 
 
@@ -112,18 +113,40 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
 
 
+def _cut(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class _Names:
     """Names of helper columns that clash with none of a table's."""
 
     def __init__(self, df: DataFrame):
-        self.block, self.slot, self.word, self.slots, self.text = fresh(df, "_block", "_slot", "_word", "_slots", "_text")
+        self.text, self.block, self.slots, self.part, *self.packed = fresh(df, "_text", "_block", "_slots", "_part", "_places", "_sizes", "_values")
+
+    def schema(self, kept: list[T.StructField]) -> T.StructType:
+        kinds = [(self.block, T.LongType()), (self.slots, T.BinaryType()), (self.part, T.IntegerType()), *((c, T.BinaryType()) for c in self.packed)]
+        return T.StructType([*kept, *(T.StructField(c, k) for c, k in kinds)])
+
+
+def _packed(places: np.ndarray, values: list[bytes]) -> list[bytes]:
+    """Values of any size and the slots they belong to, in three columns."""
+    sizes = np.array([len(v) for v in values], dtype=np.int32)
+    return [_planes(places.astype(np.int32).tobytes()), _planes(sizes.tobytes()), b"".join(values)]
 
 
-def _split(rows: DataFrame, text: str, path: str, pattern: str, names: _Names) -> DataFrame:
-    """Rows of two kinds: each of `rows` with its block and slots in the place of its text, and each block's words with their slots."""
-    kept = [f for f in rows.schema.fields if f.name != text]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField(names.block, T.LongType()), T.StructField(names.slots, T.BinaryType()), T.StructField(names.slot, T.IntegerType()), T.StructField(names.word, T.StringType())])
-    order = [f.name for f in kept]
+def _unpacked(places: bytes, sizes: bytes, values: bytes) -> tuple[np.ndarray, list[bytes]]:
+    return _from_planes(places), _cut(values, _from_planes(sizes))
+
+
+def _split(rows: DataFrame, path: str, pattern: str, names: _Names, parts: int) -> DataFrame:
+    """Rows of two kinds: each of `rows` with its block and slots in the place of its text, and each block's words.
+
+    Words are dealt to `parts` by a hash, and a block has one row for those of
+    each part.
+    """
+    kept = [f for f in rows.schema.fields if f.name != names.text]
+    schema = names.schema(kept)
 
     def split(batches):
         words = load(path, pattern).words
@@ -131,45 +154,54 @@ def _split(rows: DataFrame, text: str, path: str, pattern: str, names: _Names) -
         kinds = None
 
         def dictionary():
-            found = list(block.numbers)
-            size = len(found)
-            empty = [pa.nulls(size, kind) for kind in kinds]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(np.full(size, number)), pa.nulls(size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), pa.array(found, pa.string())], names=schema.names)
+            found = [w.encode() for w in block.numbers]
+            part = np.fromiter(map(zlib.crc32, found), dtype=np.int64, count=len(found)) % parts
+            order = np.argsort(part, kind="stable")
+            rows_ = [(p, *_packed(at, [found[i] for i in at.tolist()])) for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) for p in part[at[:1]].tolist()]
+            n, columns = len(rows_), list(zip(*rows_))
+            new = [pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds), *new], names=schema.names)
 
         for batch in batches:
-            kinds = [batch.schema.field(c).type for c in order]
-            at, blocks, slots = 0, [], []
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+            own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            kinds = [c.type for c in own]
+            blocks, slots, full = [], [], []
+            for t in batch.column(batch.schema.get_field_index(names.text)).to_pylist():
                 slots.append(_planes(block.slots(t or "")))
                 blocks.append(number)
                 if block.full():
-                    if block.numbers:
-                        yield dictionary()
+                    full += [dictionary()] if block.numbers else []
                     number, block = number + 1, _Block(words)
-            at = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in order), pa.array(blocks, pa.int64()), pa.array(slots, pa.binary()), pa.nulls(at, pa.int32()), pa.nulls(at, pa.string())], names=schema.names)
+            n = batch.num_rows
+            new = [pa.array(blocks, pa.int64()), pa.array(slots, pa.binary()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3]
+            yield pa.RecordBatch.from_arrays([*own, *new], names=schema.names)
+            yield from full
         if block.numbers:
             yield dictionary()
 
     return rows.mapInArrow(split, schema)
 
 
-def _encoded(dictionary: DataFrame, path: str, pattern: str, names: _Names) -> DataFrame:
-    """Block, slot and ids of each word of each block; equal words lie together, and the first of them is encoded."""
-    schema = T.StructType([T.StructField(names.block, T.LongType()), T.StructField(names.slot, T.IntegerType()), T.StructField("ids", T.BinaryType())])
+def _encoded(dictionary: DataFrame, path: str, pattern: str, names: _Names, parts: int) -> DataFrame:
+    """The ids of each block's words, by slot. All that equal words have in common is their part, where each is encoded once."""
+    schema = T.StructType([T.StructField(names.block, T.LongType()), *(T.StructField(c, T.BinaryType()) for c in names.packed)])
 
     def encode(batches):
         coder = load(path, pattern)
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
-            for word in batch.column(batch.schema.get_field_index(names.word)).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(coder.encode(word), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(names.block)), batch.column(batch.schema.get_field_index(names.slot)), pa.array(out, pa.binary())], names=schema.names)
+            for row in batch.select(names.packed).to_pylist():
+                places, words = _unpacked(*row.values())
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(coder.encode(w), dtype="<u4").tobytes()
+                ids = [known[w] for w in words]
+                places, sizes, values = _packed(places, ids)
+                out.append((places, sizes, _planes(values)))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(names.block)), *(pa.array(c, pa.binary()) for c in zip(*out))], names=schema.names)
 
-    return dictionary.repartition(names.word).sortWithinPartitions(names.word).mapInArrow(encode, schema)
+    return dictionary.repartitionById(parts, F.col(names.part)).mapInArrow(encode, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -183,16 +215,18 @@ def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "te
     pattern = pattern or default_pattern()
     order = [c for c in df.columns if c not in (text, ids)]
     names = _Names(df)
-    split = stored_by(_split(df.select(*order, F.col(text).alias(names.text)), names.text, path, pattern, names), "words", names.block)
-    found = _encoded(split.where(F.col(names.word).isNotNull()).select(names.block, names.slot, names.word), path, pattern, names)
-    docs = split.where(F.col(names.word).isNull()).select(*order, names.block, names.slots)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = stored_by(_split(df.select(*order, F.col(text).alias(names.text)), path, pattern, names, parts), "words", names.block)
+    found = _encoded(split.where(F.col(names.part).isNotNull()).select(names.block, names.part, *names.packed), path, pattern, names, parts)
+    docs = split.where(F.col(names.part).isNull()).select(*order, names.block, names.slots)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in order), T.StructField(ids, T.BinaryType())])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         claim("bytebpe")
-        slot = right.column(names.slot).to_numpy()
-        of = np.empty(len(slot), dtype=object)
-        of[slot] = right.column("ids").to_pylist()
+        rows = [_unpacked(r[0], r[1], _from_planes(r[2]).tobytes()) for r in zip(*(right.column(c).to_pylist() for c in names.packed))]
+        of = np.empty(sum(len(places) for places, _ in rows), dtype=object)
+        for places, values in rows:
+            of[places] = values
         whole = [b"".join(of[_from_planes(raw)].tolist()) for raw in left.column(names.slots).to_pylist()]
         return left.select(order).append_column(ids, pa.array(whole, pa.binary()))
 
