@@ -104,3 +104,28 @@ def eligible(path: Column, text: Column, size: Column, folders: Iterable[str] =
     """
     fits = F.exists(F.array(sample_of(text, rules)), lambda sample: not_minified(sample, rules))
     return F.coalesce(not_a_test(path, rules) & outside_folders(path, (*rules.folders, *folders)) & small_enough(size, rules) & fits, F.lit(False))
+
+
+#: Reasons in the order in which rules are asked; a file has the first that fits.
+REASONS = ("unreadable", "test", "folder", "source map", "minified end", "dense", "brackets", "braces", "pattern", "long line", "too large")
+
+
+def turned_away(path: Column, text: Column, size: Column, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> Column:
+    """Why a file is not eligible, one of REASONS; null for one that is, so it is null just where `eligible` holds.
+
+    A null path, text or size is unreadable, unless a rule that needs nothing
+    else has turned the file away before.
+    """
+
+    def of_sample(sample: Column) -> Column:
+        more = F.lit(False)
+        for pattern in rules.patterns:
+            more = more | sample.rlike(pattern)
+        why = F.when(has_source_map(sample), "source map").when(ends_minified(sample), "minified end").when(is_dense(sample), "dense")
+        why = why.when(has_bracket_run(sample), "brackets").when(has_brace_run(sample), "braces").when(more, "pattern")
+        return why.when(longest_line(sample, rules) > rules.max_line_length, "long line")
+
+    minified = F.transform(F.array(sample_of(text, rules)), of_sample)[0]
+    why = F.when(path.isNull(), "unreadable").when(~not_a_test(path, rules), "test").when(~outside_folders(path, (*rules.folders, *folders)), "folder")
+    why = why.when(text.isNull() | size.isNull(), "unreadable").when(minified.isNotNull(), minified)
+    return why.when(~small_enough(size, rules), "too large")

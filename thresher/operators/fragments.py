@@ -6,10 +6,10 @@ import logging
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from thresher.functions.eligibility import DEFAULT, Rules, eligible, not_a_test, small_enough
+from thresher.functions.eligibility import DEFAULT, REASONS, Rules, eligible, not_a_test, outside_folders, small_enough, turned_away
 from thresher.functions.normalize import normalize_js, unify_newlines
 from thresher.operators import jsparse
 from thresher.schema import SPANS
@@ -58,6 +58,26 @@ def decoded(content: Column) -> Column:
     return unify_newlines(F.make_valid_utf8(content.cast("string")))
 
 
+def judged_files(files: DataFrame, folders: Iterable[str] = (), rules: Rules = DEFAULT, observation: Observation | None = None) -> DataFrame:
+    """All rows of a file scan with `text` and `reason`, why the file is turned away; null where it is analysed.
+
+    An observation gets the number of files, of analysed ones, and of those
+    turned away for each reason, counted in the pass in which the rows are
+    used. Unlike `eligible_files`, this keeps every file, so the content of all
+    is read; one too large whose content a source has left out is too large.
+    """
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = decoded(F.col("content"))
+    seen = F.when(valid, text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    large = F.when(~small_enough(F.col("length"), rules) & F.col("content").isNull(), "too large")
+    rows = files.withColumn("reason", F.coalesce(F.when(not_a_test(F.col("path"), rules) & outside_folders(F.col("path"), (*rules.folders, *folders)), large), turned_away(F.col("path"), seen, F.col("length"), folders, rules)))
+    rows = rows.withColumn("text", F.when(valid & F.col("reason").isNull(), text))
+    if observation is None:
+        return rows
+    counts = [F.count_if(F.col("reason") == why).alias(why) for why in REASONS]
+    return rows.observe(observation, F.count("*").alias("files"), F.count_if(F.col("reason").isNull()).alias("analysed"), *counts)
+
+
 def eligible_files(files: DataFrame, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> DataFrame:
     """Rows of a file scan (path, length, content) that are to be analysed.
 

@@ -159,7 +159,32 @@ def eligible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(el.eligible(F.col("path"), F.col("text"), F.octet_length("text"))).select("doc_id", "path")
 
 
+def _marks() -> Column:
+    """By the id, something at the head of the text for a rule to act on, or nothing."""
+    n, out = F.col("doc_id") % 8, F.lit("")
+    for k, mark in enumerate(_MARKS):
+        out = F.when(n == k, mark).otherwise(out)
+    return out
+
+
+_MARKS = ("[[[1]]]\n", "{{{1}}}\n", "//# sourceMappingURL=x\n", "x" * 501 + "\n")
+
+
+def turned_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each document would not be analysed, null where it would."""
+    text = F.concat(_marks(), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), text.alias("text"))
+    return rows.select("doc_id", el.turned_away(F.col("path"), F.col("text"), F.octet_length("text") * 10, ("src0", "src7")).alias("reason"))
+
+
 _X = _SAMPLE.format("text")
+_TURNED_SQL = f"""
+SELECT doc_id, CASE WHEN ends_with(path, '.test.js') THEN 'test' WHEN list_has_any(string_split(path, '/'), ['src0', 'src7']) THEN 'folder'
+    WHEN {_sql_hits(_X)['source_map']} THEN 'source map' WHEN {_sql_hits(_X)['min_suffix']} THEN 'minified end' WHEN {_sql_hits(_X)['dense']} THEN 'dense'
+    WHEN {_sql_hits(_X)['bracket_run']} THEN 'brackets' WHEN {_sql_hits(_X)['brace_run']} THEN 'braces'
+    WHEN {_sql_longest(_X)} > 500 THEN 'long line' WHEN strlen(text) * 10 > 1000000 THEN 'too large' END AS reason
+FROM (SELECT doc_id, {_SQL_PATH} AS path, (CASE doc_id % 8 {' '.join(f'WHEN {k} THEN {_sql_text(m)}' for k, m in enumerate(_MARKS))} ELSE '' END) || text AS text FROM documents)
+"""
 _ELIGIBLE_SQL = f"""
 SELECT doc_id, path FROM (SELECT *, {_SQL_PATH} AS path FROM documents)
 WHERE NOT ends_with(path, '.test.js') AND strlen(text) <= 1000000
@@ -442,6 +467,7 @@ _PAIRS: dict[str, tuple[Query, str]] = {
     "minified_max_line": (max_line, f"SELECT doc_id, CAST({_sql_longest(_X)} AS INTEGER) AS longest, {_sql_longest(_X)} <= 500 AS passes FROM documents"),
     "size_cap": (size_cap, "SELECT doc_id, strlen(text) AS bytes, strlen(text) <= 1000000 AS small, strlen(text) * 100 <= 1000000 AS small_times_100 FROM documents"),
     "eligible_files": (eligible_files, _ELIGIBLE_SQL),
+    "turned_away": (turned_away, _TURNED_SQL),
     "changed_list": (changed_list, "SELECT n_nationkey, n_name || '.js' AS path FROM nation UNION ALL SELECT n_nationkey, 'lib/' || n_name || '.js' FROM nation"),
     "line_spans": (line_spans, "SELECT doc_id, CAST(length(left(text, length(text) // 2)) - length(replace(left(text, length(text) // 2), chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS last_line FROM documents"),
     "batches_of_50": (batches_of_50, "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS files, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents) GROUP BY batch"),
