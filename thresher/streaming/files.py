@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thresher.operators import fragments as op
+from thresher.sources.changes import stream_changes
 from thresher.sources.files import relative
 
 _BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -21,3 +22,8 @@ def stream_fragments(spark: SparkSession, root: str, files_per_trigger: int = 10
         .load(root)
     )
     return op.fragments(op.eligible_files(relative(arriving, root).select("path", "length", "content")))
+
+
+def stream_commits(spark: SparkSession, cwd: str, **options) -> DataFrame:
+    """A stream of functions of the eligible files that commits of a repository add or change; options as for `GitChanges`."""
+    return op.fragments(op.eligible_files(stream_changes(spark, cwd=cwd, **options)))
