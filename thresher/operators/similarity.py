@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thresher.scratch import place, stored
+
 DIMENSION = 64
 GRAM = 3
 BASE = 1009
@@ -56,26 +58,54 @@ def unit(vector: Column) -> Column:
     return F.when(fits, F.transform(vector, lambda x: F.try_divide(x.cast("double"), length)))
 
 
-_PACK = "ids array<long>, dim int, units binary"
+PACK = "ids array<long>, dim int, units binary"
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Up to `size` rows (id, unit) in one row each."""
+def packed(rows: DataFrame, size: int, group: str | None = None) -> DataFrame:
+    """Up to `size` rows (id, unit) in one row each; of one `group` only, an integer by which they lie sorted, if that is given."""
 
     def pack(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                vectors = part.column(1).to_pylist()
-                dim = max(map(len, vectors))
-                x = np.zeros((len(vectors), dim))
-                for row, v in zip(x, vectors):
-                    row[: len(v)] = v
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["ids", "dim", "units"]
-                )
+            own = batch.column(2).to_numpy() if group else np.zeros(batch.num_rows)
+            starts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1)).tolist() if len(own) else []
+            for first, end in zip(starts, [*starts[1:], batch.num_rows]):
+                for at in range(first, end, size):
+                    part = batch.slice(at, min(size, end - at))
+                    vectors = part.column(1).to_pylist()
+                    dim = max(map(len, vectors))
+                    x = np.zeros((len(vectors), dim))
+                    for row, v in zip(x, vectors):
+                        row[: len(v)] = v
+                    columns = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([x.tobytes()], pa.binary())]
+                    names = ["ids", "dim", "units"]
+                    if group:
+                        columns, names = [*columns, pa.array([int(own[at])], pa.int32())], [*names, group]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(pack, PACK + (f", {group} int" if group else ""))
+
+
+def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """Of each pair of a block and a block of queries (`q_`), the k best of each query: query_id, neighbor_id, similarity."""
 
-    return rows.mapInArrow(pack, _PACK)
+    def match(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, q_ids = np.array(r["ids"], dtype=np.int64), np.array(r["q_ids"], dtype=np.int64)
+                x, q = np.frombuffer(r["units"]).reshape(len(ids), r["dim"]), np.frombuffer(r["q_units"]).reshape(len(q_ids), r["q_dim"])
+                dim = min(r["dim"], r["q_dim"])  # what is filled up adds nothing
+                similar = np.round(q[:, :dim] @ x[:, :dim].T, 6) + 0.0
+                similar[q_ids[:, None] == ids[None, :]] = -np.inf
+                rows, found = [], []
+                for i, row in enumerate(similar):
+                    at = np.flatnonzero(row >= (np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2.0))
+                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    rows.append(np.full(len(at), i))
+                    found.append(at)
+                i, j = np.concatenate(rows), np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(similar[i, j])], names=["query_id", "neighbor_id", "similarity"])
+
+    return pairs.mapInArrow(match, "query_id long, neighbor_id long, similarity double").where("similarity >= -2")
 
 
 def cosine_top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
@@ -89,30 +119,21 @@ def cosine_top_k(queries: DataFrame, candidates: DataFrame, key: str, vector: st
     """
     units = lambda df: df.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("unit")).where("id is not null and unit is not null")
     groups = max(1, candidates.count() // block)
-    asked = _packed(units(queries), block // 4).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "units")], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
-    held = _packed(units(candidates).repartition(groups), block).withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
-    pairs = held.join(asked, "_group")
-
-    def match(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, q_ids = np.array(r["ids"], dtype=np.int64), np.array(r["q_ids"], dtype=np.int64)
-                x, q = np.frombuffer(r["units"]).reshape(len(ids), r["dim"]), np.frombuffer(r["q_units"]).reshape(len(q_ids), r["q_dim"])
-                dim = min(r["dim"], r["q_dim"])  # what is filled up adds nothing
-                similar = np.round(q[:, :dim] @ x[:, :dim].T, 6) + 0.0
-                similar[q_ids[:, None] == ids[None, :]] = -np.inf
-                for i, row in enumerate(similar):
-                    at = np.flatnonzero(row >= (np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2.0))
-                    at = at[np.lexsort((ids[at], -row[at]))][:k]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q_ids[i])), pa.array(ids[at]), pa.array(row[at])], names=["query_id", "neighbor_id", "similarity"])
-
-    found = pairs.drop("_group").mapInArrow(match, "query_id long, neighbor_id long, similarity double").where("similarity >= -2")
+    asked = packed(units(queries), block // 4).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "units")], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+    held = packed(units(candidates).repartition(groups), block).withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    found = best_pairs(held.join(asked, "_group").drop("_group"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def near_duplicates(df: DataFrame, form: str, key: str, least: float, k: int = 10) -> DataFrame:
-    """Up to k nearest rows of each, by the cosine of the embeddings of their normal form, from `least` on."""
-    rows = df.select(key, embed(F.col(form)).alias("_v"))
-    return cosine_top_k(rows, rows, key, "_v", k).where(F.col("similarity") >= least)
+    """Up to k nearest rows of each, by the cosine of the embeddings of their normal form, from `least` on.
+
+    By a stored index, exactly: each row is compared in the cells that may
+    hold anything as near. Null keys and forms too short for an n-gram have no
+    neighbours; an empty table gives no row.
+    """
+    from thresher.operators.vectorindex import VectorIndex
+
+    rows = stored(df.select(F.col(key).alias("id"), embed(F.col(form)).alias("unit")), "embedded")
+    return VectorIndex.build(rows, "id", "unit", place(df.sparkSession, "vectors")).lookup(rows, "id", "unit", k, least=least)
