@@ -32,3 +32,24 @@ def test_rest_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q)"], cwd=copy, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+WITHOUT = """
+import sys
+class Refuse:
+    def find_spec(self, name, path=None, target=None):
+        if name == {absent!r}:
+            raise ImportError(name)
+sys.meta_path.insert(0, Refuse())
+import __spark_entry__ as e
+print("queries", len(e.queries()), len(e.oracle_sql()))
+"""
+
+
+def test_entry_works_without_what_only_some_queries_need():
+    counts = []
+    for absent in ("nothing", "xxhash", "thresher.llm"):
+        done = subprocess.run([sys.executable, "-c", WITHOUT.format(absent=absent)], cwd=ROOT, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
+        counts.append(int(done.stdout.split()[1]))
+    assert counts[0] >= counts[1] == counts[2] > 0
