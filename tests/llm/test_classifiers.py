@@ -45,12 +45,16 @@ def test_machine_learns_a_pair():
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Errors between a and each beginning of b; two letters that have changed places are one."""
+    before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
+            least = min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                least = min(least, before[j - 2] + 1)
+            new.append(least)
+        before, row = row, new
     return row
 
 
@@ -84,6 +88,25 @@ def test_context_tells_quotation_from_abuse():
     assert toxicity.hits(None, matches) == toxicity.hits("", matches) == []
 
 
+def test_misspellings_of_short_terms_swaps_and_inner_marks():
+    matches = toxicity._Matches(toxicity.Lexicon([("scum", False, 5.0), ("idiot", False, 5.0), ("stupid", False, 5.0), ("moron", False, 5.0), ("trash", True, 5.0)]))
+    found = lambda text: [(matches.lexicon.terms[k][0], e) for k, e, _, _ in toxicity.hits(text, matches)]
+    assert found("scvm scuum scu scmu") == [("scum", toxicity.SHORT)] * 4
+    assert found("moorn id!ot st.upid stup!d") == [("moron", 1), ("idiot", 1), ("stupid", 1), ("stupid", 1)]
+    assert found("so stupid.You idiot!You moron...scum") == [("stupid", 0), ("idiot", 0), ("moron", 0)]
+    assert found("trahsing trashing") == [("trash", toxicity.SHORT), ("trash", 0)]
+    assert found("sum cum mood www.example.com 3.14") == [("scum", toxicity.SHORT)] * 2
+
+
+def test_what_errors_count_follows_from_labels():
+    def model(clean, toxic):
+        return toxicity.ToxicityModel(toxicity.Lexicon([("scum", False, 6.0), ("moron", False, 6.0)])).calibrate([m.hits(t) for m in [toxicity.ToxicityModel(toxicity.Lexicon([("scum", False, 6.0), ("moron", False, 6.0)]))] for t in clean + toxic], np.array([0.0] * len(clean) + [1.0] * len(toxic)))
+
+    trusting = model(["nothing"] * 200, ["scvm here"] * 20 + ["scum here"] * 20 + ["moron"] * 10)
+    wary = model(["nothing"] * 200 + [f"{c}cum" for c in "abdefghijklmnopqr"] * 3, ["scum here"] * 20 + ["moron"] * 10 + ["zcum"])
+    assert trusting.score("scuum") >= toxicity.THRESHOLD > wary.score("scuum")
+
+
 def calibrated(clean, toxic):
     model = toxicity.ToxicityModel(toxicity.Lexicon([("moron", False, 6.0)]))
     return model.calibrate([model.hits(t) for t in clean + toxic], np.array([0.0] * len(clean) + [1.0] * len(toxic)))

@@ -3,8 +3,8 @@
 The lexicon is learned: words and open stems that stand in labelled toxic
 documents far more often than in clean ones. To find misspelled terms the
 automaton of a word (its states are bit sets of positions, one set for each
-number of errors) runs down the trie, and branches where no state is left are
-cut. What a hit counts depends on the words around it: quotation lowers it,
+number of errors: a letter more, less, another, or two swapped) runs down the
+trie, and branches where no state is left are cut. What a hit counts depends on the words around it: quotation lowers it,
 direct address raises it.
 """
 
@@ -46,10 +46,15 @@ CACHE_WORDS = 400_000
 
 _QUOTING = frozenset("said says say quote quoted quotes called calls wrote writes word words term terms sagte sagt zitat wort dit disait mot citation dijo dice palabra cita".split())
 _ADDRESS = frozenset("you your youre u ur du dich dein ihr sie euch tu toi ton vous votre te tú usted ustedes vosotros".split())
-_TOKENS = re.compile(r"[\w@$*]+")
+#: A word may hold marks inside, as in `id!ot`; its parts are words too.
+_PARTS = re.compile(r"[\w@$*]+")
+_TOKENS = re.compile(r"[\w@$*]+(?:[!.]+[\w@$*]+)*")
 _MARKS = re.compile(r'["“”„«»]')
-#: What a hit with so many errors counts, as a share of an exact one.
-_ERRORS = (1.0, 0.6, 0.4)
+#: What a hit counts as a share of an exact one, unless labels say otherwise, and what else it may count: one error, two, one in a short term.
+ERRORS = [(1.0,), (0.6, 0.3, 0.8), (0.4, 0.1, 0.7), (0.25, 0.0, 0.5, 0.7)]
+SHORT = 3
+#: Log likelihood by which another choice must be better than the first.
+CLEARLY = 1.0
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -58,8 +63,13 @@ def tokens_of(text: str | None) -> list[str]:
 
 def errors_allowed(length: int, open_end: bool) -> int:
     if open_end:
-        return 1 if length >= 6 else 0
-    return 0 if length < 5 else 1 if length < 9 else 2
+        return 1 if length >= 5 else 0
+    return 0 if length < 4 else 1 if length < 9 else 2
+
+
+def is_short(length: int, open_end: bool) -> bool:
+    """Ordinary words lie so near such a term that an error in it counts for less."""
+    return length < 6 if open_end else length < 5
 
 
 class _Node:
@@ -91,7 +101,10 @@ class Lexicon:
         return Lexicon, (self.terms,)  # a worker builds its own trie, however deep
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """The term nearest to `word` and the number of errors; ties go to the longer term, then the first."""
+        """The term nearest to `word` and the number of errors; ties go to the longer term, then the first.
+
+        Two letters that have changed places are one error, if neither of them is changed again.
+        """
         n = len(word)
         if n < LEAST_LENGTH - 1 or not self.terms:
             return None
@@ -100,9 +113,10 @@ class Lexicon:
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         best: tuple[int, int, int] | None = None
-        stack = [(self.root, 1, 3 & full, 7 & full)]
+        # the states of each number of errors, and, for swapped letters, those before the last letter and where that stands in the word
+        stack = [(self.root, 1, 3 & full, 7 & full, 0, 0, 0)]
         while stack:
-            node, r0, r1, r2 = stack.pop()
+            node, r0, r1, r2, p0, p1, last_m = stack.pop()
             if node.term is not None:
                 k, allowed, open_end = node.term
                 want = full if open_end else last
@@ -117,12 +131,12 @@ class Lexicon:
                 most = child.errors
                 if most == 0:
                     if n0:
-                        stack.append((child, n0, 0, 0))
+                        stack.append((child, n0, 0, 0, 0, 0, 0))
                     continue
-                n1 = ((r1 & m) << 1 | r0 | r0 << 1 | n0 << 1) & full
-                n2 = ((r2 & m) << 1 | r1 | r1 << 1 | n1 << 1) & full if most > 1 else 0
+                n1 = ((r1 & m) << 1 | r0 | r0 << 1 | n0 << 1 | ((p0 & m) << 1 & last_m) << 1) & full
+                n2 = ((r2 & m) << 1 | r1 | r1 << 1 | n1 << 1 | ((p1 & m) << 1 & last_m) << 1) & full if most > 1 else 0
                 if n1 or n2:
-                    stack.append((child, n0, n1, n2))
+                    stack.append((child, n0, n1, n2, r0, r1, m))
         return None if best is None else (best[2], best[0])
 
 
@@ -135,9 +149,17 @@ class _Matches(dict):
 
     def __missing__(self, word: str):
         bare = word.strip("*@$_")
-        found = self.lexicon.match(bare)
+        found = self.lexicon.match(bare) if len(word) <= 64 or "." not in bare and "!" not in bare else None
+        if found and found[1] == 1:
+            text, open_end, _ = self.lexicon.terms[found[0]]
+            found = (found[0], SHORT) if is_short(len(text), open_end) else found
         if found and found[1] and bare in self.known:
             found = None
+        if found is None or found[1]:
+            parts = _PARTS.findall(bare)
+            if len(parts) > 1:  # a part may be a term by itself
+                own = [m for m in map(self.__getitem__, parts) if m is not None]
+                found = min([*own, *([found] if found else [])], key=lambda m: m[1], default=None)
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -166,7 +188,7 @@ def hits(text: str | None, matches: _Matches) -> list[tuple[int, int, float, str
                 at += n
     out = []
     for at, (term, errors) in found:
-        near = tokens[max(0, at - WINDOW) : at] + tokens[at + 1 : at + 1 + WINDOW]
+        near = _PARTS.findall(" ".join(tokens[max(0, at - WINDOW) : at] + tokens[at + 1 : at + 1 + WINDOW]))
         factor = 1.0
         if at in quoted or not _QUOTING.isdisjoint(near):
             factor = QUOTED
@@ -185,6 +207,7 @@ class ToxicityModel:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.slope, self.offset = lexicon, 1.0, -3.0
         self.context = {1.0: 1.0, QUOTED: QUOTED, ADDRESSED: ADDRESSED}
+        self.errors = [choices[0] for choices in ERRORS]
         self.known: frozenset[str] = frozenset()
         self.uid = uuid.uuid4().hex
 
@@ -196,18 +219,19 @@ class ToxicityModel:
         return hits(text, matches)
 
     def evidence(self, found: list[tuple[int, int, float, str]]) -> float:
-        return math.log1p(sum(self.lexicon.terms[k][2] * _ERRORS[e] * self.context[factor] for k, e, factor, _ in found))
+        return math.log1p(sum(self.lexicon.terms[k][2] * self.errors[e] * self.context[factor] for k, e, factor, _ in found))
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.evidence(self.hits(text)) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def calibrate(self, found: list[list[tuple[int, int, float, str]]], labels: np.ndarray) -> ToxicityModel:
-        """Set which near words are ordinary, what contexts count, and the logistic, from the hits in labelled documents.
+        """Set which near words are ordinary, what contexts and errors count, and the logistic, from the hits in labelled documents.
 
         A near word is ordinary if clean documents hold it unquoted and chance
         explains its share of toxic ones. Each word is judged alone: other
-        misspellings of the same term still count.
+        misspellings of the same term still count. With no documents all stays
+        as it is by default.
         """
         seen: dict[str, list[int]] = {}
         for doc, label in zip(found, labels):
@@ -219,15 +243,30 @@ class ToxicityModel:
         self.uid = uuid.uuid4().hex
         kept = [[h for h in doc if not (h[1] and h[3] in known)] for doc in found]
         y = np.asarray(labels, dtype=float)
-        least = math.inf
-        for quoted, addressed in CONTEXTS:
-            self.context = {1.0: 1.0, QUOTED: quoted, ADDRESSED: addressed}
-            x = np.array([self.evidence(doc) for doc in kept])
-            slope, offset = logistic(x, y)
-            loss = float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (slope * x + offset)).sum()) if len(x) else 0.0
-            if loss < 0.98 * least:
-                least, best = loss, (self.context, slope, offset)
-        self.context, self.slope, self.offset = best
+
+        # an ordinary word that was not met yet is like those that were, each of which counts once where errors are judged
+        met: set[str] = set()
+        first = [[h for h in doc if not (h[1] and h[3] in known) or not (h[3] in met or met.add(h[3]))] for doc in found]
+
+        def loss(docs: list) -> float:
+            x = np.array([self.evidence(doc) for doc in docs])
+            self.slope, self.offset = logistic(x, y)
+            return float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (self.slope * x + self.offset)).sum()) if len(x) else 0.0
+
+        def choose(docs: list, choices, put) -> None:
+            """The first of the choices, unless another explains the labels clearly better."""
+            least, best = math.inf, choices[0]
+            for choice in choices:
+                put(choice)
+                now = loss(docs)
+                if now < least - max(CLEARLY, 0.02 * least) or least == math.inf:
+                    least, best = now, choice
+            put(best)
+
+        for e in range(1, len(ERRORS)):
+            choose(first, ERRORS[e], lambda share, e=e: self.errors.__setitem__(e, share))
+        choose(kept, CONTEXTS, lambda c: self.context.update({QUOTED: c[0], ADDRESSED: c[1]}))
+        loss(kept)
         return self
 
 
@@ -347,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "d
 
 def beginnings(text: str | None) -> tuple[int, dict[str, int]]:
     """A number made of a text's least word hashes, which like texts share, and how many of its words each stem begins."""
-    distinct = {t.strip("*@$_") for t in tokens_of(text)}
+    distinct = {p.strip("*@$_") for t in tokens_of(text) for p in _PARTS.findall(t)}
     found: dict[str, int] = {}
     for token in distinct:
         if len(token) >= LEAST_LENGTH:
