@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thresher import scratch
 from thresher.llm import jaccard
 
 DOCS = "doc_id long, text string"
@@ -90,38 +91,76 @@ def test_large_groups(spark, monkeypatch, block, most):
     assert run(spark, docs) == plain(docs)
 
 
+def meetings(spark, docs):
+    """Rows that meet in a group of texts, how many links are certain, and how many sets there are."""
+    df = spark.createDataFrame(docs, DOCS)
+    tokens = F.udf(lambda t: bytes(jaccard.shingles(t).tobytes()), "binary")
+    sets = df.select(F.lit(b"r").alias("root"), F.lit(1).cast("long").alias("weight"), tokens("text").alias("tokens")).dropDuplicates(["tokens"]).withColumn("node", F.sha2("tokens", 256).cast("binary"))
+    known = jaccard._known(jaccard.stored(sets.withColumn("size", F.lit(sets.count()).cast("long")), "sets"), 0.8)
+    certain = jaccard._certain(known).agg(F.count_if(F.col("links") > 0)).first()[0]
+    return jaccard._meetings(known, jaccard.ratio(0.8)[1]).count(), certain, known.count()
+
+
 def test_work_of_a_hot_group_is_in_proportion(spark, monkeypatch):
-    """Rows that meet in the rings and buckets of a group of alike copies grow with it and not with its square."""
+    """Rows that meet in a group of alike copies grow with it and not with its square."""
     monkeypatch.setattr(jaccard, "BUCKET", 16)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    nodes, rows = {}, {}
+    rows = {}
     for n in (100, 400):
-        docs = spark.createDataFrame(copies(random.Random(n), n, 2), DOCS)
-        sets = jaccard.describe(docs, "text").select(F.col("doc_id").alias("rep"), "set_hash", "n", "sketch", "paths").dropDuplicates(["set_hash"])
-        nodes[n] = jaccard.stored(sets.withColumn("weight", F.lit(1)), "nodes")
-        groups = jaccard._candidates(nodes[n], 0.8)
-        assert groups.select("root").distinct().count() == 1
-        read = docs.join(nodes[n], F.col("doc_id") == F.col("rep")).select(F.lit(b"r").alias("root"), F.col("set_hash").alias("node"), F.lit(1).cast("long").alias("weight"), F.lit(n).cast("long").alias("size"), "text")
-        tokens = F.udf(lambda t: bytes(jaccard.shingles(t).tobytes()), "binary")
-        certain, blocks = jaccard._checked_large(read.withColumn("tokens", tokens("text")).drop("text"), 0.8)
-        rows[n] = blocks.count()
-        assert certain.where("links > 0").count() > 0.9 * nodes[n].count()
+        docs = copies(random.Random(n), n, 2)
+        rows[n], certain, sets = meetings(spark, docs)
+        assert certain > 0.9 * sets
+        df = spark.createDataFrame(docs, DOCS)
+        nodes = jaccard.describe(df, "text").select(F.col("doc_id").alias("rep"), "set_hash", "n", "sketch", "paths").dropDuplicates(["set_hash"]).withColumn("weight", F.lit(1))
+        assert jaccard._candidates(jaccard.stored(nodes, "nodes"), 0.8).select("root").distinct().count() == 1
     assert rows[400] <= 5 * max(rows[100], 100)
 
 
-def test_rings_decide_only_what_is_certain():
+def near_threshold(rng, n):
+    """Copies that all differ from one text in four or five words, so that they lie about the threshold."""
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([4, 5])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_groups_near_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(10)
+    docs = near_threshold(rng, 60) + [(100 + i, t) for i, t in copies(rng, 40, 8)] + [(200, " ".join(f"b{i}" for i in range(200)))]
+    assert run(spark, docs) == plain(docs)
+
+
+def test_slacks_decide_what_is_certain():
     rng = np.random.default_rng(5)
+    p, q = jaccard.ratio(0.8)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(200) < rng.uniform(0.75, 1)], rng.integers(0, 2**63, rng.integers(1, 30)).astype(np.uint64)])) for _ in range(120)]
-    centre = jaccard.centre_of(sets[:20])
-    rings = [jaccard.ring_of(s, centre, 0.8) for s in sets]
-    linked = jaccard.similar(sets)
+    centre = np.unique(base)
+    parts = [jaccard.difference(s, centre) for s in sets]
+    slack = [p * len(s) - q * len(d) for s, d in zip(sets, parts)]
+    linked, certain = jaccard.similar(sets), 0
     for i in range(120):
         for j in range(i):
-            if rings[i] + rings[j] <= jaccard.RINGS - 2:
-                assert linked[i, j]
-            if abs(rings[i] - rings[j]) > jaccard.RINGS:
-                assert not linked[i, j]
+            shared = len(np.intersect1d(parts[i], parts[j]))
+            assert linked[i, j] == (2 * q * shared >= -(slack[i] + slack[j]))
+            certain += slack[i] + slack[j] >= 0
+    assert certain and certain < linked.sum() / 2
+
+
+def test_a_star_of_edges(spark, monkeypatch):
+    """One node that has an edge to each of very many others, which it doesn't share a task with."""
+    monkeypatch.setattr(jaccard, "spread_join", lambda *a: scratch.spread_join(*a, each=100))
+    edges = [(b"%05d" % i, b"99999") for i in range(3000)] + [(b"a", b"b"), (b"b", b"a"), (b"c", b"c"), (b"b", None)]
+    got = {bytes(r.node): bytes(r.root) for r in jaccard.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert got == {**{b"%05d" % i: b"00000" for i in range(3000)}, b"99999": b"00000", b"a": b"a", b"b": b"a"}
+    assert jaccard.components(spark.createDataFrame([], "a binary, b binary")).collect() == []
 
 
 def test_runs_follow_from_the_recall():

@@ -31,23 +31,15 @@ def scratch_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read back: lineage ends here.
 
     A task that is lost later rereads the files, so an executor's loss never
-    re-runs what came before, and row order inside the files is fixed. `rows`
-    bounds the Arrow batches of this write alone.
+    re-runs what came before, and row order inside the files is fixed.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/thresher-{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    found = spark.conf.get(key)
-    try:
-        if rows and not 0 < int(found) <= rows:
-            spark.conf.set(key, str(rows))
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, found)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[path] = weakref.ref(out)
     return out
@@ -133,10 +125,10 @@ def claim(owner: str) -> None:
 
 
 def pieces_of(batches, rows: int = 128):
-    """The data frames of a batch iterator in pieces of so many rows, where what is made of a row is much larger than it."""
-    for pdf in batches:
-        for at in range(0, len(pdf), rows):
-            yield pdf.iloc[at : at + rows]
+    """Batches, or data frames, of an iterator in pieces of so many rows, where what is made of a row is much larger than it."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows) if isinstance(batch, pa.RecordBatch) else batch.iloc[at : at + rows]
 
 
 def held_out(doc_id: Column) -> Column:

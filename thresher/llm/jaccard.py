@@ -15,10 +15,13 @@ sets that have none until the bucket is small.
 
 Comparing in buckets uses small sketches with a generous margin and only asks
 which sets hang together; what hangs together is then checked exactly, once.
-In a large group each set's exact distance to the group's centre decides most
-pairs: sets near it are linked and counted without comparing them, sets at
-too unlike distances can't be, and only the rings between meet block by block.
-Equal sets are one node with a weight throughout.
+In a large group a set is known by its difference from the group's centre. A
+pair is linked if both differences are small enough together, which is counted
+over sorted sizes without comparing anything; else only if they have enough
+shingles in common. Rings of like sizes of difference in which that may be
+meet block by block, with the differences in the place of the sets. Equal sets
+are one node with a weight throughout. Keys that many rows share are dealt to
+many tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import functools
 import math
 import re
 import uuid
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thresher.llm._common import claim, discard, stored, table, worker_cache, written
+from thresher.llm._common import claim, discard, pieces_of, stored, table, worker_cache, written
+from thresher.scratch import spread_join
 
 #: Words in a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -48,8 +53,8 @@ BUCKET = 256
 BLOCK = 1024
 #: Leaders drawn at a time in a large bucket, and the similarity to one that a set is done with.
 LEADERS, LED = 16, 0.7
-#: Sets that a large group's centre is made of, and rings around it within the distance of a link.
-CENTRE, RINGS = 64, 4
+#: Sets that a large group's centre is made of, and rings by size of difference from it.
+CENTRE, RINGS = 64, 8
 #: Rows in a batch of texts or sets.
 ROWS = 512
 #: Bins of a sketch.
@@ -141,6 +146,9 @@ def describe(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY
 
     def run(texts: pa.Array) -> pa.Array:
         claim("jaccard")
+        return pa.concat_arrays([some(texts.slice(at, ROWS)) for at in range(0, len(texts), ROWS)] or [some(texts)])
+
+    def some(texts: pa.Array) -> pa.Array:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * _MIX)
         hashes, sizes, sketches = [], [], []
         n1, k1, n2, k2, n3, k3 = [], [], [], [], [], []
@@ -182,7 +190,7 @@ def describe(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY
 def _grouped(batches, key: str):
     """Lists of rows with equal keys, from batches sorted by key."""
     group: list[dict] = []
-    for batch in batches:
+    for batch in pieces_of(batches, ROWS):
         for row in batch.to_pylist():
             if group and row[key] != group[0][key]:
                 yield group
@@ -341,7 +349,7 @@ def _led(large: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFra
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "was", "a", "b"])
 
-        out = stored(dealt.mapInArrow(gather, "bucket long, was long, a binary, b binary"), f"led{turn}", ROWS)
+        out = stored(dealt.mapInArrow(gather, "bucket long, was long, a binary, b binary"), f"led{turn}")
         joined = out.where("b is not null").select("a", "b").distinct()
         edges = joined if edges is None else edges.unionByName(joined)
         left = out.where("b is null").select("bucket", "was", F.col("a").alias("set_hash"))
@@ -359,18 +367,22 @@ def components(edges: DataFrame) -> DataFrame:
     """Least node of each node's component, from edges (a, b): columns node and root.
 
     Labels spread along edges and then jump to their label's label, so few
-    rounds are needed; each is written to the shared folder.
+    rounds are needed; each is written to the shared folder. A node with very
+    many edges, or a label of very many nodes, is dealt to several tasks.
+    Edges may repeat, and those with both ends in one node or a null end say
+    nothing; without edges there is no row.
     """
-    both = stored(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges", ROWS)
+    both = stored(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_n")).agg(F.min("root").alias("_near"))
+        near = spread_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("_n")).agg(F.min("root").alias("_near"))
         spread = labels.join(near, F.col("node") == F.col("_n")).select("node", F.least("root", "_near").alias("root"), (F.col("_near") < F.col("root")).alias("moved"))
         spread = stored(spread, "spread")
         if not spread.where("moved").head(1):
             return labels
-        jump = spread.select(F.col("node").alias("_n"), F.col("root").alias("_far"))
-        labels = stored(spread.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", "_far").alias("root")), "labels")
+        # a label is a node and so has a label of its own
+        jump = spread.select(F.col("node").alias("root"), F.col("root").alias("_far"))
+        labels = stored(spread_join(spread.select("node", "root"), jump, "root").select("node", F.least("root", "_far").alias("root")), "labels")
 
 
 def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -403,21 +415,17 @@ _CHECKED = "node binary, root binary, links long, texts long, parted boolean"
 
 
 def _checked(rows: list[dict], similarity: float) -> pa.RecordBatch:
-    """Links of the sets of one task; of those in two blocks, only links between the blocks."""
+    """Links of the sets of one task that holds a whole group."""
     rows = list({r["node"]: r for r in rows}.values())
     linked = similar([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows], similarity)
-    parted = "block" in rows[0]
     label = _labels(linked)
-    if parted and rows[0]["low"] != rows[0]["high"]:
-        block = np.array([r["block"] for r in rows])
-        linked &= block[:, None] != block[None, :]  # pairs inside a block are counted elsewhere
     weights = np.array([r["weight"] for r in rows], dtype=np.int64)
     columns = [
         pa.array([r["node"] for r in rows], pa.binary()),
         pa.array([rows[k]["node"] for k in label], pa.binary()),
         pa.array(linked.astype(np.int64) @ weights),
         pa.array(linked.sum(axis=1).astype(np.int64)),
-        pa.array([parted] * len(rows)),
+        pa.array([False] * len(rows)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["node", "root", "links", "texts", "parted"])
 
@@ -434,78 +442,134 @@ def _checked_small(read: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(check, _CHECKED)
 
 
-def centre_of(sets: list[np.ndarray]) -> np.ndarray:
-    """The shingles that at least half of the sets hold."""
-    if not sets:
-        return np.zeros(0, dtype=np.uint64)
-    found, n = np.unique(np.concatenate(sets), return_counts=True)
-    return found[2 * n >= len(sets)]
+def ratio(similarity: float) -> tuple[int, int]:
+    """p and q such that two sets are as similar just if their symmetric difference is at most p / q of their sizes' sum."""
+    s = Fraction(similarity).limit_denominator(10_000)
+    k = (1 - s) / (1 + s)
+    return k.numerator, k.denominator
 
 
-def ring_of(tokens: np.ndarray, centre: np.ndarray, similarity: float) -> int:
-    """Number of the ring around the centre that a set lies in, by its Jaccard distance."""
-    both = len(np.intersect1d(tokens, centre, assume_unique=True))
-    distance = 1 - both / max(1, len(tokens) + len(centre) - both)
-    return int(distance / max(1e-9, 1 - similarity) * RINGS + 1e-9)
+def difference(tokens: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """What a set has more and less than the centre, sorted: what it has more, which is rare, comes first."""
+    more, less = np.setdiff1d(tokens, centre, assume_unique=True), np.setdiff1d(centre, tokens, assume_unique=True)
+    return np.sort(np.concatenate([more >> _U(1), less >> _U(1) | _U(1 << 63)]))
 
 
-def _checked_large(large: DataFrame, similarity: float) -> list[DataFrame]:
-    """Edges and links of groups that are too large for one task.
+def _centres(large: DataFrame) -> DataFrame:
+    """root and centre: the shingles that at least half of about CENTRE sets of the group hold."""
+    drawn = large.where(F.pmod(F.xxhash64("node"), F.col("size")) < CENTRE).select("root", "tokens")
+    taken = drawn.groupBy("root").agg(F.count("*").alias("sets"))
 
-    With rings of a quarter of the distance of a link, sets in rings whose
-    numbers add up to at most two are linked for certain, and sets four whole
-    rings apart are not; both by the triangle inequality, both without meeting.
-    """
-    count = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    drawn = large.where(F.pmod(F.xxhash64("node"), F.col("size")) < CENTRE).groupBy("root", "size").agg(F.collect_list("tokens").alias("drawn"))
+    def each(batches):
+        for batch in batches:
+            sets = [np.frombuffer(t, dtype=np.int64) for t in batch.column("tokens").to_pylist()]
+            of = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("root").take(pa.array(of)), pa.array(np.concatenate(sets))], names=["root", "token"])
 
-    def centres(column: pa.Array) -> pa.Array:
-        return pa.array([centre_of([np.frombuffer(t, dtype=np.uint64) for t in sets]).tobytes() for sets in column.to_pylist()], pa.binary())
+    held = drawn.mapInArrow(each, "root binary, token long").groupBy("root", "token").agg(F.count("*").alias("n"))
+    return held.join(taken, "root").where(2 * F.col("n") >= F.col("sets")).groupBy("root").agg(F.collect_list("token").alias("centre"))
 
-    made = drawn.select("root", F.arrow_udf(centres, "binary")("drawn").alias("centre"), F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"))
 
-    def rings(tokens: pa.Array, centre: pa.Array) -> pa.Array:
-        claim("jaccard")
-        pairs = zip(tokens.to_pylist(), centre.to_pylist())
-        return pa.array([ring_of(np.frombuffer(t, dtype=np.uint64), np.frombuffer(c or b"", dtype=np.uint64), similarity) for t, c in pairs], pa.int32())
-
-    # salted, since a group may be a large part of all rows
-    salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), count).cast("int"))
-    placed = salted.join(stored(made, "centres", ROWS), ["root", "salt"], "left")
-    placed = stored(placed.select("root", "node", "weight", "size", "tokens", F.arrow_udf(rings, "int")("tokens", "centre").alias("ring")), "rings", ROWS)
-
-    # a row for each group, with at most RINGS / (1 - similarity) rings
-    each = placed.groupBy("root", "size", "ring").agg(F.count("*").alias("sets"), F.sum("weight").alias("weights"), F.min("node").alias("head"))
-    each = each.groupBy("root", "size").agg(F.collect_list(F.struct("ring", "sets", "weights", "head")).alias("all"))
-    each = stored(each.select("root", F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"), "all"), "ringsizes")
-    known = placed.withColumn("salt", F.pmod(F.xxhash64("node"), count).cast("int")).join(each, ["root", "salt"])
-
-    sure = F.filter("all", lambda r: r["ring"] + F.col("ring") <= RINGS - 2)
-    own = F.when(2 * F.col("ring") <= RINGS - 2, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    total = lambda field: F.aggregate(sure, F.lit(0).cast("long"), lambda n, r: n + r[field])
-    certain = known.select(
-        "node",
-        # the least set of those it is linked to: they all are linked to the innermost ring that is not empty
-        F.coalesce(F.array_min(F.transform(sure, lambda r: F.struct(r["ring"].alias("ring"), r["head"].alias("head"))))["head"], F.col("node")).alias("root"),
-        (total("weights") - own * F.col("weight")).alias("links"),
-        (total("sets") - own).alias("texts"),
-        F.lit(True).alias("parted"),
-    )
+def _compared(rows: list[dict], q: int) -> pa.RecordBatch:
+    """Links, among those not certain, of the sets of one task, by their differences; of two blocks, only links between them."""
+    rows = list({r["node"]: r for r in rows}.values())
+    sets = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows]
+    slack = np.array([r["slack"] for r in rows], dtype=np.int64)
+    both = slack[:, None] + slack[None, :]
+    linked = (both < 0) & (2 * q * overlaps(sets) >= -both)
+    np.fill_diagonal(linked, False)
+    if rows[0]["low"] != rows[0]["high"]:
+        block = np.array([r["block"] for r in rows])
+        linked &= block[:, None] != block[None, :]
+    label = _labels(linked)
+    weights = np.array([r["weight"] for r in rows], dtype=np.int64)
+    kept = np.flatnonzero(linked.any(axis=1))
+    columns = [
+        pa.array([rows[k]["node"] for k in kept], pa.binary()),
+        pa.array([rows[label[k]]["node"] for k in kept], pa.binary()),
+        pa.array((linked.astype(np.int64) @ weights)[kept]),
+        pa.array(linked.sum(axis=1).astype(np.int64)[kept]),
+        pa.array([True] * len(kept), pa.bool_()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "root", "links", "texts", "parted"])
+
+
+def _known(large: DataFrame, similarity: float) -> DataFrame:
+    """Sets of large groups with their difference (tokens), its size (deep), their slack and ring, all rings of the group, and how many sets they are linked to for certain.
 
-    near = F.filter("all", lambda r: (r["ring"] + F.col("ring") > RINGS - 2) & (F.abs(r["ring"] - F.col("ring")) <= RINGS))
-    number = lambda ring, block: ring.cast("long") * F.lit(1 << 32) + block
-    blocks = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0), F.ceil(r["sets"] / F.lit(BLOCK)).cast("int") - 1), lambda b: number(r["ring"], b))))
+    With n shingles and d in its difference, a set has the slack p n - q d. By
+    counting, two sets are linked just if q times twice what their differences
+    share is at least what both slacks together lack; so they are for certain
+    if these lack nothing, which needs no more than how many sets of each
+    slack there are, and all such sets are linked to the one of most slack.
+    """
+    p, q = ratio(similarity)
+    salts = F.ceil(F.col("size") / F.lit(BLOCK * 16)).cast("int")
+    made = _centres(large).join(large.select("root", salts.alias("salts")).distinct(), "root").select("root", "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salt = F.pmod(F.xxhash64("node"), salts).cast("int")
+
+    def measure(tokens: pa.Array, centre: pa.Array) -> pa.Array:
+        claim("jaccard")
+        out, slack, deep = [], [], []
+        for t, c in zip(tokens.to_pylist(), centre.to_pylist()):
+            own = np.frombuffer(t, dtype=np.uint64)
+            d = difference(own, np.sort(np.array(c or [], dtype=np.int64).view(np.uint64)))
+            out.append(d.tobytes())
+            deep.append(len(d))
+            slack.append(p * len(own) - q * len(d))
+        return pa.StructArray.from_arrays([pa.array(slack, pa.int64()), pa.array(deep, pa.int64()), pa.array(out, pa.binary())], ["slack", "deep", "tokens"])
+
+    placed = large.withColumn("salt", salt).join(stored(made, "centres"), ["root", "salt"], "left")
+    measured = F.arrow_udf(measure, "struct<slack:bigint,deep:bigint,tokens:binary>").asNondeterministic()("tokens", "centre")
+    placed = stored(placed.select("root", "node", "weight", "size", measured.alias("m")).select("root", "node", "weight", "size", "m.*"), "placed")
+
+    # how many sets have each slack: as many rows as there are different slacks, which the longest text bounds
+    each = stored(placed.groupBy("root", "size", "slack").agg(F.count("*").alias("sets"), F.sum("weight").alias("weights"), F.min("node").alias("head"), F.max("deep").alias("deep")), "slacks")
+    zero = F.lit(0).cast("long")
+    given = each.select("root", F.col("slack").alias("at"), F.lit(0).alias("asks"), "sets", "weights", zero.alias("slack"))
+    asked = each.select("root", (-F.col("slack")).alias("at"), F.lit(1).alias("asks"), zero.alias("sets"), zero.alias("weights"), "slack")
+    above = Window.partitionBy("root").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sure = given.unionByName(asked).select("root", "slack", "asks", F.sum("sets").over(above).alias("sure_sets"), F.sum("weights").over(above).alias("sure_weights")).where("asks = 1").drop("asks")
+    span = each.groupBy("root", "size").agg(F.min("slack").alias("least"), F.max("slack").alias("most"), F.max_by("head", "slack").alias("head"))
+    width = F.ceil((F.col("most") - F.col("least") + 1) / RINGS).cast("long")
+    ring_of = F.floor((F.col("slack") - F.col("least")) / width).cast("long")
+    rings = each.join(span.drop("size", "head"), "root").withColumn("ring", ring_of).groupBy("root", "ring").agg(F.sum("sets").alias("sets"), F.min("slack").alias("low"), F.max("slack").alias("high"), F.max("deep").alias("deep"))
+    rings = rings.groupBy("root").agg(F.collect_list(F.struct("ring", "sets", "low", "high", "deep")).alias("all"))  # RINGS at most
+    told = sure.join(span, "root").join(rings, "root").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return stored(placed.withColumn("salt", salt).join(told.drop("size"), ["root", "slack", "salt"]).withColumn("ring", ring_of).drop("salt", "least"), "known")
+
+
+def _certain(known: DataFrame) -> DataFrame:
+    """Links that slacks alone make certain, and to which set of the group they lead."""
+    own = F.when(F.col("slack") >= 0, 1).otherwise(0).cast("long")
+    near = F.col("slack") + F.col("most") >= 0
+    return known.select("node", F.when(near, F.col("head")).otherwise(F.col("node")).alias("root"), (F.col("sure_weights") - own * F.col("weight")).alias("links"), (F.col("sure_sets") - own).alias("texts"), F.lit(True).alias("parted"))
+
+
+def _meetings(known: DataFrame, q: int) -> DataFrame:
+    """The sets that meet in each task, since rings of theirs may be linked without being so for certain: enough of their differences must be shared."""
+    lacks = lambda r: -(F.col("slack") + r["high"])
+    open_ = F.filter("all", lambda r: (F.col("slack") + r["low"] < 0) & (F.col("deep") > 0) & (lacks(r) <= 2 * q * F.least(F.col("deep"), r["deep"])))
     mine = F.filter("all", lambda r: r["ring"] == F.col("ring"))[0]["sets"]
-    block = number(F.col("ring"), F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(mine / F.lit(BLOCK))))
-    dealt = known.select("root", "node", "weight", "tokens", block.alias("block"), F.explode(blocks).alias("_o"))
-    dealt = dealt.select(F.concat_ws(":", F.hex("root"), F.least("block", "_o"), F.greatest("block", "_o")).alias("task"), F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "node", "weight", "tokens")
+    met = known.select("root", "node", "weight", "slack", "tokens", "ring", mine.alias("mine"), F.explode(open_).alias("r"))
+    blocks = F.ceil(F.col("mine") / BLOCK).cast("long")
+    block = F.col("ring") * (1 << 32) + F.pmod(F.xxhash64("node", F.lit(1)), blocks)
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("r.sets") / BLOCK).cast("long") - 1), lambda b: F.col("r.ring") * (1 << 32) + b)
+    met = met.withColumn("block", block).withColumn("other", F.explode(others))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return met.select(F.concat_ws(":", F.hex("root"), low, high).alias("task"), low.alias("low"), high.alias("high"), "block", "node", "weight", "slack", "tokens")
+
+
+def _checked_large(large: DataFrame, similarity: float) -> list[DataFrame]:
+    """Edges and links of groups that are too large for one task."""
+    known, q = _known(large, similarity), ratio(similarity)[1]
 
     def check(batches):
         claim("jaccard")
         for rows in _grouped(batches, "task"):
-            yield _checked(rows, similarity)
+            yield _compared(rows, q)
 
-    return [certain, dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(check, _CHECKED)]
+    return [_certain(known), _meetings(known, q).repartition("task").sortWithinPartitions("task", "node").mapInArrow(check, _CHECKED)]
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, runs: int | None = None) -> DataFrame:
@@ -521,7 +585,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     take no part.
     """
     spark, before = docs.sparkSession, written()
-    sets = stored(describe(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")), "text", similarity, words, runs), "sets", ROWS)
+    sets = stored(describe(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")), "text", similarity, words, runs), "sets")
     nodes = sets.where("n > 0").groupBy("set_hash").agg(
         F.min("_key").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
@@ -529,13 +593,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
 
     groups = _candidates(nodes, similarity)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    grouped = groups.join(sizes, "root").join(nodes.select(F.col("set_hash").alias("node"), "rep", "weight"), "node")
+    grouped = spread_join(groups, sizes, "root").join(nodes.select(F.col("set_hash").alias("node"), "rep", "weight"), "node")
     again = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
 
     def tokens(batches):
         """The shingles of each text, where they are those of the node it stands for."""
         claim("jaccard")
-        for batch in batches:
+        for batch in pieces_of(batches, ROWS):
             found = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
             mine = [xxhash.xxh3_128_digest(f) == node for f, node in zip(found, batch.column("node").to_pylist())]
             out = pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(found, pa.binary())], names=[*(n for n in batch.schema.names if n != "text"), "tokens"])
@@ -543,12 +607,12 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
 
     # as a map over the joined rows, so that only texts of candidate groups are read for shingles, once each
     read = again.join(grouped, "rep").select("root", "node", "weight", "size", "text").mapInArrow(tokens, "root binary, node binary, weight long, size long, tokens binary")
-    read = stored(read, "tokens", ROWS)
+    read = stored(read, "tokens")
     checked = [_checked_small(read.where(F.col("size") <= BUCKET), similarity)]
     large = read.where(F.col("size") > BUCKET)
     if not large.isEmpty():
         checked += _checked_large(large.dropDuplicates(["node"]), similarity)
-    checked = stored(functools.reduce(DataFrame.unionByName, checked), "checked", ROWS)
+    checked = stored(functools.reduce(DataFrame.unionByName, checked), "checked")
     parted = checked.where("parted").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = checked.where("not parted").select("node", "root")
     if not parted.isEmpty():
@@ -561,9 +625,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     placed = stored(placed, "placed")
     discard(spark, before, sets, placed)
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = placed.join(classes, "root").select("node", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("texts").alias("n_texts"))
+    named = spread_join(placed, classes, "root").select("node", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("texts").alias("n_texts"))
     zero = F.lit(0).cast("long")
-    worded = sets.where("n > 0").select("_key", "set_hash").join(named, F.col("set_hash") == F.col("node")).select(F.col("_key").alias(key), "class_id", "n_links", "n_texts")
+    worded = spread_join(sets.where("n > 0").select("_key", "set_hash"), named.withColumnRenamed("node", "set_hash"), "set_hash").select(F.col("_key").alias(key), "class_id", "n_links", "n_texts")
     bare = sets.where("n = 0").select(F.col("_key").alias(key), F.col("_key").alias("class_id"), zero.alias("n_links"), zero.alias("n_texts"))
     nameless = docs.where(F.col(key).isNull()).select(key, F.col(key).alias("class_id"), zero.alias("n_links"), zero.alias("n_texts"))
     return worded.unionByName(bare).unionByName(nameless)
