@@ -19,6 +19,7 @@ from thresher.operators import fragments as op
 from thresher.operators import similarity as sim
 from thresher.operators.nearindex import NearIndex
 from thresher.operators.vectorindex import VectorIndex
+from thresher.operators.weighted import DIMENSION, WeightedEmbedding
 from thresher.plans import pipeline as pl
 from thresher.scratch import place
 
@@ -400,6 +401,13 @@ def fragment_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.where("value > 0").select("id", "bin", F.round("value", 6).alias("value"))
 
 
+def weighted_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of each fragment's vector under a model fitted on all of them: forms of the scripts built from orders."""
+    found = NOTES.query()[0](spark, sf_dir).select(F.regexp_extract("path", r"_(\d+)", 1).cast("long").alias("id"), "processedCode")
+    model = WeightedEmbedding.fit(found, "processedCode", place(spark, "embedding"))
+    return model.embed(found, "processedCode", "id").select("id", "bin", F.round("value", 6).alias("value"))
+
+
 def near_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other fragments of each, from a similarity of 0.9 on."""
     return sim.near_duplicates(_fragment_forms(spark, sf_dir), "processedCode", "id", 0.9, 5)
@@ -431,14 +439,14 @@ SELECT * FROM ranked WHERE rank <= 5 AND similarity >= 0.9"""
 
 _NOTE = 'note() { return ship("«o_orderpriority»", «o_custkey», "«o_orderstatus»"); }'
 NOTES = Script("orders", "o_orderkey", "var notes = {\n  " + _NOTE + "\n};\n", [_NOTE])
-NEAR = 0.7
+NEAR = 0.76
 
 
 def near_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fragments near every two-hundredth one, among those of all scripts built from orders, by an index."""
+    """The fragments near every fiftieth one, among those of all scripts built from orders, by an index."""
     found = NOTES.query()[0](spark, sf_dir).select(F.regexp_extract("path", r"_(\d+)", 1).cast("long").alias("id"), "processedCode")
     index = NearIndex.build(found, "processedCode", "id", place(spark, "near-index"), NEAR)
-    return index.lookup(found.where("id % 200 = 0"), "processedCode", "id")
+    return index.lookup(found.where("id % 50 = 0"), "processedCode", "id")
 
 
 _LOOKUP_SQL = f"""
@@ -447,7 +455,7 @@ WITH forms AS (
 ), sets AS (
   SELECT min(id) AS first_key, count(*) AS copies, list_distinct(list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5))) AS g FROM forms GROUP BY p
 ), asked AS (
-  SELECT id AS query_id, list_distinct(list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5))) AS q FROM forms WHERE id % 200 = 0
+  SELECT id AS query_id, list_distinct(list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5))) AS q FROM forms WHERE id % 50 = 0
 ), pairs AS (
   SELECT query_id, first_key, copies, len(list_intersect(g, q)) AS b, len(g) + len(q) - len(list_intersect(g, q)) AS u FROM asked JOIN sets ON len(g) BETWEEN {NEAR} * len(q) - 1e-6 AND len(q) / {NEAR} + 1e-6
 )
@@ -455,6 +463,19 @@ SELECT query_id, first_key, copies, round(b / u, 6) AS similarity, CAST(row_numb
 FROM pairs WHERE b >= {NEAR} * u - 1e-9"""
 
 
+_WEIGHTED_SQL = f"""
+WITH forms AS (
+  SELECT CAST(regexp_extract(path, '_(\\d+)', 1) AS BIGINT) AS id, "processedCode" AS p FROM ({NOTES.rows_sql()})
+), grams AS (
+  SELECT id, CAST(CAST('0x' || substr(md5(substr(p, i, 4)), 1, 8) AS BIGINT) % {DIMENSION} AS INTEGER) AS bin FROM (SELECT id, p, unnest(range(1, length(p) - 2)) AS i FROM forms)
+), held AS (
+  SELECT bin, ln((1 + (SELECT count(*) FROM forms)) / (1 + count(DISTINCT id))) + 1 AS weight FROM grams GROUP BY bin
+), valued AS (
+  SELECT id, bin, count(*) * any_value(weight) AS value FROM grams JOIN held USING (bin) GROUP BY id, bin
+)
+SELECT id, bin, round(value / sqrt(sum(value * value) OVER (PARTITION BY id)), 6) AS value FROM valued"""
+
+
 _COSINE_SQL = """SELECT query_id, neighbor_id, similarity, CAST(rank AS INTEGER) AS rank FROM (
              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS rank FROM (
                SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
@@ -499,6 +520,7 @@ _PAIRS: dict[str, tuple[Query, str]] = {
     "vector_cosine_topk": (vector_cosine_topk, _COSINE_SQL),
     "vector_index_topk": (vector_index_topk, _COSINE_SQL),
     "fragment_embeddings": (fragment_embeddings, _EMBEDDINGS_SQL),
+    "weighted_embeddings": (weighted_embeddings, _WEIGHTED_SQL),
     "near_fragments": (near_fragments, _NEAR_SQL),
     "near_lookup": (near_lookup, _LOOKUP_SQL),
     "parse_problems": (parse_problems, _problems_sql()),
