@@ -103,7 +103,9 @@ def test_clashing_columns_and_empty_table(spark, odd_docs, no_docs, library):
     out = bytebpe.decode(bytebpe.encode(clash, bytebpe.default_path()), bytebpe.default_path())
     assert sorted(out.columns) == ["_block", "_text", "decoded", "doc_id", "ids"]
     assert sorted((str(r.doc_id), bytes(r.decoded).decode()) for r in out.collect()) == sorted((str(r.doc_id), r.text or "") for r in odd_docs.collect())
-    assert bytebpe.encode(no_docs, bytebpe.default_path()).collect() == []
+    both = bytebpe.encode(clash.withColumn("decoded", F.lit(1)), bytebpe.default_path(), decoded="decoded")
+    assert sorted(map(str, both.select(sorted(both.columns)).collect())) == sorted(map(str, out.select(sorted(out.columns)).collect()))
+    assert bytebpe.encode(no_docs, bytebpe.default_path(), decoded="decoded").collect() == []
 
 
 def test_documents_are_not_moved(spark, sf_small):

@@ -29,7 +29,9 @@ from thresher.llm._common import claim, fresh, stored_by, table, worker_cache
 from thresher.llm.bpe import SPACE
 
 #: Characters and different pieces of text in a block, about.
-LETTERS, PIECES = 32_000_000, 600_000
+LETTERS, PIECES = 24_000_000, 450_000
+#: Rows of a batch that are Python objects at a time.
+ROWS = 1024
 
 #: A space between two other characters, where no match of the pattern goes on but the one that the space begins.
 _SINGLE = re.compile(f" (?<![{SPACE}] )(?![{SPACE}])")
@@ -162,7 +164,7 @@ def _split(rows: DataFrame, path: str, pattern: str, names: _Names, parts: int)
             new = [pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
             return pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds), *new], names=schema.names)
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             kinds = [c.type for c in own]
             blocks, slots, full = [], [], []
@@ -204,22 +206,24 @@ def _encoded(dictionary: DataFrame, path: str, pattern: str, names: _Names, part
     return dictionary.repartitionById(parts, F.col(names.part)).mapInArrow(encode, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`df` with, in the place of each text, its ids, little-endian 32-bit.
+def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`df` with, in the place of each text, its ids, little-endian 32-bit, and what `decode` makes of them, if `decoded` names a column for it.
 
     Null text counts as empty and has no ids. Texts of any length are encoded
     whole; equal texts give equal values, rows that repeat stay rows; an empty
-    table stays empty. A column already named `ids` is replaced, all others
-    but the text stay.
+    table stays empty. Columns already named `ids` or `decoded` are replaced,
+    all others but the text stay. Decoding along the way spares a second
+    worker for each task.
     """
     pattern = pattern or default_pattern()
-    order = [c for c in df.columns if c not in (text, ids)]
+    order = [c for c in df.columns if c not in (text, ids, decoded)]
     names = _Names(df)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = stored_by(_split(df.select(*order, F.col(text).alias(names.text)), path, pattern, names, parts), "words", names.block)
     found = _encoded(split.where(F.col(names.part).isNotNull()).select(names.block, names.part, *names.packed), path, pattern, names, parts)
     docs = split.where(F.col(names.part).isNull()).select(*order, names.block, names.slots)
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name in order), T.StructField(ids, T.BinaryType())])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name in order), *(T.StructField(c, T.BinaryType()) for c in (ids, decoded) if c)])
+    tokens = _shared_tokens(df.sparkSession, path) if decoded else None
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         claim("bytebpe")
@@ -227,12 +231,34 @@ def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "te
         of = np.empty(sum(len(places) for places, _ in rows), dtype=object)
         for places, values in rows:
             of[places] = values
-        whole = [b"".join(of[_from_planes(raw)].tolist()) for raw in left.column(names.slots).to_pylist()]
-        return left.select(order).append_column(ids, pa.array(whole, pa.binary()))
+        slots, whole, back = left.column(names.slots), [], []
+        for at in range(0, len(slots), ROWS):
+            found = [b"".join(of[_from_planes(raw)].tolist()) for raw in slots.slice(at, ROWS).to_pylist()]
+            whole.append(pa.array(found, pa.binary()))
+            if tokens:
+                back.append(pa.array([_bytes_of(raw, tokens.value) for raw in found], pa.binary()))
+        out = left.select(order).append_column(ids, pa.chunked_array(whole, pa.binary()))
+        return out.append_column(decoded, pa.chunked_array(back, pa.binary())) if tokens else out
 
     return docs.groupBy(names.block).cogroup(found.groupBy(names.block)).applyInArrow(assemble, schema)
 
 
+def _shared_tokens(spark: SparkSession, path: str):
+    """The bytes of each token by its id, for the workers."""
+    ranks = read_ranks(path)
+    tokens = np.full(max(ranks.values(), default=-1) + 1, None, dtype=object)
+    tokens[list(ranks.values())] = list(ranks)
+    return spark.sparkContext.broadcast(tokens)
+
+
+def _bytes_of(raw: bytes | None, tokens: np.ndarray) -> bytes | None:
+    at = np.frombuffer(raw or b"", dtype="<u4")
+    if raw is None or (len(at) and at.max() >= len(tokens)):
+        return None
+    found = tokens[at].tolist()
+    return None if None in found else b"".join(found)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`df` with the bytes that each row's ids, little-endian 32-bit, decode to.
 
@@ -241,20 +267,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     already named `decoded` is replaced, all others stay. The table of token
     bytes is joined on the side of the rows: its length is the vocabulary's.
     """
-    ranks = read_ranks(path)
-    tokens = np.full(max(ranks.values(), default=-1) + 1, None, dtype=object)
-    tokens[list(ranks.values())] = list(ranks)
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
-
-    def joined(raw: bytes | None) -> bytes | None:
-        at = np.frombuffer(raw or b"", dtype="<u4")
-        if raw is None or (len(at) and at.max() >= len(shared.value)):
-            return None
-        found = shared.value[at].tolist()
-        return None if None in found else b"".join(found)
+    shared = _shared_tokens(df.sparkSession, path)
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([joined(raw) for raw in column.to_pylist()], pa.binary())
+        return pa.array([_bytes_of(raw, shared.value) for raw in column.to_pylist()], pa.binary())
 
     return df.withColumn(decoded, F.arrow_udf(run, "binary")(ids))
 
@@ -273,5 +289,5 @@ def default_pattern() -> str:
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests; null text counts as empty, rows that repeat an id are encoded each."""
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path()), default_path())
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path(), decoded="decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
