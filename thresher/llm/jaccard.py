@@ -141,7 +141,12 @@ def picks(parents: np.ndarray, tokens: np.ndarray, share: float) -> tuple[np.nda
 
 
 def describe(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, runs: int | None = None) -> DataFrame:
-    """`docs` without the text, with set_hash, n (shingles), sketch and paths (the buckets of all levels)."""
+    """`docs` without the text, with set_hash, n (shingles), sketch and paths (the buckets of all levels).
+
+    Null texts, empty ones and those without a word have n = 0 and no path;
+    equal texts get equal values, rows that repeat stay rows; an empty table
+    stays empty. Columns of `docs` must not have these names.
+    """
     runs = runs or runs_for()
 
     def run(texts: pa.Array) -> pa.Array:

@@ -184,7 +184,7 @@ def _length(docs: DataFrame) -> Column:
 
 
 def probability(df: DataFrame, model: FactorisationMachine) -> Column:
-    """The probability that each text of `df` is good, as a column."""
+    """The probability that each text of `df` is good, as a column, by the rules of `classify`: null text counts as empty and has a score too."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array, lengths: pa.Array) -> pa.Array:
