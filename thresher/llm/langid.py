@@ -29,9 +29,9 @@ ROUNDS = 3
 #: Pseudo-counts that each language gets from the pieces of all languages together.
 SMOOTHING = 2000.0
 #: Texts whose words are summed together.
-TEXTS = 4096
+TEXTS = 1536
 #: Sums that are held at a time, in letters by languages.
-CELLS = 2_000_000
+CELLS = 1_000_000
 #: Confidence under which the pipeline's stage rejects a document.
 MIN_SCORE = 0.5
 #: The prediction for text that is null or has no letter.
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key:
 
 
 def prediction(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """struct<lang, score> of each text of `df`, as a column."""
+    """struct<lang, score> of each text of `df`, as a column, by the rules of `detect`: null and empty texts and those without a letter are `und` with 0."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:
