@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import tempfile
 import uuid
 import weakref
@@ -100,6 +103,9 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         del _WRITTEN[name]
 
 
+#: The C library's call for that, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 _CACHES: dict[str, list] = {}
 _OWNER = [""]
 
@@ -122,6 +128,9 @@ def claim(owner: str) -> None:
                 for cache in caches:
                     cache.clear()
         pa.default_memory_pool().release_unused()
+        gc.collect()
+        if _TRIM is not None:
+            _TRIM(0)  # what the allocator keeps for later goes back to the machine
 
 
 def pieces_of(batches, rows: int = 128):
