@@ -21,7 +21,7 @@ from thresher.operators.nearindex import NearIndex
 from thresher.operators.vectorindex import VectorIndex
 from thresher.operators.weighted import DIMENSION, WeightedEmbedding
 from thresher.plans import pipeline as pl
-from thresher.scratch import place
+from thresher.scratch import place, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -401,9 +401,14 @@ def fragment_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.where("value > 0").select("id", "bin", F.round("value", 6).alias("value"))
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of the scripts built from orders, numbered by order."""
+    return NOTES.query()[0](spark, sf_dir).select(F.regexp_extract("path", r"_(\d+)", 1).cast("long").alias("id"), "processedCode")
+
+
 def weighted_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of each fragment's vector under a model fitted on all of them: forms of the scripts built from orders."""
-    found = NOTES.query()[0](spark, sf_dir).select(F.regexp_extract("path", r"_(\d+)", 1).cast("long").alias("id"), "processedCode")
+    found = _notes(spark, sf_dir)
     model = WeightedEmbedding.fit(found, "processedCode", place(spark, "embedding"))
     return model.embed(found, "processedCode", "id").select("id", "bin", F.round("value", 6).alias("value"))
 
@@ -444,7 +449,7 @@ NEAR = 0.76
 
 def near_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fragments near every fiftieth one, among those of all scripts built from orders, by an index."""
-    found = NOTES.query()[0](spark, sf_dir).select(F.regexp_extract("path", r"_(\d+)", 1).cast("long").alias("id"), "processedCode")
+    found = stored(_notes(spark, sf_dir), "notes")
     index = NearIndex.build(found, "processedCode", "id", place(spark, "near-index"), NEAR)
     return index.lookup(found.where("id % 50 = 0"), "processedCode", "id")
 
