@@ -116,6 +116,18 @@ def test_work_of_a_hot_group_is_in_proportion(spark, monkeypatch):
     assert rows[400] <= 5 * max(rows[100], 100)
 
 
+def test_buckets_of_one_group_share_their_leaders(spark, monkeypatch):
+    """A set is in many buckets of its group and hangs on few leaders all the same: not on others in each bucket."""
+    monkeypatch.setattr(jaccard, "BUCKET", 16)
+    docs = copies(random.Random(5), 400, 2)
+    df = spark.createDataFrame(docs, DOCS)
+    nodes = jaccard.describe(df, "text").select("set_hash", "n", "sketch", "paths").dropDuplicates(["set_hash"])
+    nodes = jaccard.stored(nodes, "nodes")
+    edges, _ = jaccard._led(jaccard._levels(nodes)[1], nodes, 0.8)
+    sets = edges.union(edges.select("b", "a")).select("a").distinct().count()
+    assert sets > 200 and edges.distinct().count() < 5 * sets, (sets, edges.distinct().count())
+
+
 def near_threshold(rng, n):
     """Copies that all differ from one text in four or five words, so that they lie about the threshold."""
     base = [f"b{i}" for i in range(200)]

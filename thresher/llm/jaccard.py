@@ -338,11 +338,12 @@ def _led(large: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFra
     while True:
         turn += 1
         count = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        lead = F.pmod(F.xxhash64("bucket", "set_hash", F.lit(turn)), F.col("size")) < LEADERS
+        draw = F.pmod(F.xxhash64("set_hash", F.lit(turn)), F.lit(1 << 31))  # one for all buckets of a set, so that they draw the same leaders
+        lead = draw * F.col("size") < LEADERS << 31
         own = F.pmod(F.xxhash64("set_hash", F.lit(turn)), count).cast("int")
         dealt = large.withColumn("lead", lead).withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), count - 1)).otherwise(F.array(own))))
-        dealt = dealt.join(nodes.select("set_hash", "sketch"), "set_hash").select(F.concat_ws(":", "bucket", "block").alias("task"), "bucket", "size", "set_hash", "lead", "sketch")
-        dealt = dealt.repartition("task").sortWithinPartitions("task", "set_hash")
+        dealt = dealt.join(nodes.select("set_hash", "sketch"), "set_hash").select(F.concat_ws(":", "bucket", "block").alias("task"), "bucket", "size", "set_hash", "lead", draw.alias("draw"), "sketch")
+        dealt = dealt.repartition("task").sortWithinPartitions("task", "draw", "set_hash")
 
         def gather(batches):
             claim("jaccard")
