@@ -31,3 +31,13 @@ def test_entry(spark, sf_small):
 
     assert __spark_entry__.entry(spark).columns == ["code", "start", "end", "processedCode", "path"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_task_parses_so_many_files_however_large_the_table(spark, sf_small, monkeypatch):
+    from thresher.plans import pipeline, queries
+
+    monkeypatch.setattr(pipeline, "TASK_FILES", 100)
+    rows = queries.NO_SCOPE.files(spark, sf_small).count()
+    assert rows > 1000
+    tasks = [q(spark, sf_small).rdd.getNumPartitions() for q in (queries.NO_SCOPE.query()[0], queries.pipeline_end_to_end)]
+    assert min(tasks) >= rows / 100

@@ -16,20 +16,30 @@ from thresher.sources import files, git
 BATCH_SIZE = 50
 
 
-def spread(rows: DataFrame, workers: int | None = None) -> DataFrame:
-    """`rows` dealt to `workers` tasks, all cores by default, where they lie in fewer; else as they are."""
-    workers = workers or rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(workers) if rows.rdd.getNumPartitions() < workers else rows
+#: Files that a task parses, about: a task lasts seconds, however large the table.
+TASK_FILES = 50_000
+
+
+def spread(rows: DataFrame, workers: int | None = None, files_: int | None = None) -> DataFrame:
+    """`rows` dealt to `workers` tasks, all cores by default, and to more where each would have over about TASK_FILES of `files_` rows; else as they are.
+
+    Unless it is given, the number of rows is counted, which for a scan of
+    columns costs no more than its footers.
+    """
+    most = rows.count() if files_ is None else files_
+    tasks = max(workers or rows.sparkSession.sparkContext.defaultParallelism, -(-most // TASK_FILES))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def analyse(found: DataFrame, folders: Iterable[str] = (), rules: Rules = DEFAULT, workers: int | None = None) -> DataFrame:
     """Chunks of the eligible files of a scan: path, fragments.
 
     No shuffle, unless the scan gives less than `workers` partitions, if that
-    is given: then eligible files are dealt to so many before they are parsed.
+    is given: then eligible files are dealt to so many, or more if these are
+    large, before they are parsed.
     """
     files_ = op.eligible_files(found, folders, rules)
-    return op.chunks(files_ if workers is None else spread(files_.select("path", "text"), workers))
+    return op.chunks(files_ if workers is None else spread(files_.select("path", "text"), workers, found.count()))
 
 
 def analyse_evenly(found: DataFrame, tasks: int, folders: Iterable[str] = (), rules: Rules = DEFAULT) -> DataFrame:

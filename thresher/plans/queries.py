@@ -245,8 +245,10 @@ class Script:
     def sql(self, template: str) -> str:
         return "(" + " || ".join(f"CAST({p} AS VARCHAR)" if is_column else _sql_text(p) for is_column, p in self._parts(template)) + ")"
 
-    def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, self.rows).select(self.column(self.path).alias("path"), self.column(self.text).alias("text"))
+    def files(self, spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+        """The scripts of a table; its rows are dealt to tasks before scripts are made of them, if asked for."""
+        rows = table(spark, sf_dir, self.rows).select(*sorted({p for t in (self.path, self.text) for is_column, p in self._parts(t) if is_column}))
+        return (pl.spread(rows) if dealt else rows).select(self.column(self.path).alias("path"), self.column(self.text).alias("text"))
 
     def lines(self, function: str) -> tuple[int, int]:
         at = self.text.index(function)
@@ -254,7 +256,7 @@ class Script:
 
     def query(self) -> tuple[Query, str]:
         def run(spark, sf_dir):
-            return op.fragments(pl.spread(self.files(spark, sf_dir)))
+            return op.fragments(self.files(spark, sf_dir, dealt=True))
 
         return run, self.rows_sql()
 
