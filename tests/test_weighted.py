@@ -37,3 +37,19 @@ def test_no_worker_of_python(spark, tmp_path):
     assert out.collect() == []
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_one_key_count_as_one_text_and_others_are_not_shuffled(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "id long, form string")
+    model = WeightedEmbedding.fit(df, "form", str(tmp_path / "model"), 32, 3)
+    weight = {r.bin: r.weight for r in model.weights.collect()}
+    asked = [(1, "aaaaaaaa"), (1, ROWS[0][1]), (2, ROWS[0][1]), (2, None), (3, "return 1return 2"), (4, "ab")]
+    got = {(r.id, r.bin): r.value for r in model.embed(spark.createDataFrame(asked, df.schema), "form", "id").collect()}
+    want = {}
+    for key in (1, 2, 3):
+        values = {b: n * weight.get(b, math.log(1 + len(ROWS)) + 1) for b, n in Counter(b for k, t in asked if k == key for b in plain_bins(t)).items()}
+        size = math.sqrt(sum(v * v for v in values.values()))
+        want |= {(key, b): v / size for b, v in values.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    single = model.embed(spark.createDataFrame(asked[-2:], df.schema), "form", "id")
+    assert "hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()

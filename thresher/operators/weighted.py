@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thresher.scratch import stored
+
 DIMENSION, GRAM = 1024, 4
 
 
@@ -49,11 +51,44 @@ class WeightedEmbedding:
         """key, bin and value of the components that aren't zero, of vectors of length one; rows with one key are one text after the other.
 
         Null keys and forms without an n-gram have no component; an empty
-        table gives no row. Counting starts before the shuffle.
+        table gives no row. A row whose key no other has is counted where it
+        lies; `rows` is read twice to tell which these are, so it should be
+        stored. For the others counting starts before the shuffle.
         """
-        counted = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(bins(F.col(form), self.dimension, self.gram)).alias("bin")).groupBy("key", "bin").agg(F.count("*").alias("n"))
+        rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(form).alias("form"))
+        repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+        if repeated.isEmpty():
+            return self._alone(rows).withColumnRenamed("key", key)
+        alone = self._alone(rows.join(repeated, "key", "left_anti"))
+        return alone.unionByName(self._together(rows.join(repeated, "key", "left_semi"))).withColumnRenamed("key", key)
+
+    def _alone(self, rows: DataFrame) -> DataFrame:
+        """Components of texts each by itself, without a shuffle."""
+        dense = self.weights.agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("m"))  # one row, of as many weights as bins
+        unseen = F.log(F.lit(1.0 + self.fragments)) + 1
+        dense = dense.select(F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda b: F.coalesce(F.try_element_at("m", b), unseen)).alias("weights"))
+
+        def runs(s: Column) -> Column:
+            last = F.size(s) - 1
+            return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(s, i) != F.get(s, i + 1)))).otherwise(F.array().cast("array<int>"))
+
+        def valued(s: Column, ends: Column) -> Column:
+            return F.transform(ends, lambda e, k: F.struct(F.get(s, e).alias("bin"), ((e - F.coalesce(F.get(ends, k - 1), F.lit(-1))) * F.get("weights", F.get(s, e))).alias("value")))
+
+        def unit(values: Column) -> Column:
+            length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, v: t + v["value"] * v["value"]))
+            return F.transform(F.array(length), lambda n: F.transform(values, lambda v: F.struct(v["bin"].alias("bin"), (v["value"] / n).alias("value"))))[0]
+
+        # each step is bound to a variable, so that it is worked out once
+        bound = lambda x, f: F.transform(F.array(x), f)[0]
+        parts = bound(F.sort_array(bins(F.col("form"), self.dimension, self.gram)), lambda s: bound(runs(s), lambda ends: bound(valued(s, ends), unit)))
+        return rows.crossJoin(F.broadcast(dense)).select("key", F.explode(parts).alias("c")).select("key", "c.bin", "c.value")
+
+    def _together(self, rows: DataFrame) -> DataFrame:
+        """Components of the texts of keys that several rows have."""
+        counted = rows.select("key", F.explode(bins(F.col("form"), self.dimension, self.gram)).alias("bin")).groupBy("key", "bin").agg(F.count("*").alias("n"))
         unseen = F.log(F.lit(1.0 + self.fragments)) + 1
         valued = counted.join(F.broadcast(self.weights), "bin", "left").select("key", "bin", (F.col("n") * F.coalesce("weight", unseen)).alias("value"))
         # a key has as many rows as there are bins at most
         whole = valued.groupBy("key").agg(F.collect_list(F.struct("bin", "value")).alias("all"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-        return whole.select(F.col("key").alias(key), F.explode("all").alias("c"), "length").select(key, "c.bin", (F.col("c.value") / F.col("length")).alias("value"))
+        return whole.select("key", F.explode("all").alias("c"), "length").select("key", "c.bin", (F.col("c.value") / F.col("length")).alias("value"))
