@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from thresher.operators import jsparse
 from thresher.operators.jsparse import extract, fragments, problems
 
 CASES = [
@@ -96,3 +97,20 @@ def test_deep_nesting_needs_no_recursion():
     began = time.time()
     assert extract("x=" + "{a:" * 50_000 + "1" + "}" * 50_000) == []
     assert time.time() - began < 30
+
+
+def test_texts_that_differ_in_digits_alone_are_parsed_once(monkeypatch):
+    made, kept = [], jsparse.extract
+    monkeypatch.setattr(jsparse, "extract", lambda text: made.append(text) or kept(text))
+    for n in (7, 12, 99999):
+        code = f"once() {{ return {n} + '{n}-{n}'; }}"
+        assert fragments(f"var alike = {{\n  {code}, b: y => y * {n}\n}}; // {n}") == [(code, 2, 2), (f"y => y * {n}", 2, 2)]
+    assert len(made) == 1
+
+
+def test_digits_that_mean_something_are_told_apart():
+    rng = random.Random(5)
+    bits = ["1", "12", "0x1F", "0", "x", "_9", "$8", "\\u{41}", "\\u0041", ".5", "?.5:1", "1e+5", "12n", "1_0", "/[0-9]{1,22}/g", "'\\12'", "`${ 34 }5`", "<a b=12-5>77</a>", "é12", "²", "x={", "a(){", "}", "b:()=>12", ",", "(", ")", ";", " ", "\n", "//12", "/*3*/", ".extend(1,{", "++", "class A{", "#7", "1..a"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 25)))
+        assert fragments(text) == [(text[a:b], text.count("\n", 0, a) + 1, text.count("\n", 0, b) + 1) for a, b in extract(text)], text

@@ -4,7 +4,10 @@ import hashlib
 import math
 from collections import Counter
 
-from thresher.operators.weighted import WeightedEmbedding
+from pyspark.sql import functions as F
+
+from thresher.operators.weighted import WeightedEmbedding, bins
+from thresher.scratch import stored
 
 
 def plain_bins(text, dimension=32, gram=3):
@@ -53,3 +56,15 @@ def test_rows_of_one_key_count_as_one_text_and_others_are_not_shuffled(spark, tm
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     single = model.embed(spark.createDataFrame(asked[-2:], df.schema), "form", "id")
     assert "hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_bins_stand_for_texts_and_no_row_carries_the_weights(spark, tmp_path):
+    df = spark.createDataFrame([r for r in ROWS if r[0] is not None], "id long, form string").repartition(3)
+    for dimension in (32, 1000, 1024):
+        binned = stored(df.select("id", bins(F.col("form"), dimension, 3).alias("bins")), "bins")
+        assert {r.id: list(r.bins) for r in binned.collect()} == {k: plain_bins(t, dimension) for k, t in df.collect()}
+        by_text = WeightedEmbedding.fit(df, "form", str(tmp_path / f"text{dimension}"), dimension, 3)
+        by_bins = WeightedEmbedding.fit(binned, "bins", str(tmp_path / f"bins{dimension}"), dimension, 3)
+        out = by_bins.embed(binned, "bins", "id")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, by_text.embed(df, "form", "id").collect())) != []
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()

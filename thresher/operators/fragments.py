@@ -16,19 +16,18 @@ from thresher.schema import SPANS
 
 log = logging.getLogger(__name__)
 
-_ARROW = pa.list_(pa.struct([("code", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
 
 def _parse(texts: pa.Array) -> pa.Array:
-    out = []
+    flat, ends = [], [0]
     for text in texts.to_pylist():
         try:
-            found = jsparse.fragments(text) if text else []
+            flat += jsparse.fragments(text) if text else []
         except Exception as e:  # whatever is wrong with a file, the others go on
             log.warning("no functions read: %s", e)
-            found = []
-        out.append([{"code": c, "start": a, "end": b} for c, a, b in found])
-    return pa.array(out, _ARROW)
+        ends.append(len(flat))
+    code, start, end = zip(*flat, strict=True) if flat else ((), (), ())
+    rows = pa.StructArray.from_arrays([pa.array(code, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["code", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def functions_of(text: Column) -> Column:

@@ -6,8 +6,12 @@ for each bin that a fragment fell into when the model was fitted.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from thresher.scratch import stored
 
@@ -16,13 +20,15 @@ DIMENSION, GRAM = 1024, 4
 
 def bins(form: Column, dimension: int = DIMENSION, gram: int = GRAM) -> Column:
     """The bin of each n-gram of a text, an array; none for null text and text shorter than one n-gram."""
-
-    def of(chars: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(chars) - gram), lambda i: F.concat(*[F.get(chars, i + k) for k in range(gram)]))
-        return F.when(F.size(chars) >= gram, F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long") % dimension).cast("int")))
-
-    chars = F.when(F.length(form) > 0, F.split(form, "")).otherwise(F.array().cast("array<string>"))
-    return F.coalesce(F.transform(F.array(chars), of)[0], F.array().cast("array<int>"))
+    bits = dimension.bit_length() - 1
+    if dimension == 1 << bits and bits <= 28:  # the last digits tell the remainder
+        digits = max(1, -(-bits // 4))
+        number = lambda g: F.conv(F.substring(F.md5(g), 9 - digits, digits), 16, 10).cast("int")
+    else:
+        number = lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")
+    grams = F.regexp_extract_all(form, F.lit(f"(?s)(?=(.{{{gram}}}))."), F.lit(1)).cast("array<binary>")
+    found = F.transform(grams, lambda g: (number(g) % dimension).cast("int"))
+    return F.coalesce(found, F.array().cast("array<int>"))
 
 
 class WeightedEmbedding:
@@ -33,11 +39,20 @@ class WeightedEmbedding:
         about = spark.read.parquet(f"{self.path}/about").first()
         self.dimension, self.gram, self.fragments = about["dimension"], about["gram"], about["fragments"]
 
+    @staticmethod
+    def _binned(rows: DataFrame, form: str, dimension: int, gram: int) -> Column:
+        """The bins of a column of texts, or of one that holds them already."""
+        return F.coalesce(form, F.array().cast("array<int>")) if rows.schema[form].dataType == ArrayType(IntegerType()) else bins(F.col(form), dimension, gram)
+
     @classmethod
     def fit(cls, rows: DataFrame, form: str, path: str, dimension: int = DIMENSION, gram: int = GRAM) -> WeightedEmbedding:
-        """Count in how many rows each bin occurs; null forms count as rows without an n-gram."""
+        """Count in how many rows each bin occurs; null forms count as rows without an n-gram.
+
+        Here and in `embed` the forms may be texts or their `bins` of the same
+        dimension and n-gram, which are worked out once if they are stored.
+        """
         spark, path = rows.sparkSession, path.rstrip("/")
-        held = rows.select(F.explode(F.array_distinct(bins(F.col(form), dimension, gram))).alias("bin"))
+        held = rows.select(F.explode(F.array_distinct(cls._binned(rows, form, dimension, gram))).alias("bin"))
         held.groupBy("bin").agg(F.count("*").alias("held_by")).coalesce(1).write.parquet(f"{path}/bins")  # as many rows as bins at most
         spark.createDataFrame([(dimension, gram, rows.count())], "dimension int, gram int, fragments long").write.parquet(f"{path}/about")
         return cls(spark, path)
@@ -55,7 +70,7 @@ class WeightedEmbedding:
         lies; `rows` is read twice to tell which these are, so it should be
         stored. For the others counting starts before the shuffle.
         """
-        rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(form).alias("form"))
+        rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), self._binned(rows, form, self.dimension, self.gram).alias("bins"))
         repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
         if repeated.isEmpty():
             return self._alone(rows).withColumnRenamed("key", key)
@@ -64,29 +79,30 @@ class WeightedEmbedding:
 
     def _alone(self, rows: DataFrame) -> DataFrame:
         """Components of texts each by itself, without a shuffle."""
-        dense = self.weights.agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("m"))  # one row, of as many weights as bins
-        unseen = F.log(F.lit(1.0 + self.fragments)) + 1
-        dense = dense.select(F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda b: F.coalesce(F.try_element_at("m", b), unseen)).alias("weights"))
+        known = {r["bin"]: r["weight"] for r in self.weights.collect()}  # as many as bins at most
+        unseen = math.log(1.0 + self.fragments) + 1
+        weights = F.lit(np.array([known.get(b, unseen) for b in range(self.dimension)]))
 
-        def runs(s: Column) -> Column:
-            last = F.size(s) - 1
-            return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(s, i) != F.get(s, i + 1)))).otherwise(F.array().cast("array<int>"))
+        def value(n: Column, b: Column) -> Column:
+            return n * F.get(weights, b)
 
-        def valued(s: Column, ends: Column) -> Column:
-            return F.transform(ends, lambda e, k: F.struct(F.get(s, e).alias("bin"), ((e - F.coalesce(F.get(ends, k - 1), F.lit(-1))) * F.get("weights", F.get(s, e))).alias("value")))
+        def valued(s: Column, own: Column, at: Column) -> Column:
+            last = F.size(s) + 1
+            return F.transform(own, lambda b, k: F.struct(b.alias("bin"), value(F.coalesce(F.get(at, k + 1), last) - F.get(at, k), b).alias("value")))
 
-        def unit(values: Column) -> Column:
-            length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, v: t + v["value"] * v["value"]))
-            return F.transform(F.array(length), lambda n: F.transform(values, lambda v: F.struct(v["bin"].alias("bin"), (v["value"] / n).alias("value"))))[0]
+        def measured(values: Column) -> Column:
+            return F.struct(values.alias("all"), F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, v: t + v["value"] * v["value"])).alias("length"))
 
-        # each step is bound to a variable, so that it is worked out once
+        # bins are in order, so as many lie before one as before its place; each step is bound to a variable, so that it is worked out once
         bound = lambda x, f: F.transform(F.array(x), f)[0]
-        parts = bound(F.sort_array(bins(F.col("form"), self.dimension, self.gram)), lambda s: bound(runs(s), lambda ends: bound(valued(s, ends), unit)))
-        return rows.crossJoin(F.broadcast(dense)).select("key", F.explode(parts).alias("c")).select("key", "c.bin", "c.value")
+        placed = lambda s, own: bound(F.transform(own, lambda b: F.array_position(s, b)), lambda at: bound(valued(s, own, at), measured))
+        parts = bound(F.sort_array("bins"), lambda s: bound(F.array_distinct(s), lambda own: placed(s, own)))
+        whole = rows.select("key", parts.alias("whole")).select("key", F.explode("whole.all").alias("c"), F.col("whole.length").alias("length"))
+        return whole.select("key", "c.bin", (F.col("c.value") / F.col("length")).alias("value"))
 
     def _together(self, rows: DataFrame) -> DataFrame:
         """Components of the texts of keys that several rows have."""
-        counted = rows.select("key", F.explode(bins(F.col("form"), self.dimension, self.gram)).alias("bin")).groupBy("key", "bin").agg(F.count("*").alias("n"))
+        counted = rows.select("key", F.explode("bins").alias("bin")).groupBy("key", "bin").agg(F.count("*").alias("n"))
         unseen = F.log(F.lit(1.0 + self.fragments)) + 1
         valued = counted.join(F.broadcast(self.weights), "bin", "left").select("key", "bin", (F.col("n") * F.coalesce("weight", unseen)).alias("value"))
         # a key has as many rows as there are bins at most
