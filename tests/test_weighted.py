@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from thresher.operators.weighted import WeightedEmbedding, bins
+from thresher.operators.weighted import WeightedEmbedding, bins, bins_in_batches
 from thresher.scratch import stored
 
 
@@ -68,3 +68,10 @@ def test_stored_bins_stand_for_texts_and_no_row_carries_the_weights(spark, tmp_p
         out = by_bins.embed(binned, "bins", "id")
         assert sorted(map(tuple, out.collect())) == sorted(map(tuple, by_text.embed(df, "form", "id").collect())) != []
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bins_of_python_workers_are_the_same(spark):
+    df = spark.createDataFrame(ROWS, "id long, form string").repartition(2)
+    for dimension, gram in ((1024, 4), (1000, 3)):
+        rows = df.select(bins(F.col("form"), dimension, gram).alias("a"), bins_in_batches(F.col("form"), dimension, gram).alias("b")).collect()
+        assert len(rows) == len(ROWS) and all(r.a == r.b for r in rows)

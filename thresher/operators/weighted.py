@@ -1,14 +1,18 @@
 """A fitted embedding of fragments: hashed n-grams, weighted by how few fragments hold them.
 
 All of it are column expressions and joins with a table of fixed size, one row
-for each bin that a fragment fell into when the model was fitted.
+for each bin that a fragment fell into when the model was fitted; bins that are
+to be stored may come from Python workers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -16,6 +20,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from thresher.scratch import stored
 
 DIMENSION, GRAM = 1024, 4
+#: N-grams whose bins a worker remembers.
+KNOWN = 200_000
 
 
 def bins(form: Column, dimension: int = DIMENSION, gram: int = GRAM) -> Column:
@@ -31,6 +37,34 @@ def bins(form: Column, dimension: int = DIMENSION, gram: int = GRAM) -> Column:
     return F.coalesce(found, F.array().cast("array<int>"))
 
 
+class _Known(dict):
+    """The bin of each n-gram that was asked for."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, g: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[g] = found = int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % self.dimension
+        return found
+
+
+def bins_in_batches(form: Column, dimension: int = DIMENSION, gram: int = GRAM) -> Column:
+    """The same as `bins`, by Python workers that hash an n-gram once: quicker where texts are alike and the result is stored."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        known, flat, ends = _Known(dimension), array("i"), array("i", [0])
+        for t in texts.to_pylist():
+            if t:
+                flat.extend([known[t[i : i + gram]] for i in range(len(t) - gram + 1)])
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(np.asarray(ends), pa.int32()), pa.array(np.asarray(flat), pa.int32()))
+
+    return F.arrow_udf(run, "array<int>").asNondeterministic()(form)
+
+
 class WeightedEmbedding:
     """A model in a folder of any store that Spark reads; `fit` makes it, the constructor opens it."""
 

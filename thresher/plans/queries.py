@@ -19,7 +19,7 @@ from thresher.operators import fragments as op
 from thresher.operators import similarity as sim
 from thresher.operators.nearindex import NearIndex
 from thresher.operators.vectorindex import VectorIndex
-from thresher.operators.weighted import DIMENSION, WeightedEmbedding, bins
+from thresher.operators.weighted import DIMENSION, WeightedEmbedding, bins_in_batches
 from thresher.plans import pipeline as pl
 from thresher.scratch import place, stored
 
@@ -410,7 +410,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weighted_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of each fragment's vector under a model fitted on all of them: forms of the scripts built from orders."""
-    found = stored(_notes(spark, sf_dir).select("id", bins(F.col("processedCode")).alias("bins")), "bins")
+    found = stored(_notes(spark, sf_dir).select("id", bins_in_batches(F.col("processedCode")).alias("bins")), "bins")
     model = WeightedEmbedding.fit(found, "bins", place(spark, "embedding"))
     return model.embed(found, "bins", "id").select("id", "bin", F.round("value", 6).alias("value"))
 
